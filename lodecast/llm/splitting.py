@@ -53,11 +53,11 @@ _CLASSES, _CUTS, _SPACE_CUTS = _class_table(), _pair_table(False), _pair_table(T
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a text column and the row offsets into them. Nulls count as empty."""
+    column = column.cast(pa.large_binary())
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = column.fill_null("" if not pa.types.is_binary(column.type) else b"")
-    column = column.cast(pa.large_binary())
+        column = column.fill_null(b"")
     n = len(column)
     if n == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
