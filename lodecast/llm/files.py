@@ -56,3 +56,10 @@ def delete_file(place: str) -> None:
     system, path = _system(place)
     if system.get_file_info(path).type != pyarrow.fs.FileType.NotFound:
         system.delete_file(path)
+
+
+def written(frame, name: str):
+    """The frame, written once to the shared folder and read back: later steps do not compute it again."""
+    place = shared_folder(frame.sparkSession, name)
+    frame.write.parquet(place)
+    return frame.sparkSession.read.schema(frame.schema).parquet(place)

@@ -30,6 +30,12 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodecast.llm.quality_rules import apply_rules
+
+    return apply_rules(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op4_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -53,6 +59,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_round_trip": op1_bpe_round_trip,
+        "op2_risk_controlled_rules": op2_risk_controlled_rules,
         "op4_wavelet_shards": op4_wavelet_shards,
         "op10_token_counts": op10_token_counts,
     }
