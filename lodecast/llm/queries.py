@@ -47,6 +47,12 @@ def op4_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodecast.llm.quality_model import score
+
+    return score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -61,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe_round_trip": op1_bpe_round_trip,
         "op2_risk_controlled_rules": op2_risk_controlled_rules,
         "op4_wavelet_shards": op4_wavelet_shards,
+        "op7_pu_quality": op7_pu_quality,
         "op10_token_counts": op10_token_counts,
     }
 

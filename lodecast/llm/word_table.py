@@ -28,8 +28,8 @@ _HASHED = 16
 
 
 def blocks_for(spark: SparkSession) -> int:
-    """Blocks of a run: two for each shuffle partition, which the user sizes to the input."""
-    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Blocks of a run: one for each shuffle partition, which the user sizes to the input."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def pack(items: pa.Array) -> bytes:
@@ -38,7 +38,7 @@ def pack(items: pa.Array) -> bytes:
     data = items.buffers()[2]
     raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].tobytes() if data is not None else b""
     plain = np.int64(len(items)).tobytes() + np.diff(offsets).astype("<u4").tobytes() + raw
-    return np.int64(len(plain)).tobytes() + pa.compress(plain, codec="zstd", asbytes=True)
+    return np.int64(len(plain)).tobytes() + pa.Codec("zstd", compression_level=6).compress(plain, asbytes=True)
 
 
 def unpack(value: bytes) -> pa.Array:
@@ -48,6 +48,19 @@ def unpack(value: bytes) -> pa.Array:
     return spans(np.frombuffer(plain, np.uint8, offset=8 + 4 * n), offsets)
 
 
+def narrowed(ids: pa.Array) -> pa.Array:
+    """32-bit ids of words as 16-bit ones, where the vocabulary allows it."""
+    offsets = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, ids.offset * 8)
+    flat = np.frombuffer(ids.buffers()[2], "<u4")[offsets[0] // 4 : offsets[-1] // 4]
+    return spans(np.frombuffer(flat.astype("<u2").tobytes(), np.uint8), (offsets - offsets[0]) // 2)
+
+
+def widened(ids: pa.Array) -> pa.Array:
+    offsets = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, ids.offset * 8)
+    flat = np.frombuffer(ids.buffers()[2], "<u2")[offsets[0] // 2 : offsets[-1] // 2]
+    return spans(np.frombuffer(flat.astype("<u4").tobytes(), np.uint8), (offsets - offsets[0]) * 2)
+
+
 def word_buckets(words: pa.Array, n: int) -> np.ndarray:
     """A bucket for each word from its length and first bytes."""
     offsets = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, words.offset * 8)
@@ -102,16 +115,30 @@ def encode_words(words: pa.Array, path: str) -> pa.Array:
     return spans(np.frombuffer(flat.astype("<u4").tobytes(), np.uint8), np.concatenate([[0], np.cumsum(4 * sizes)]))
 
 
-def joined_ids(column: pa.Array, words: pa.Array, ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all rows of a text column from a word table, and each row's offset into them."""
+def in_order(words: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of distinct words by bucket and then by bytes, and their buckets in that order.
+
+    Both sides of the exchange derive this order from the words alone, so the
+    answers need not carry them.
+    """
+    order = np.asarray(pc.sort_indices(words)).astype(np.int64)
+    buckets = word_buckets(words, n)[order] if len(words) else np.zeros(0, np.int32)
+    by_bucket = np.argsort(buckets, kind="stable")
+    return order[by_bucket], buckets[by_bucket]
+
+
+def joined_ids(column: pa.Array, ids: pa.Array, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all rows of a text column from its word table, and each row's offset into them."""
     own, first = split_words(column)
     if len(own) == 0:
         return np.zeros(0, "<u4"), np.zeros(len(first), np.int64)
     coded = own.dictionary_encode()
-    place = pc.index_in(coded.dictionary, value_set=words)
-    if place.null_count:
-        raise ValueError("a word of the block has no entry in the word table")
-    found = ids.take(place).take(coded.indices)
+    order, _ = in_order(coded.dictionary, n_buckets)
+    if len(order) != len(ids):
+        raise ValueError("the word table does not have the words of the block")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    found = ids.take(pa.array(place[coded.indices.to_numpy()]))
     offsets = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1, found.offset * 8)
     data = found.buffers()[2]
     flat = np.frombuffer(data, "<u4", int(offsets[-1]) // 4) if data is not None else np.zeros(0, "<u4")
@@ -129,17 +156,15 @@ def assemble_blocks(base: DataFrame, path: str, n_buckets: int, assemble: Assemb
     ``ids[offsets[i]:offsets[i+1]]`` the ids of row i.
     """
 
+    narrow = tokenizer(path)[0].get_vocab_size() <= 1 << 16
+
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         words = split_words(table.column("_text"))[0].unique()
-        words = words.take(pc.sort_indices(words))
-        buckets = word_buckets(words, n_buckets) if len(words) else np.zeros(0, np.int32)
-        order = np.argsort(buckets, kind="stable")
-        edges = np.flatnonzero(np.diff(buckets[order], prepend=-1, append=-1)) if len(words) else np.zeros(0, np.int64)
-        named = [int(buckets[order[e]]) for e in edges[:-1]]
+        order, buckets = in_order(words, n_buckets)
+        edges = np.flatnonzero(np.diff(buckets, prepend=-1, append=-1)) if len(words) else np.zeros(1, np.int64)
         packed = [pack(words.take(pa.array(order[a:b]))) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        return pa.table(
-            {"_bucket": pa.array(named, pa.int32()), "_block": pa.array([key[0].as_py()] * len(named), pa.int32()), "_words": pa.array(packed, pa.binary())}
-        )
+        block = pa.array([key[0].as_py()] * len(packed), pa.int32())
+        return pa.table({"_bucket": pa.array(buckets[edges[:-1]]), "_block": block, "_words": pa.array(packed, pa.binary())})
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
         asked = [unpack(v) for v in table.column("_words").to_pylist()]
@@ -147,19 +172,19 @@ def assemble_blocks(base: DataFrame, path: str, n_buckets: int, assemble: Assemb
         ids = encode_words(coded.dictionary, path)
         packed, start = [], 0
         for words in asked:
-            packed.append(pack(ids.take(coded.indices.slice(start, len(words)))))
+            own = ids.take(coded.indices.slice(start, len(words)))
+            packed.append(pack(narrowed(own) if narrow else own))
             start += len(words)
-        return pa.table({"_block": table.column("_block"), "_words": table.column("_words"), "_ids": pa.array(packed, pa.binary())})
+        return table.select(["_bucket", "_block"]).append_column("_ids", pa.array(packed, pa.binary()))
 
     def join(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
-        block = key[0].as_py()
         none = spans(np.zeros(0, np.uint8), np.zeros(1, np.int64))
-        words = pa.concat_arrays([none, *(unpack(v) for v in answers.column("_words").to_pylist())])
-        ids = pa.concat_arrays([none, *(unpack(v) for v in answers.column("_ids").to_pylist())])
-        return assemble(block, rows, *joined_ids(rows.column("_text"), words, ids))
+        ids = pa.concat_arrays([none, *(unpack(v) for v in answers.sort_by("_bucket").column("_ids").to_pylist())])
+        return assemble(key[0].as_py(), rows, *joined_ids(rows.column("_text"), widened(ids) if narrow else ids, n_buckets))
 
-    asked = base.select("_block", "_text").groupBy("_block").applyInArrow(ask, "_bucket int, _block int, _words binary")
-    answered = asked.groupBy("_bucket").applyInArrow(answer, "_block int, _words binary, _ids binary")
+    # Both groupings read the same columns of `base`, so that Spark shuffles it once.
+    asked = base.groupBy("_block").applyInArrow(ask, "_bucket int, _block int, _words binary")
+    answered = asked.groupBy("_bucket").applyInArrow(answer, "_bucket int, _block int, _ids binary")
     return base.groupBy("_block").cogroup(answered.groupBy("_block")).applyInArrow(join, schema)
 
 
