@@ -47,6 +47,19 @@ def op4_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodecast.llm.lsh_forest import similar_classes
+
+    return similar_classes(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodecast.llm.winnowing import find_hits
+
+    found = find_hits(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
 def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodecast.llm.quality_model import score
 
@@ -67,10 +80,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe_round_trip": op1_bpe_round_trip,
         "op2_risk_controlled_rules": op2_risk_controlled_rules,
         "op4_wavelet_shards": op4_wavelet_shards,
+        "op6_lsh_forest_join": op6_lsh_forest_join,
         "op7_pu_quality": op7_pu_quality,
+        "op8_winnowing": op8_winnowing,
         "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from lodecast.llm.oracles import ORACLES
+
+    return dict(ORACLES)
