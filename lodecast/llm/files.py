@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import pyarrow.fs
 from pyspark.sql import SparkSession
@@ -52,6 +53,28 @@ def read_file(place: str, start: int = 0, size: int | None = None) -> bytes:
         return file.read() if size is None else file.read(size)
 
 
+def exists(place: str) -> bool:
+    system, path = _system(place)
+    return system.get_file_info(path).type != pyarrow.fs.FileType.NotFound
+
+
+def opened(place: str):
+    """A file to read from, with read, seek and close."""
+    system, path = _system(place)
+    return system.open_input_file(path)
+
+
+@contextmanager
+def stream_to(place: str):
+    """A file to write to piece by piece; it gets its name when all is written."""
+    system, path = _system(place)
+    system.create_dir(path.rpartition("/")[0], recursive=True)
+    draft = f"{path}.{uuid.uuid4().hex}.draft"
+    with system.open_output_stream(draft) as out:
+        yield out
+    system.move(draft, path)
+
+
 def delete_file(place: str) -> None:
     system, path = _system(place)
     if system.get_file_info(path).type != pyarrow.fs.FileType.NotFound:

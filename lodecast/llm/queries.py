@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A document over this many tokens is reported as over the limit.
@@ -36,6 +36,13 @@ def op2_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op3_warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodecast.llm.warc import normalise_archives, read_archives, write_archives
+
+    archives = normalise_archives(write_archives(_read(spark, sf_dir, "pages")), remove_sources=True)
+    return read_archives(archives, with_payload=False).drop("url")
+
+
 def op4_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,6 +54,23 @@ def op4_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodecast.llm.pii import BASE, find_personal_data
+
+    found = find_personal_data(_read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    return found.select(
+        "doc_id",
+        *(F.size(F.array_remove(F.transform("spans", lambda s: s["kind"] == F.lit(kind)), False)).cast("long").alias(f"n_{kind}") for kind in BASE),
+        F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
 def op6_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodecast.llm.lsh_forest import similar_classes
 
@@ -66,6 +90,12 @@ def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op9_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodecast.llm.html_blocks import extract_text
+
+    return extract_text(_read(spark, sf_dir, "pages"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -79,10 +109,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_round_trip": op1_bpe_round_trip,
         "op2_risk_controlled_rules": op2_risk_controlled_rules,
+        "op3_warc_members": op3_warc_members,
         "op4_wavelet_shards": op4_wavelet_shards,
+        "op5_personal_data": op5_personal_data,
         "op6_lsh_forest_join": op6_lsh_forest_join,
         "op7_pu_quality": op7_pu_quality,
         "op8_winnowing": op8_winnowing,
+        "op9_block_rules": op9_block_rules,
         "op10_token_counts": op10_token_counts,
     }
 
