@@ -22,31 +22,34 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodecast.llm.files import written
-
 #: Rows of the positive and of the unlabelled sample at most, about.
 SAMPLE_ROWS = 20_000
 #: Steps and step size of the optimiser, and its penalty on squared weights.
 STEPS, RATE, PENALTY = 800, 0.05, 1e-4
 #: A score of this or more predicts a good document.
 CUTOFF = 0.7
+#: A filter keeps scores of this or more; it is lower, as a good document lost costs more than a bad one kept.
+KEPT_FROM = 0.4
 
 RATES = ("symbols", "pipes", "capitals", "marks", "digits", "stops", "repeats", "dup_lines", "word_length", "size")
 
 
-def rates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, held_out, x array<double>)``: the text rates of each row, each from 0 to 1."""
-    base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    split = base.select(
+def _held_out(id_column: Column) -> Column:
+    return F.coalesce(F.crc32(id_column.cast("string")) % 4 == 2, F.lit(False))
+
+
+def rates(frame: DataFrame, text: str = "_text", out: str = "_x") -> DataFrame:
+    """``frame`` with the rates of its column ``text``, each from 0 to 1, as the array column ``out``."""
+    split = frame.select(
         "*",
-        F.expr(r"filter(split(_text, '[\\x20\\x09-\\x0D]+'), w -> w != '')").alias("_words"),
-        F.expr(r"filter(split(_text, '\n'), l -> l != '')").alias("_lines"),
+        F.expr(rf"filter(split({text}, '[\\x20\\x09-\\x0D]+'), w -> w != '')").alias("_words"),
+        F.expr(rf"filter(split({text}, '\n'), l -> l != '')").alias("_lines"),
     )
-    chars = F.greatest(F.char_length("_text"), F.lit(1))
+    chars = F.greatest(F.char_length(text), F.lit(1))
     words = F.greatest(F.size("_words"), F.lit(1))
 
     def share(pattern: str) -> Column:
-        return (F.char_length("_text") - F.char_length(F.regexp_replace("_text", pattern, ""))) / chars
+        return (F.char_length(text) - F.char_length(F.regexp_replace(text, pattern, ""))) / chars
 
     values = {
         "symbols": share(r"[#*$%&<>^~_=\\]+"),
@@ -60,8 +63,7 @@ def rates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         "word_length": F.least(F.char_length(F.array_join("_words", "")) / words / 20, F.lit(1.0)),
         "size": F.least(F.log10(words.cast("double")) / 6, F.lit(1.0)),
     }
-    held = F.coalesce(F.crc32(F.col("_id").cast("string")) % 4 == 2, F.lit(False))
-    return split.select(F.col("_id").alias(id_col), held.alias("held_out"), F.array(*(values[r].cast("double") for r in RATES)).alias("x"))
+    return split.withColumn(out, F.array(*(values[r].cast("double") for r in RATES))).drop("_words", "_lines")
 
 
 #: Upper ends of ramps that each rate is expanded into.
@@ -146,21 +148,27 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
     return PuModel(t[:-1], float(t[-1]), prior)
 
 
-def _sample(rows: DataFrame, n: int, most: int) -> np.ndarray:
-    """About ``most`` of the ``n`` rows, chosen by a hash of the id; all if there are no more."""
+def _picked(rows: DataFrame, most: int) -> DataFrame:
+    """About ``most`` rows, chosen by a hash of ``_id``; all if there are no more."""
+    n = rows.count()
     if n > most:
         rows = rows.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(1_000_000 * most / n))
-    found = rows.select("x").limit(2 * most).collect()
-    return np.array([r["x"] for r in found], float).reshape(-1, len(RATES))
+    return rows
 
 
-def train(found: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> PuModel:
-    """Fits on rows of ``rates`` outside the held-out fold. Null labels and ids are left out;
-    a document with several labels counts as good only if all are 1."""
-    own = found.where("NOT held_out").select(F.col(id_col).alias("_id"), "x").where("_id IS NOT NULL")
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> PuModel:
+    """Fits on documents outside the held-out fold, about ``sample_rows`` trusted and as many unlabelled ones.
+
+    Null labels and ids are left out; a document with several labels counts as
+    good only if all are 1. Samples are drawn by id, so only their texts are read.
+    """
+    own = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).where(F.col("_id").isNotNull() & ~_held_out(F.col("_id")))
     good = labels.groupBy(F.col(id_col).alias("_key")).agg(F.min(label_col).alias("_label")).where("_label = 1")
-    trusted = own.join(good, F.col("_id") == F.col("_key"), "left_semi")
-    return fit(_sample(trusted, trusted.count(), sample_rows), _sample(own, own.count(), sample_rows))
+    trusted = own.select("_id").join(good, F.col("_id") == F.col("_key"), "left_semi")
+    # At most 2 * sample_rows ids, whatever the input.
+    ids = F.broadcast(_picked(trusted, sample_rows).distinct().limit(2 * sample_rows))
+    samples = (own.join(ids, "_id", "left_semi"), _picked(own, sample_rows))
+    return fit(*(np.array([r["_x"] for r in rates(s).select("_x").limit(2 * sample_rows).collect()], float).reshape(-1, len(RATES)) for s in samples))
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, cutoff: float = CUTOFF) -> DataFrame:
@@ -170,7 +178,17 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     but not learnt from; repeated rows are kept as they come; other columns are
     ignored, whatever their names; an empty table gives an empty result.
     """
-    found = written(rates(docs, id_col, text_col), "text-rates")
-    model = train(found, labels, id_col, "quality", sample_rows)
-    scored = found.select(id_col, "held_out", model.score(F.col("x")).alias("score"))
+    model = train(docs, labels, id_col, text_col, "quality", sample_rows)
+    found = rates(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")))
+    scored = found.select(F.col("_id").alias(id_col), _held_out(F.col("_id")).alias("held_out"), model.score(F.col("_x")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= cutoff).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutoff: float = KEPT_FROM, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs`` that score ``cutoff`` or more, all columns as they are, whatever their names.
+
+    Rows are judged where they lie, so ids may be null or repeated.
+    """
+    model = train(docs, labels, id_col, text_col, "quality", sample_rows)
+    found = rates(docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")))
+    return found.where(model.score(F.col("_x")) >= cutoff).select("_row.*")

@@ -164,7 +164,7 @@ def write_index(benchmark: DataFrame, item_col: str = "item_id", text_col: str =
     return sorted(r["place"] for r in dealt.groupBy("_file").applyInArrow(build, "place string").collect())
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", keep: tuple[str, ...] = ()) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """``(id_col, n_words, n_hit, n_items, items, spans, contaminated)`` for every row of ``docs``.
 
     Words are runs of ASCII letters (A-Z lower-cased), digits and characters beyond
@@ -173,11 +173,11 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     are hit: ``spans`` has them as maximal runs [first word, number of words], and
     ``items`` the ids, as strings in their order, of the items whose windows occur.
     Null texts have no words; items with a null id are left out, and repeated items
-    count once; null ids and repeated rows of ``docs`` are kept; of other columns
-    only those in ``keep`` are carried along; empty tables give no hits.
+    count once; null ids and repeated rows of ``docs`` are kept; other columns
+    are ignored, whatever their names; empty tables give no hits.
     """
     places = write_index(benchmark, item_col, text_col)
-    slim = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *keep)
+    slim = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     span = T.StructType().add("first", "long").add("n", "long")
     schema = slim.drop("_text").schema.add("n_words", "long").add("n_hit", "long").add("n_items", "long")
     schema = schema.add("items", T.ArrayType(T.StringType())).add("spans", T.ArrayType(span))
@@ -185,15 +185,12 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in balanced(batches, "_text", BATCH_BYTES):
             words, first = word_spans(table.column("_text"), INSIDE, lower=True)
-            codes = hashed(words)
-            grams, least = kept_grams(codes, first)
-            covered = np.zeros(len(codes) + 1, np.int64)
+            covered = np.zeros(len(words) + 1, np.int64)
             items: dict[int, set] = defaultdict(set)
-            for place in places:
-                for start, size, ids in _index(place).occurrences(codes, first, words, grams, least):
-                    covered[start] += 1
-                    covered[start + size] -= 1
-                    items[int(np.searchsorted(first, start, "right")) - 1] |= ids
+            for start, size, ids in occurrences(places, words, first):
+                covered[start] += 1
+                covered[start + size] -= 1
+                items[int(np.searchsorted(first, start, "right")) - 1] |= ids
             hit = np.cumsum(covered)[:-1] > 0
             total = np.concatenate([[0], np.cumsum(hit)])
             n_hit = total[first[1:]] - total[first[:-1]]
@@ -211,6 +208,33 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     return found.withColumnRenamed("_id", id_col).withColumn("contaminated", F.col("n_hit") > 0)
 
 
+def without_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark window, all columns as they are.
+
+    Rows are judged where they lie, so ids may be null or repeated.
+    """
+    places = write_index(benchmark)
+    names = docs.columns
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in balanced(batches, text_col, BATCH_BYTES):
+            hit = np.zeros(table.num_rows, bool)
+            words, first = word_spans(table.column(text_col), INSIDE, lower=True)
+            for start, _, _ in occurrences(places, words, first):
+                hit[int(np.searchsorted(first, start, "right")) - 1] = True
+            yield from table.select(names).filter(pa.array(~hit)).to_batches()
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
+def occurrences(places: list[str], words: pa.Array, first: np.ndarray) -> Iterator[tuple[int, int, set]]:
+    """Occurrences of all windows of the index files in the rows of a batch."""
+    codes = hashed(words)
+    grams, least = kept_grams(codes, first)
+    for place in places:
+        yield from _index(place).occurrences(codes, first, words, grams, least)
+
+
 def runs(hit: np.ndarray) -> list[dict[str, int]]:
     """Maximal runs of true values."""
     edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
