@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 
 #: Rows of the positive and of the unlabelled sample at most, about.
 SAMPLE_ROWS = 20_000
-#: Steps and step size of the optimiser, and its penalty on squared weights.
-STEPS, RATE, PENALTY = 800, 0.05, 1e-4
+#: Steps and step size of the optimiser, and its penalty on squared weights: a fixed part, and one over the number of positives.
+STEPS, RATE, PENALTY, PRIOR_WEIGHT = 800, 0.05, 1e-4, 1.0
 #: A score of this or more predicts a good document.
 CUTOFF = 0.7
 #: A filter keeps scores of this or more; it is lower, as a good document lost costs more than a bad one kept.
-KEPT_FROM = 0.4
+KEPT_FROM = 0.5
 
 RATES = ("symbols", "pipes", "capitals", "marks", "digits", "stops", "repeats", "dup_lines", "word_length", "size")
 
@@ -111,13 +111,17 @@ def _with_one(x: np.ndarray) -> np.ndarray:
     return np.concatenate([_expand(x), np.ones((len(x), 1))], axis=1)
 
 
+def _penalty(positive: np.ndarray) -> float:
+    return PENALTY + PRIOR_WEIGHT / len(positive)
+
+
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """The share of positives among the unlabelled: the least ratio of upper tails under a
     positive-or-unlabelled classifier, each tail with its sampling error."""
     a, b = _with_one(positive), _with_one(unlabelled)
 
     def gradient(t: np.ndarray) -> np.ndarray:
-        return -(a * _sigmoid(-(a @ t))[:, None]).mean(0) + (b * _sigmoid(b @ t)[:, None]).mean(0) + PENALTY * t
+        return -(a * _sigmoid(-(a @ t))[:, None]).mean(0) + (b * _sigmoid(b @ t)[:, None]).mean(0) + _penalty(a) * t
 
     t = _descend(gradient, a.shape[1])
     own, other = np.sort(a @ t), np.sort(b @ t)
@@ -142,7 +146,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
         gain = -prior * (a * _sigmoid(-za)[:, None]).mean(0)
         rest = np.logaddexp(0, zb).mean() - prior * np.logaddexp(0, za).mean()
         slope = (b * _sigmoid(zb)[:, None]).mean(0) - prior * (a * _sigmoid(za)[:, None]).mean(0)
-        return (gain + slope if rest >= 0 else -slope) + PENALTY * t
+        return (gain + slope if rest >= 0 else -slope) + _penalty(a) * t
 
     t = _descend(gradient, size + 1)
     return PuModel(t[:-1], float(t[-1]), prior)
