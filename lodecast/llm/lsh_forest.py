@@ -300,6 +300,8 @@ def similar_classes(
     named = sets.join(linked, F.col("_set") == F.col("node"), "left").select("_set", "_least", "_copies", F.coalesce("label", "_set").alias("_label"))
     least = named.groupBy("_label").agg(F.min("_least").alias("class_id"))
     result = named.join(least, "_label").join(counts, "_set", "left").select("_set", "class_id", (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).alias("n_links"))
+    # Written first, so that nothing but the join itself needs a set's rows together, and Spark can split them.
+    result = written(result, "forest-classes")
     rows = signed.select("_id", "_hash", "_set")
     found = rows.where("_set IS NOT NULL").join(result, "_set").select(F.col("_id").alias(id_col), "class_id", "n_links", "_hash")
     alone = rows.where("_set IS NULL").select(F.col("_id").alias(id_col), F.col("_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "_hash")
