@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodecast.llm.word_table import assemble_blocks, blocks_for, hashed_blocks, spans, tokenizer
+from lodecast.llm.word_table import assemble_blocks, blocks_for, buckets_for, hashed_blocks, spans, tokenizer
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", n_blocks: int | None = None) -> DataFrame:
@@ -28,7 +28,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         values = spans(np.frombuffer(ids.tobytes(), np.uint8), 4 * offsets)
         return pa.table({"_id": table.column("_id"), "ids": values.cast(pa.binary())})
 
-    return assemble_blocks(base, tokenizer_path, n, rows, f"_id {kind}, ids binary").withColumnRenamed("_id", id_col)
+    return assemble_blocks(base, tokenizer_path, buckets_for(docs.sparkSession), rows, f"_id {kind}, ids binary").withColumnRenamed("_id", id_col)
 
 
 def id_to_piece(spark: SparkSession, tokenizer_path: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodecast.llm.files import read_file, shared_folder, write_file
-from lodecast.llm.word_table import assemble_blocks, blocks_for
+from lodecast.llm.word_table import assemble_blocks, blocks_for, buckets_for
 
 MAGIC = b"WVLT0001"
 #: Bits that share one stored count of ones.
@@ -200,7 +200,7 @@ def write_shards(
         write_file(name, to_bytes(WaveletMatrix.build(values, bits), np.asarray(column.fill_null(0))[order], known, starts))
         return pa.table({"shard": pa.array([block], pa.int32()), "place": [name], "n_docs": pa.array([len(order)], pa.int64()), "n_tokens": pa.array([len(values)], pa.int64())})
 
-    manifest = assemble_blocks(base, tokenizer_path, n, shard, "shard int, place string, n_docs long, n_tokens long")
+    manifest = assemble_blocks(base, tokenizer_path, buckets_for(spark), shard, "shard int, place string, n_docs long, n_tokens long")
     manifest.write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 

@@ -27,11 +27,20 @@ JOINED = 2000
 _HASHED = 16
 
 
-def blocks_for(spark: SparkSession) -> int:
-    """Blocks of a run: one for each shuffle partition, which the user sizes to the input."""
+#: Blocks of a shuffle partition. A task holds one block at a time, so they bound its memory.
+BLOCKS_PER_PARTITION = 4
+
+
+def buckets_for(spark: SparkSession) -> int:
+    """Word buckets of a run: one for each shuffle partition, which the user sizes to the input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def blocks_for(spark: SparkSession) -> int:
+    """Document blocks of a run."""
+    return BLOCKS_PER_PARTITION * buckets_for(spark)
+
+
 def pack(items: pa.Array) -> bytes:
     """A binary array as one compressed value."""
     offsets = np.frombuffer(items.buffers()[1], np.int64, len(items) + 1, items.offset * 8)
@@ -171,6 +180,7 @@ def assemble_blocks(base: DataFrame, path: str, n_buckets: int, assemble: Assemb
         coded = pa.concat_arrays(asked).dictionary_encode()
         ids = encode_words(coded.dictionary, path)
         packed, start = [], 0
+        pa.default_memory_pool().release_unused()
         for words in asked:
             own = ids.take(coded.indices.slice(start, len(words)))
             packed.append(pack(narrowed(own) if narrow else own))
@@ -179,6 +189,7 @@ def assemble_blocks(base: DataFrame, path: str, n_buckets: int, assemble: Assemb
 
     def join(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         none = spans(np.zeros(0, np.uint8), np.zeros(1, np.int64))
+        pa.default_memory_pool().release_unused()
         ids = pa.concat_arrays([none, *(unpack(v) for v in answers.sort_by("_bucket").column("_ids").to_pylist())])
         return assemble(key[0].as_py(), rows, *joined_ids(rows.column("_text"), widened(ids) if narrow else ids, n_buckets))
 
