@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodecast.llm.word_table import assemble_blocks, blocks_for, buckets_for, hashed_blocks, spans, tokenizer
+from lodecast.llm.word_table import BLOCK_BYTES, assemble_blocks, buckets_for, packed_blocks, spans, tokenizer, unfolded
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", n_blocks: int | None = None) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(id_col, ids binary)``: the ids of each text as little-endian unsigned 32-bit integers.
 
     The ids are those of the tokenizers library for the whole text without added
@@ -20,15 +20,14 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     repeated rows are kept; other columns are ignored, whatever their names; an
     empty table gives an empty result. A text must fit in a worker's memory.
     """
-    n = n_blocks or blocks_for(docs.sparkSession)
-    base = hashed_blocks(docs, id_col, text_col, n)
-    kind = base.schema["_id"].dataType.simpleString()
+    base = packed_blocks(docs, id_col, text_col, block_bytes)
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def rows(block: int, table: pa.Table, ids: np.ndarray, offsets: np.ndarray) -> pa.Table:
         values = spans(np.frombuffer(ids.tobytes(), np.uint8), 4 * offsets)
         return pa.table({"_id": table.column("_id"), "ids": values.cast(pa.binary())})
 
-    return assemble_blocks(base, tokenizer_path, buckets_for(docs.sparkSession), rows, f"_id {kind}, ids binary").withColumnRenamed("_id", id_col)
+    return assemble_blocks(base, tokenizer_path, buckets_for(docs.sparkSession), rows, f"_id {kind}, ids binary", unfolded).withColumnRenamed("_id", id_col)
 
 
 def id_to_piece(spark: SparkSession, tokenizer_path: str) -> DataFrame:

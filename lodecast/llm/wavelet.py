@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodecast.llm.files import read_file, shared_folder, write_file
-from lodecast.llm.word_table import assemble_blocks, blocks_for, buckets_for
+from lodecast.llm.word_table import assemble_blocks, buckets_for
 
 MAGIC = b"WVLT0001"
 #: Bits that share one stored count of ones.
@@ -163,10 +163,10 @@ def _ordered_blocks(docs: DataFrame, id_col: str, text_col: str, n_blocks: int)
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column("_id").cast(pa.float64(), safe=False).fill_null(-np.inf))
-            block = pa.array(np.searchsorted(bounds, ids, "right"), pa.int32())
+            block = pa.array(np.searchsorted(bounds, ids, "right").astype(np.int64))
             yield pa.RecordBatch.from_arrays([block, *batch.columns], names=["_block", "_id", "_text"])
 
-    return slim.mapInArrow(place, "_block int, _id long, _text string").repartition(F.col("_block"))
+    return slim.mapInArrow(place, "_block long, _id long, _text string").repartition(F.col("_block"))
 
 
 def write_shards(
@@ -181,7 +181,7 @@ def write_shards(
     ``2 ** bits`` must exceed every id. A shard must fit in a worker's memory.
     """
     spark = docs.sparkSession
-    n = n_shards or blocks_for(spark)
+    n = n_shards or buckets_for(spark)
     folder = folder or shared_folder(spark, "token-shards")
     base = _ordered_blocks(docs, id_col, text_col, n)
 
@@ -214,7 +214,7 @@ def read_shards(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
     before = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     # One row for each file: the running sum needs one task, over far fewer rows than documents.
     placed = manifest.select("shard", "place", F.coalesce(before, F.lit(0)).alias("first"))
-    n = max(1, blocks_for(manifest.sparkSession))
+    n = max(1, buckets_for(manifest.sparkSession))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -29,7 +29,7 @@ def test_bpe_round_trip(spark, docs, empty):
 
     path = tokenizers.path("word_bpe_49k.json")
     model = library("word_bpe_49k.json")
-    coded = encode(docs, path)
+    coded = encode(docs, path, block_bytes=50_000)
     assert coded.columns == ["doc_id", "ids"]
     found = decode(coded, id_to_piece(spark, path))
     expected = []
