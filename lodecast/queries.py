@@ -5,11 +5,115 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodecast import adapters as A
+from lodecast.functions.normal import synchronicity
+from lodecast.operators import histogram, kriging, spatial, summary, uncertainty
+
+GROUP = ["domain", "model"]
+
+
+def rounded(frame: DataFrame, places: int = 6) -> DataFrame:
+    """Doubles to some decimal places, so that the order of sums does not show."""
+    return frame.select(*(F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in frame.dtypes))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The share of rows at a proportion hangs on the last digits of p_star.
+    return uncertainty.with_synchronicity(A.predictions(spark, sf_dir)).withColumns({"s": F.round("s", 9), "p_star": F.round("p_star", 9)})
+
+
+def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = A.samples(spark, sf_dir)
+    return rows.where("block_id % 5 = 0"), rows.where("block_id % 5 <> 0")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "hist_pmf": lambda s, d: rounded(histogram.pmfs(A.predictions(s, d), GROUP), 9),
+    "hist_distances": lambda s, d: rounded(histogram.distances(A.predictions(s, d), GROUP)),
+    "model_rank": lambda s, d: histogram.rank_models(histogram.distances(A.predictions(s, d), GROUP), ["domain"]).select(*GROUP, "rank_psi", "rank_js", "rank_iou", "rank_em", "rank_avg", "rank_overall"),
+    "rmse": lambda s, d: rounded(summary.rmse(A.predictions(s, d), GROUP)),
+    "synchronicity": lambda s, d: rounded(_scored(s, d).groupBy(*GROUP).agg(F.avg("s").alias("mean_s"), F.min("s").alias("low_s"), F.max("s").alias("high_s"), F.count("*").alias("n"))),
+    "coverage_measures": lambda s, d: rounded(uncertainty.coverage_measures(_scored(s, d), GROUP)),
+    "tail_shares": lambda s, d: rounded(uncertainty.tail_shares(_scored(s, d), GROUP, {"t50": 0.5, "t68": 0.68, "t90": 0.9, "t95": 0.95})),
+    "summary_percentiles": lambda s, d: rounded(summary.percentiles(A.samples(s, d), ["period", "domain"]), 4),
+    "domain_key": lambda s, d: A.geometry(s, d).select("domain_id", spatial.domain_key().alias("name")),
+    "rotate_scale": lambda s, d: rounded(spatial.rotated(A.geometry(s, d)).select("domain_id", "rx", "ry", "rz")),
+    "region_clip": lambda s, d: spatial.clipped(A.samples(s, d).where("block_id % 5 <> 0"), A.samples(s, d).where("block_id % 25 = 0"), ["domain"], 5.0).select("domain", "block_id"),
+    "octants": lambda s, d: A.samples(s, d).groupBy("domain", spatial.octant(F.col("x"), F.col("y"), F.col("z")).alias("octant")).agg(F.count("*").alias("n")),
+    "knn_octant": lambda s, d: rounded(spatial.neighbours(*_split(s, d), ["domain"], 120.0, 9).select("domain", "q_id", "block_id", "dist", "octant", "rank")),
+    "grid_mean": lambda s, d: rounded(spatial.grid_means(A.samples(s, d), ["domain"], 100.0), 4),
+    "exp_variogram": lambda s, d: rounded(spatial.variogram(A.samples(s, d), ["domain"], 250.0, 10)),
+    "prefix_moments": lambda s, d: rounded(summary.prefix_moments(A.simulations(s, d), ["domain", "block_id"], [2, 4, 8])),
+    "family_mean_se": lambda s, d: rounded(summary.mean_and_error(A.analysis(s, d), ["model"])),
+    "weighted_sem": lambda s, d: rounded(summary.weighted_error(A.analysis(s, d), ["model"])),
+    "t_paired": lambda s, d: rounded(summary.paired_t(A.predictions(s, d), GROUP, "mu0", "mu")),
+    "availability_semi": lambda s, d: summary.available(A.analysis(s, d), A.analysis(s, d).where("v > 100").select("period", "domain"), ["period", "domain"]).groupBy("period", "domain").agg(F.count("*").alias("n")),
+    "param_antijoin": lambda s, d: summary.new_parameters(A.samples(s, d).select("domain", "block_id"), A.samples(s, d).where("v > 0").select("block_id"), ["block_id"]),
+    "ordinary_kriging": lambda s, d: rounded(kriging.krige(*_split(s, d), ["domain"], kriging.Variogram(300.0, 3000.0))),
+    "simple_kriging": lambda s, d: rounded(kriging.krige(*_split(s, d), ["domain"], kriging.Variogram(300.0, 3000.0), ordinary=False)),
+    "ok_sgs": lambda s, d: rounded(kriging.simulate(*_split(s, d), ["domain"], kriging.Variogram(300.0, 3000.0), 2)),
+    "sk_sgs": lambda s, d: rounded(kriging.simulate(*_split(s, d), ["domain"], kriging.Variogram(300.0, 3000.0), 2, ordinary=False)),
+}
+
+_PMF = f"""WITH {A.PREDICTIONS}, e AS (SELECT domain, model, min(mu0) AS lo, (max(mu0) - min(mu0)) / 40 AS w FROM pred GROUP BY ALL),
+b AS (SELECT domain, model, least(greatest(floor((mu0 - lo) / w) + 1, 0), 41)::INT AS tb, least(greatest(floor((mu - lo) / w) + 1, 0), 41)::INT AS vb, mu0, mu FROM pred JOIN e USING (domain, model)),
+u AS (SELECT domain, model, tb AS bin, 1 AS t FROM b UNION ALL SELECT domain, model, vb, 0 FROM b),
+pq AS (SELECT domain, model, bin, sum(t) / sum(sum(t)) OVER g AS q, sum(1 - t) / sum(sum(1 - t)) OVER g AS p FROM u GROUP BY domain, model, bin WINDOW g AS (PARTITION BY domain, model))"""
+_DIST = f"""{_PMF}, h AS (SELECT domain, model, sum(CASE WHEN p + q > 0 THEN (p - q) * (p - q) / (0.5 * (p + q)) END) AS d_psi,
+sum(0.5 * CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + 0.5 * CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) AS d_js, 1 - sum(least(p, q)) / sum(greatest(p, q)) AS d_iou FROM pq GROUP BY ALL),
+r1 AS (SELECT domain, model, mu0, row_number() OVER (PARTITION BY domain, model ORDER BY mu0) AS r FROM pred), r2 AS (SELECT domain, model, mu, row_number() OVER (PARTITION BY domain, model ORDER BY mu) AS r FROM pred),
+em AS (SELECT domain, model, avg(abs(mu0 - mu)) AS d_em FROM r1 JOIN r2 USING (domain, model, r) GROUP BY ALL), dist AS (SELECT * FROM h JOIN em USING (domain, model))"""
+_SCORED = f"WITH {A.PREDICTIONS}, sc AS (SELECT *, 1 - abs(s) AS p_star FROM (SELECT *, round({synchronicity()}, 9) AS s FROM pred))"
+_P = "p AS (SELECT unnest([0.98::DOUBLE * i / 246 FOR i IN generate_series(1, 245)]) AS p UNION ALL SELECT unnest([0.98::DOUBLE + 0.02::DOUBLE * i / 11 FOR i IN generate_series(0, 10)]))"
+_COVER = f"""{_SCORED}, {_P}, n AS (SELECT domain, model, count(*) AS n, avg(abs(s)) AS consensus FROM sc GROUP BY ALL),
+c AS (SELECT domain, model, round(p_star, 9) AS ps, round(p_star, 9) * 0.95::DOUBLE AS pl FROM sc),
+k AS (SELECT domain, model, p, count(*) FILTER (p >= ps) / any_value(n) AS kap, count(*) FILTER (p >= pl) / any_value(n) AS kl FROM c JOIN n USING (domain, model), p GROUP BY domain, model, p),
+w AS (SELECT *, p - lag(p, 1, 0) OVER (PARTITION BY domain, model ORDER BY p) AS dp FROM k), z AS (SELECT *, dp / sum(dp) OVER (PARTITION BY domain, model) AS wt, CASE WHEN kap >= p THEN 1 ELSE 0 END AS i FROM w)
+SELECT domain, model, round(any_value(consensus), 6) AS consensus, round(avg(kl), 6) AS proportion, round(avg(CASE WHEN kap >= 0.95::DOUBLE * p THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy,
+round(1 - 2 * sum(i * (kap - p) * wt), 6) AS precision, round(1 - sum((3 * i - 2) * (kap - p) * wt), 6) AS goodness FROM z JOIN n USING (domain, model) GROUP BY domain, model"""
+_KNN = f"""WITH {A.SAMPLES}, d AS (SELECT q.domain, q.block_id AS q_id, k.block_id, k.v, k.x - q.x AS dx, k.y - q.y AS dy, k.z - q.z AS dz FROM s q JOIN s k ON q.domain = k.domain WHERE q.block_id % 5 = 0 AND k.block_id % 5 <> 0),
+m AS (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS dist, (dx < 0)::INT + 2 * (dy < 0)::INT + 4 * (dz < 0)::INT AS octant FROM d),
+f AS (SELECT *, count(*) FILTER (dist < 120) OVER (PARTITION BY domain, q_id) AS n, row_number() OVER (PARTITION BY domain, q_id ORDER BY dist, block_id) AS r FROM m),
+e AS (SELECT *, row_number() OVER (PARTITION BY domain, q_id, octant ORDER BY dist, block_id) AS o FROM f WHERE CASE WHEN n >= 2 THEN dist < 120 ELSE r <= 2 END),
+c AS (SELECT *, row_number() OVER (PARTITION BY domain, q_id ORDER BY CASE WHEN o <= 1 THEN 0 ELSE 1 END, dist, block_id) AS t FROM e)
+SELECT domain, q_id, block_id, round(dist, 6) AS dist, octant, row_number() OVER (PARTITION BY domain, q_id ORDER BY dist, block_id) AS rank FROM c WHERE t <= 9"""
+_RZ = f"""WITH {A.GEOMETRY}, r AS (SELECT *, radians(angle1) AS a, radians(angle2) AS b, radians(angle3) AS c, greatest(search1x, search1y, search1z) AS m FROM g),
+t AS (SELECT *, cos(a) * x - sin(a) * y AS x1, sin(a) * x + cos(a) * y AS y1 FROM r), u AS (SELECT *, cos(b) * y1 - sin(b) * z AS y2, sin(b) * y1 + cos(b) * z AS z2 FROM t)
+SELECT domain_id, round((cos(c) * x1 + sin(c) * z2) * m / search1x, 6) AS rx, round(y2 * m / search1y, 6) AS ry, round((cos(c) * z2 - sin(c) * x1) * m / search1z, 6) AS rz FROM u"""
+_WSEM = f"""WITH {A.ANALYSIS}, m AS (SELECT model, sum(w) AS sw, sum(w * v) / sum(w) AS xb, avg(w) AS wb FROM a GROUP BY model)
+SELECT model, round(any_value(xb), 6) AS mean, round(sqrt(greatest(any_value(sw) / ((any_value(sw) - 1) * any_value(sw)::DOUBLE * any_value(sw)) * (sum((w * v - wb * xb) * (w * v - wb * xb)) - 2 * any_value(xb) * sum((w - wb) * (w * v - wb * xb)) + any_value(xb) * any_value(xb) * sum((w - wb) * (w - wb))), 0)), 6) AS sem
+FROM a JOIN m USING (model) GROUP BY model"""
+
+ORACLES = {
+    "hist_pmf": f"{_PMF} SELECT domain, model, bin, round(q, 9) AS q, round(p, 9) AS p FROM pq",
+    "hist_distances": f"{_DIST} SELECT domain, model, round(d_psi, 6) AS d_psi, round(d_js, 6) AS d_js, round(d_iou, 6) AS d_iou, round(d_em, 6) AS d_em FROM dist",
+    "model_rank": f"{_DIST}, rk AS (SELECT domain, model, " + ", ".join(f"row_number() OVER (PARTITION BY domain ORDER BY round(d_{x}, 9), model) AS rank_{x}" for x in ("psi", "js", "iou", "em")) + " FROM dist) SELECT *, (rank_psi + rank_js + rank_iou + rank_em) / 4 AS rank_avg, row_number() OVER (PARTITION BY domain ORDER BY rank_psi + rank_js + rank_iou + rank_em, model) AS rank_overall FROM rk",
+    "rmse": f"WITH {A.PREDICTIONS} SELECT domain, model, round(sqrt(avg((mu0 - mu) * (mu0 - mu))), 6) AS rmse, CASE WHEN max(mu) > min(mu) THEN round(corr(mu0, mu), 6) END AS corr FROM pred GROUP BY ALL",
+    "synchronicity": f"{_SCORED} SELECT domain, model, round(avg(s), 6) AS mean_s, round(min(s), 6) AS low_s, round(max(s), 6) AS high_s, count(*) AS n FROM sc GROUP BY ALL",
+    "coverage_measures": _COVER,
+    "tail_shares": f"{_SCORED} SELECT domain, model, " + ", ".join(f"round(avg((abs(s) <= {t})::INT), 6) AS {n}" for n, t in (("t50", 0.5), ("t68", 0.68), ("t90", 0.9), ("t95", 0.95))) + " FROM sc GROUP BY ALL",
+    "summary_percentiles": f"WITH {A.SAMPLES} SELECT period, domain, count(v) AS n, " + ", ".join(f"round(quantile_cont(v, {p / 100!r}), 4) AS p{i}" for i, p in enumerate(summary.PERCENTS)) + " FROM s GROUP BY ALL",
+    "domain_key": f"WITH {A.GEOMETRY} SELECT domain_id, 'LZ' || domain_id // 1000 || '_' || domain_id // 100 % 10 || '_' || domain_id // 10 % 10 || '_' || domain_id % 10 AS name FROM g",
+    "rotate_scale": _RZ,
+    "region_clip": f"WITH {A.SAMPLES}, b AS (SELECT domain, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy, min(z) AS lz, max(z) AS hz FROM s WHERE block_id % 25 = 0 GROUP BY domain) SELECT domain, block_id FROM s JOIN b USING (domain) WHERE block_id % 5 <> 0 AND x > lx - 5 AND x < hx + 5 AND y > ly - 5 AND y < hy + 5 AND z > lz - 5 AND z < hz + 5",
+    "octants": f"WITH {A.SAMPLES} SELECT domain, (x < 0)::INT + 2 * (y < 0)::INT + 4 * (z < 0)::INT AS octant, count(*) AS n FROM s GROUP BY ALL",
+    "knn_octant": _KNN,
+    "grid_mean": f"WITH {A.SAMPLES}, lo AS (SELECT domain, min(x) AS lx, min(y) AS ly, min(z) AS lz FROM s GROUP BY domain) SELECT domain, round_even((x - lx) / 100, 0)::BIGINT AS ix, round_even((y - ly) / 100, 0)::BIGINT AS iy, round_even((z - lz) / 100, 0)::BIGINT AS iz, count(v) AS n, round(sum(v), 4) AS total, round(avg(v), 4) AS mean FROM s JOIN lo USING (domain) GROUP BY ALL",
+    "exp_variogram": f"WITH {A.SAMPLES}, pr AS (SELECT a.domain, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d, (a.v - b.v) * (a.v - b.v) / 2 AS g FROM s a JOIN s b ON a.domain = b.domain AND a.block_id < b.block_id) SELECT domain, floor(d * 10 / 250)::BIGINT AS lag, count(*) AS n, round(avg(g), 6) AS gamma FROM pr WHERE d < 250 GROUP BY ALL",
+    "prefix_moments": f"WITH {A.SIMULATIONS} SELECT domain, block_id, m, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM sims, (SELECT unnest([2, 4, 8]) AS m) WHERE sim < m GROUP BY ALL",
+    "family_mean_se": f"WITH {A.ANALYSIS} SELECT model, count(v) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v) / sqrt(count(v)), 6) AS se FROM a GROUP BY model",
+    "weighted_sem": _WSEM,
+    "t_paired": f"WITH {A.PREDICTIONS} SELECT domain, model, count(*) AS n, round(avg(mu0 - mu) / (stddev_samp(mu0 - mu) / sqrt(count(*))), 6) AS t FROM pred GROUP BY ALL",
+    "availability_semi": f"WITH {A.ANALYSIS} SELECT period, domain, count(*) AS n FROM a WHERE (period, domain) IN (SELECT (period, domain) FROM a WHERE v > 100) GROUP BY ALL",
+    "param_antijoin": f"WITH {A.SAMPLES} SELECT domain, block_id FROM s WHERE block_id NOT IN (SELECT block_id FROM s WHERE v > 0)",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
