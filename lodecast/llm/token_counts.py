@@ -8,7 +8,9 @@ handled in parts of a word's size, and nothing is shuffled.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,19 @@ BATCH_BYTES = 8 << 20
 CACHE_PARTS = 300_000
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    """The C library's call that gives free memory back, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives memory of finished batches back, as workers live on and would otherwise keep their peak."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
+
+
 def balanced(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.Table]:
     """Regroups Arrow batches so that each has about ``limit`` bytes of text (one row at least)."""
     held: list[pa.RecordBatch] = []
@@ -44,8 +59,11 @@ def balanced(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iter
             if size >= limit or start < batch.num_rows:
                 yield pa.Table.from_batches(held)
                 held, size = [], 0
+                release()
     if held:
         yield pa.Table.from_batches(held)
+        held = []
+    release()
 
 
 class PieceLengths:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodecast.llm.splitting import spans, split_words
-from lodecast.llm.token_counts import balanced
+from lodecast.llm.token_counts import balanced, release
 
 #: Words that are passed to the tokenizer as one text.
 JOINED = 2000
@@ -30,7 +30,7 @@ _HASHED = 16
 
 
 #: Text bytes of a block of packed rows, about. A task holds one block at a time, so this bounds its memory.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
 
 
 def buckets_for(spark: SparkSession) -> int:
@@ -181,6 +181,8 @@ def assemble_blocks(base: DataFrame, path: str, n_buckets: int, assemble: Assemb
             own = ids.take(coded.indices.slice(start, len(words)))
             packed.append(pack(narrowed(own) if narrow else own))
             start += len(words)
+        del asked, coded, ids
+        release()
         return table.select(["_bucket", "_block"]).append_column("_ids", pa.array(packed, pa.binary()))
 
     def join(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
@@ -188,7 +190,8 @@ def assemble_blocks(base: DataFrame, path: str, n_buckets: int, assemble: Assemb
         ids = pa.concat_arrays([none, *(unpack(v) for v in answers.sort_by("_bucket").column("_ids").to_pylist())])
         ids = widened(ids) if narrow else ids
         made = [assemble(key[0].as_py(), own, *joined_ids(own.column("_text"), ids, n_buckets)) for own in parts(rows)]
-        pa.default_memory_pool().release_unused()
+        del ids
+        release()
         return pa.concat_tables(made)
 
     # Both groupings read the same columns of `base`, so that Spark shuffles it once.
