@@ -63,3 +63,27 @@ def rank_models(found: DataFrame, keys: list[str], model: str = "model") -> Data
     ranked = found.select("*", *(F.row_number().over(group.orderBy(F.round(d, 9), model)).alias(n) for d, n in zip(DISTANCES, names, strict=True)))
     mean = ranked.withColumn("rank_avg", sum(F.col(n) for n in names) / len(names))
     return mean.withColumn("rank_overall", F.row_number().over(group.orderBy("rank_avg", model)))
+
+
+def fixed_histogram(rows: DataFrame, keys: list[str], low: float, high: float, value: str = "v", bins: int = BINS) -> DataFrame:
+    """``keys, bin, n, share`` over fixed edges; bins 0 and bins + 1 are open, and ``high`` itself is in the last closed bin."""
+    x = F.col(value)
+    at = F.when(x == high, bins).otherwise(F.least(F.greatest(F.floor((x - low) * bins / (high - low)) + 1, F.lit(0)), F.lit(bins + 1)))
+    counts = rows.where(x.isNotNull() & ~F.isnan(x)).groupBy(*keys, at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    return counts.withColumn("share", F.col("n") / (F.sum("n").over(Window.partitionBy(*keys)) + 1e-9))
+
+
+def divergence(sample: DataFrame, full: DataFrame, keys: list[str], value: str = "v", bins: int = 100) -> DataFrame:
+    """``keys, kl``: Kullback-Leibler divergence (natural logarithm) of a sample's shares from those of all rows.
+
+    Bins span all rows' values; a bin that only the sample fills makes it infinite.
+    """
+    span = full.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    width = F.when(F.col("_high") > F.col("_low"), (F.col("_high") - F.col("_low")) / bins).otherwise(1.0)
+    at = F.greatest(F.least(F.floor((F.col(value) - F.col("_low")) / width), F.lit(bins - 1)), F.lit(0))
+    both = sample.select(*keys, value, F.lit(1).alias("_s")).unionByName(full.select(*keys, value, F.lit(0).alias("_s"))).where(F.col(value).isNotNull() & ~F.isnan(value))
+    counts = both.join(span, keys).groupBy(*keys, at.alias("bin")).agg(F.sum("_s").alias("_p"), F.sum(1 - F.col("_s")).alias("_q"))
+    every = Window.partitionBy(*keys)
+    p, q = F.col("_p") / F.sum("_p").over(every), F.col("_q") / F.sum("_q").over(every)
+    part = F.when(p == 0, 0.0).when(q == 0, float("inf")).otherwise(p * F.log(p / q))
+    return counts.select(*keys, part.alias("_k")).groupBy(*keys).agg(F.sum("_k").alias("kl"))

@@ -13,6 +13,18 @@ from pyspark.sql import functions as F
 from lodecast.operators.spatial import AXES, neighbours
 
 
+def bessel_k(nu: float, x: np.ndarray) -> np.ndarray:
+    """The modified Bessel function of the second kind: its integral by the trapezoid rule."""
+    t = np.linspace(0, 32, 2001)
+    shape, flat = np.shape(x), np.ravel(np.asarray(x, float))
+    out = np.empty(len(flat))
+    with np.errstate(under="ignore"):
+        for at in range(0, len(flat), 1000):  # bounds the table of places by steps
+            f = np.exp(np.log(np.cosh(nu * t)) - flat[at : at + 1000, None] * np.cosh(t))
+            out[at : at + 1000] = (f.sum(1) - (f[:, 0] + f[:, -1]) / 2) * (t[1] - t[0])
+    return out.reshape(shape)
+
+
 @dataclass(frozen=True)
 class Variogram:
     """A covariance model: effective range, sill, nugget and the shape's name."""
@@ -21,6 +33,7 @@ class Variogram:
     sill: float
     nugget: float = 0.0
     kind: str = "exponential"
+    smoothness: float = 1.5
 
     def covariance(self, lag: np.ndarray) -> np.ndarray:
         h, part = np.asarray(lag, float) / self.range, self.sill - self.nugget
@@ -31,6 +44,9 @@ class Variogram:
             return part * np.exp(-3 * h * h)
         if kind == "spherical":
             return np.where(h <= 1, part - 1.5 * h + 0.5 * h**3, self.sill - 1)
+        if kind == "matern":
+            nu, u = self.smoothness, np.maximum(h, 1e-12) * math.sqrt(self.smoothness)
+            return np.where(h > 0, part * 2 / math.gamma(nu) * (2 * u) ** nu * bessel_k(nu, 4 * u), 1.0)
         raise ValueError(f"no covariance model {self.kind!r}")
 
 
@@ -49,19 +65,19 @@ def krige_point(points: np.ndarray, values: np.ndarray, place: np.ndarray, model
     return mean + float(w @ (values - mean)), max(0.0, model.sill - float(w @ c))
 
 
-def krige(queries: DataFrame, known: DataFrame, keys: list[str], model: Variogram, k: int = 9, radius: float | None = None, ordinary: bool = True) -> DataFrame:
-    """``keys, block_id, estimate, variance`` for each query with a known point in its group.
-
-    Neighbours are found by a join; each query's few neighbours are then one row,
-    so the equations are solved in Arrow batches of queries, without a shuffle of
-    their own. A query at a known point gets its value and no variance. The mean of
-    simple kriging is that of the group's known values.
-    """
-    radius = radius or model.range / 2
+def with_neighbours(queries: DataFrame, known: DataFrame, keys: list[str], k: int, radius: float) -> DataFrame:
+    """``keys, q_id, x, y, z, near, group_mean``: each query with its few neighbours as one array."""
     near = neighbours(queries, known, keys, radius, k).select(*keys, F.col("q_id"), "block_id")
     held = near.join(known.select(*keys, "block_id", *AXES, "v"), [*keys, "block_id"]).groupBy(*keys, "q_id").agg(F.sort_array(F.collect_list(F.struct("block_id", *AXES, "v"))).alias("near"))
     means = known.groupBy(*keys).agg(F.avg("v").alias("group_mean"))
-    rows = queries.select(*keys, F.col("block_id").alias("q_id"), *AXES).join(held, [*keys, "q_id"]).join(means, keys)
+    return queries.select(*keys, F.col("block_id").alias("q_id"), *AXES).join(held, [*keys, "q_id"]).join(means, keys)
+
+
+def predict_each(rows: DataFrame, keys: list[str], point, exact: bool = True) -> DataFrame:
+    """``keys, block_id, estimate, variance``: ``point(points, values, place, mean)`` on each query, in Arrow batches.
+
+    With ``exact``, a query at a known point gets its value and no variance.
+    """
     schema = rows.select(*keys, F.col("q_id").alias("block_id")).schema.add("estimate", "double").add("variance", "double")
 
     def solve(frames):
@@ -72,19 +88,32 @@ def krige(queries: DataFrame, known: DataFrame, keys: list[str], model: Variogra
                 values = np.array([p["v"] for p in q.near])
                 place = np.array([getattr(q, a) for a in AXES])
                 same = np.flatnonzero((np.abs(points - place) <= 1e-8 + 1e-5 * np.abs(place)).all(1))
-                out.append((float(values[same[0]]), 0.0) if len(same) else krige_point(points, values, place, model, None if ordinary else q.group_mean))
+                out.append((float(values[same[0]]), 0.0) if exact and len(same) else point(points, values, place, q.group_mean))
             made = pd.DataFrame(out, columns=["estimate", "variance"], index=frame.index)
             yield pd.concat([frame[keys], frame["q_id"].rename("block_id"), made], axis=1)
 
     return rows.mapInPandas(solve, schema)
 
 
-def simulate(queries: DataFrame, known: DataFrame, keys: list[str], model: Variogram, sims: int, k: int = 9, seed: int = 0, ordinary: bool = True) -> DataFrame:
+def krige(queries: DataFrame, known: DataFrame, keys: list[str], model: Variogram, k: int = 9, radius: float | None = None, ordinary: bool = True) -> DataFrame:
+    """``keys, block_id, estimate, variance`` for each query with a known point in its group.
+
+    Neighbours are found by a join; each query's few neighbours are then one row,
+    so the equations are solved in Arrow batches of queries, without a shuffle of
+    their own. A query at a known point gets its value and no variance. The mean of
+    simple kriging is that of the group's known values.
+    """
+    rows = with_neighbours(queries, known, keys, k, radius or model.range / 2)
+    return predict_each(rows, keys, lambda points, values, place, mean: krige_point(points, values, place, model, None if ordinary else mean))
+
+
+def simulate(queries: DataFrame, known: DataFrame, keys: list[str], model: Variogram, sims: int, k: int = 9, seed: int = 0, ordinary: bool = True, point=None) -> DataFrame:
     """``keys, sim, block_id, value``: sequential Gaussian realisations.
 
     A realisation visits the queries in a random order, draws each from its kriged
     distribution and adds it to the known points; it is sequential by definition,
-    so groups and realisations are what runs in parallel.
+    so groups and realisations are what runs in parallel. ``point``, if given, is used in
+    place of kriging.
     """
     both = known.select(*keys, "block_id", *AXES, "v").unionByName(queries.select(*keys, "block_id", *AXES, F.lit(None).cast("double").alias("v")))
     spread = both.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))))
@@ -106,7 +135,8 @@ def simulate(queries: DataFrame, known: DataFrame, keys: list[str], model: Vario
             elif lag[near[0]] == 0:
                 out[i] = values[near[0]]
             else:
-                m, var = krige_point(places[near], values[near], at[i], model, None if ordinary else mean)
+                args = places[near], values[near], at[i]
+                m, var = point(*args, mean) if point else krige_point(*args, model, None if ordinary else mean)
                 out[i] = rng.normal(m, math.sqrt(abs(var)))
             places[n], values[n] = at[i], out[i]
             n += 1

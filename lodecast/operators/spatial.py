@@ -91,3 +91,32 @@ def variogram(rows: DataFrame, keys: list[str], max_lag: float, lags: int) -> Da
     pairs = left.join(right, [*keys, *(f"_c{a}" for a in AXES)]).where("_id < block_id").select(*keys, dist.alias("_d"), ((F.col("v") - F.col("_v")) * (F.col("v") - F.col("_v")) / 2).alias("_g"))
     lag = F.floor(F.col("_d") * lags / max_lag).cast("long")
     return pairs.where(F.col("_d") < max_lag).groupBy(*keys, lag.alias("lag")).agg(F.count("*").alias("n"), F.avg("_g").alias("gamma"))
+
+
+def mean_variogram(rows: DataFrame, keys: list[str], max_lag: float, lags: int, value: str = "value", first: int = 16) -> DataFrame:
+    """``keys, lag, gamma``: the mean of the variograms of the first realisations, each taken alone."""
+    each = variogram(rows.where(F.col("sim") < first).withColumn("v", F.col(value)), [*keys, "sim"], max_lag, lags)
+    return each.groupBy(*keys, "lag").agg(F.avg("gamma").alias("gamma"))
+
+
+def variogram_ratios(curves: DataFrame, keys: list[str], reference: str, model: str = "model") -> DataFrame:
+    """``keys, model, p25, p50, p75, fidelity`` of each model's variogram over the reference's.
+
+    Only lags that all models of the group have count. Fidelity is
+    sqrt(1 - abs(min(p50, 2) - 1)), one for equal curves.
+    """
+    models = curves.groupBy(*keys).agg(F.count_distinct(model).alias("_all"))
+    whole = curves.groupBy(*keys, "lag").agg(F.count_distinct(model).alias("_has")).join(models, keys).where("_has = _all").select(*keys, "lag")
+    base = curves.where(F.col(model) == reference).select(*keys, "lag", F.col("gamma").alias("_base")).where("_base > 0").join(whole, [*keys, "lag"])
+    ratio = curves.join(base, [*keys, "lag"]).withColumn("_r", F.col("gamma") / F.col("_base"))
+    cut = ratio.groupBy(*keys, model).agg(*(F.expr(f"percentile(_r, {p / 100!r})").alias(f"p{p}") for p in (25, 50, 75)))
+    return cut.withColumn("fidelity", F.sqrt(1 - F.abs(F.least("p50", F.lit(2.0)) - 1)))
+
+
+def grid(rows: DataFrame, keys: list[str], size: float) -> DataFrame:
+    """``keys, x, y, z``: a regular grid from each group's least corner, as far as its box reaches."""
+    box = rows.groupBy(*keys).agg(*(f(a).alias(f"_{n}{a}") for a in AXES for n, f in (("low", F.min), ("high", F.max))))
+    for a in AXES:
+        steps = F.floor((F.col(f"_high{a}") - F.col(f"_low{a}")) / size).cast("long")
+        box = box.withColumn(f"_i{a}", F.explode(F.sequence(F.lit(0).cast("long"), steps)))
+    return box.select(*keys, *((F.col(f"_low{a}") + F.col(f"_i{a}") * size).alias(a) for a in AXES))

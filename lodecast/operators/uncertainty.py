@@ -19,6 +19,13 @@ def with_synchronicity(rows: DataFrame) -> DataFrame:
     return rows.where(finite).withColumn("s", F.expr(synchronicity())).withColumn("p_star", 1 - F.abs("s"))
 
 
+def _place(needed: Column) -> Column:
+    """The first place (from 1) of the grid that is not below ``needed``, or one beyond the grid."""
+    grid = probability_grid()
+    place = F.array_position(F.transform(F.array(*map(F.lit, grid)), lambda p: p >= needed), F.lit(True))
+    return F.when(place > 0, place).otherwise(len(grid) + 1)
+
+
 def kappa(scored: DataFrame, keys: list[str], slack: float = 0.0) -> DataFrame:
     """``keys, p, kappa``: for each grid proportion p, the share of rows with p >= (1 - slack) p_star.
 
@@ -26,10 +33,7 @@ def kappa(scored: DataFrame, keys: list[str], slack: float = 0.0) -> DataFrame:
     most 257 places gives all shares, so rows are never multiplied by the grid.
     """
     grid = probability_grid()
-    needed = F.col("p_star") * (1 - slack)
-    place = F.array_position(F.transform(F.array(*map(F.lit, grid)), lambda p: p >= needed), F.lit(True))
-    at = F.when(place > 0, place).otherwise(len(grid) + 1)
-    counts = scored.groupBy(*keys, at.alias("_at")).agg(F.count("*").alias("_n"))
+    counts = scored.groupBy(*keys, _place(F.col("p_star") * (1 - slack)).alias("_at")).agg(F.count("*").alias("_n"))
     full = counts.select(*keys).distinct().select(*keys, F.posexplode(F.array(*map(F.lit, grid))).alias("_i", "p"))
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
     placed = full.withColumn("_at", (F.col("_i") + 1).cast("long")).join(counts, [*keys, "_at"], "left").join(totals, keys)
@@ -59,3 +63,35 @@ def tail_shares(scored: DataFrame, keys: list[str], limits: dict[str, float]) ->
         return F.avg((F.abs("s") <= limit).cast("double"))
 
     return scored.groupBy(*keys).agg(*(share(v).alias(k) for k, v in limits.items()))
+
+
+def accuracy_by_slack(scored: DataFrame, keys: list[str], slacks: list[float]) -> DataFrame:
+    """``keys, slack, accuracy``: the share of proportions p whose kappa reaches (1 - slack) p."""
+    every = F.explode(F.array(*map(F.lit, slacks))).alias("slack")
+    reached = (F.col("kappa") >= (1 - F.col("slack")) * F.col("p")).cast("double")
+    return kappa(scored, keys).select(*keys, "p", "kappa", every).groupBy(*keys, "slack").agg(F.avg(reached).alias("accuracy"))
+
+
+def interval_width(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, p, width``: mean width of the intervals of rows that proportion p counts; null where it counts none.
+
+    The half width of a row is its deviation times abs(z), five at most: the
+    quantile of (1 + p_star) / 2 is abs(z) by the definition of s.
+    """
+    z = F.abs(F.col("mu0") - F.col("mu")) / (F.col("sigma") + 1e-6)
+    width = 2 * F.least(z, F.lit(5.0)) * F.col("sigma")
+    placed = scored.groupBy(*keys, _place(F.col("p_star")).alias("_at")).agg(F.count("*").alias("_n"), F.sum(width).alias("_w"))
+    full = placed.select(*keys).distinct().select(*keys, F.posexplode(F.array(*map(F.lit, probability_grid()))).alias("_i", "p"))
+    joined = full.withColumn("_at", (F.col("_i") + 1).cast("long")).join(placed, [*keys, "_at"], "left")
+    running = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    n = F.sum(F.coalesce("_n", F.lit(0))).over(running)
+    return joined.select(*keys, "_at", "p", F.when(n > 0, F.sum(F.coalesce("_w", F.lit(0.0))).over(running) / n).alias("width"))
+
+
+def tightness(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, tightness``: the mean interval width over p, in deviations of the truth (of 1 where it is constant)."""
+    step = F.col("p") - F.lag("p", 1, 0.0).over(Window.partitionBy(*keys).orderBy("_at"))
+    wide = interval_width(scored, keys).withColumn("_dp", step).where("width IS NOT NULL")
+    mean = wide.groupBy(*keys).agg((F.sum(F.col("width") * F.col("_dp")) / F.sum("_dp")).alias("_mean"))
+    spread = scored.groupBy(*keys).agg(F.stddev_pop("mu0").alias("_sd"))
+    return mean.join(spread, keys).select(*keys, (F.col("_mean") / F.when(F.col("_sd") > 0, F.col("_sd")).otherwise(1.0)).alias("tightness"))

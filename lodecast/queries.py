@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodecast import adapters as A
 from lodecast.functions.normal import synchronicity
-from lodecast.operators import histogram, kriging, spatial, summary, uncertainty
+from lodecast.operators import downsample, gaussian_process, histogram, kriging, normal_score, significance, spatial, summary, uncertainty, variogram_fit
 
 GROUP = ["domain", "model"]
 
@@ -29,6 +29,29 @@ def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return rows.where("block_id % 5 = 0"), rows.where("block_id % 5 <> 0")
 
 
+def _curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variograms of the truth and of each realisation at the places of the realisations."""
+    places = A.samples(spark, sf_dir).where("block_id % 5 = 0")
+    sims = places.select("domain", "block_id", "x", "y", "z").join(A.simulations(spark, sf_dir), ["domain", "block_id"])
+    rows = places.select("domain", F.lit("truth").alias("model"), "block_id", "x", "y", "z", "v").unionByName(
+        sims.select("domain", F.concat(F.lit("sim"), "sim").alias("model"), "block_id", "x", "y", "z", F.col("value").alias("v")))
+    return spatial.variogram(rows, ["domain", "model"], 250.0, 5)
+
+
+def _placed_sims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.samples(spark, sf_dir).select("domain", "block_id", "x", "y", "z").join(A.simulations(spark, sf_dir), ["domain", "block_id"])
+
+
+def _nst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = A.samples(spark, sf_dir)
+    fitted = normal_score.quantiles(rows, ["domain"])
+    scores = normal_score.transform(rows, fitted, ["domain"]).select("domain", "block_id", "v", "score")
+    return normal_score.inverse(scores, fitted, ["domain"], into="back")
+
+
+SLACKS = [0.0, 0.005, 0.01, 0.05, 0.1, 0.25]
+KERNEL = gaussian_process.Kernel(3000.0, (120.0, 120.0, 120.0), 300.0)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hist_pmf": lambda s, d: rounded(histogram.pmfs(A.predictions(s, d), GROUP), 9),
     "hist_distances": lambda s, d: rounded(histogram.distances(A.predictions(s, d), GROUP)),
@@ -54,6 +77,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ordinary_kriging": lambda s, d: rounded(kriging.krige(*_split(s, d), ["domain"], kriging.Variogram(300.0, 3000.0))),
     "simple_kriging": lambda s, d: rounded(kriging.krige(*_split(s, d), ["domain"], kriging.Variogram(300.0, 3000.0), ordinary=False)),
     "ok_sgs": lambda s, d: rounded(kriging.simulate(*_split(s, d), ["domain"], kriging.Variogram(300.0, 3000.0), 2)),
+    "accuracy_slack": lambda s, d: rounded(uncertainty.accuracy_by_slack(_scored(s, d), GROUP, SLACKS)),
+    "width": lambda s, d: rounded(uncertainty.interval_width(_scored(s, d), GROUP).select(*GROUP, "p", "width")),
+    "tightness": lambda s, d: rounded(uncertainty.tightness(_scored(s, d), GROUP)),
+    "fixed_hist": lambda s, d: rounded(histogram.fixed_histogram(A.analysis(s, d), ["model"], 5.0, 160.0)),
+    "kl_pmf": lambda s, d: rounded(histogram.divergence(A.samples(s, d).where("block_id % 5 = 0"), A.samples(s, d), ["domain"])),
+    "single_shot_variogram": lambda s, d: rounded(spatial.mean_variogram(_placed_sims(s, d), ["domain"], 250.0, 5, first=4)),
+    "variogram_ratio": lambda s, d: rounded(spatial.variogram_ratios(_curves(s, d), ["domain"], "truth")),
+    "make_grid": lambda s, d: rounded(spatial.grid(A.samples(s, d), ["domain"], 100.0)),
+    "nst_gradient": lambda s, d: rounded(normal_score.gradient(A.samples(s, d).withColumn("score", F.col("v") / (F.abs("v") + 100)), ["domain"]), 9),
+    "nst_round_trip": lambda s, d: rounded(_nst(s, d)),
+    "t_test_paired": lambda s, d: rounded(significance.t_test(A.predictions(s, d), GROUP, "mu0", "mu"), 4),
+    "t_test_welch": lambda s, d: rounded(significance.t_test(A.predictions(s, d), GROUP, "mu0", "mu", "welch"), 4),
+    "variogram_fit": lambda s, d: rounded(variogram_fit.fit(spatial.variogram(A.samples(s, d), ["domain"], 250.0, 10), ["domain"], 25.0, max_range=250.0), 3),
+    "downsample": lambda s, d: downsample.downsample(A.samples(s, d), ["domain"], 40, trials=25).select("domain", "block_id"),
+    "gp_train": lambda s, d: rounded(gaussian_process.train(downsample.downsample(A.samples(s, d), ["domain"], 60, trials=5), ["domain"], restarts=1), 3),
+    "gp_local": lambda s, d: rounded(gaussian_process.infer_local(*_split(s, d), ["domain"], KERNEL)),
+    "gp_global": lambda s, d: rounded(gaussian_process.infer_global(_split(s, d)[0], downsample.downsample(_split(s, d)[1], ["domain"], 300, trials=2), ["domain"], KERNEL)),
+    "gp_sgs": lambda s, d: rounded(gaussian_process.simulate_sequential(*_split(s, d), ["domain"], KERNEL, 2)),
+    "gp_crf": lambda s, d: rounded(gaussian_process.simulate_joint(*_split(s, d), ["domain"], KERNEL, 2)),
+    "matern_kriging": lambda s, d: rounded(kriging.krige(*_split(s, d), ["domain"], kriging.Variogram(300.0, 3000.0, kind="matern"))),
     "sk_sgs": lambda s, d: rounded(kriging.simulate(*_split(s, d), ["domain"], kriging.Variogram(300.0, 3000.0), 2, ordinary=False)),
 }
 
@@ -86,6 +129,12 @@ _WSEM = f"""WITH {A.ANALYSIS}, m AS (SELECT model, sum(w) AS sw, sum(w * v) / su
 SELECT model, round(any_value(xb), 6) AS mean, round(sqrt(greatest(any_value(sw) / ((any_value(sw) - 1) * any_value(sw)::DOUBLE * any_value(sw)) * (sum((w * v - wb * xb) * (w * v - wb * xb)) - 2 * any_value(xb) * sum((w - wb) * (w * v - wb * xb)) + any_value(xb) * any_value(xb) * sum((w - wb) * (w - wb))), 0)), 6) AS sem
 FROM a JOIN m USING (model) GROUP BY model"""
 
+_WIDTH = f"""{_SCORED}, {_P}, x AS (SELECT domain, model, round(p_star, 9) AS ps, 2 * least(abs(mu0 - mu) / (sigma + 1e-6), 5) * sigma AS w FROM sc),
+wd AS (SELECT g.domain, g.model, g.p, avg(w) FILTER (p >= ps) AS width FROM x JOIN (SELECT DISTINCT domain, model, p FROM x, p) g USING (domain, model) GROUP BY ALL)"""
+_SIM_PAIRS = f"""WITH {A.SIMULATIONS}, r AS (SELECT domain, 'truth' AS model, -1 AS sim, block_id, x, y, z, v FROM s WHERE block_id % 5 = 0 UNION ALL SELECT s.domain, 'sim' || sim, sim, block_id, x, y, z, value FROM s JOIN sims USING (domain, block_id)),
+pr AS (SELECT a.domain, a.model, a.sim, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d, (a.v - b.v) * (a.v - b.v) / 2 AS g FROM r a JOIN r b ON a.domain = b.domain AND a.model = b.model AND a.block_id < b.block_id),
+c AS (SELECT domain, model, sim, floor(d * 5 / 250)::BIGINT AS lag, avg(g) AS gamma FROM pr WHERE d < 250 GROUP BY ALL)"""
+
 ORACLES = {
     "hist_pmf": f"{_PMF} SELECT domain, model, bin, round(q, 9) AS q, round(p, 9) AS p FROM pq",
     "hist_distances": f"{_DIST} SELECT domain, model, round(d_psi, 6) AS d_psi, round(d_js, 6) AS d_js, round(d_iou, 6) AS d_iou, round(d_em, 6) AS d_em FROM dist",
@@ -108,6 +157,15 @@ ORACLES = {
     "t_paired": f"WITH {A.PREDICTIONS} SELECT domain, model, count(*) AS n, round(avg(mu0 - mu) / (stddev_samp(mu0 - mu) / sqrt(count(*))), 6) AS t FROM pred GROUP BY ALL",
     "availability_semi": f"WITH {A.ANALYSIS} SELECT period, domain, count(*) AS n FROM a WHERE (period, domain) IN (SELECT (period, domain) FROM a WHERE v > 100) GROUP BY ALL",
     "param_antijoin": f"WITH {A.SAMPLES} SELECT domain, block_id FROM s WHERE block_id NOT IN (SELECT block_id FROM s WHERE v > 0)",
+    "accuracy_slack": f"{_SCORED}, {_P}, n AS (SELECT domain, model, count(*) AS n FROM sc GROUP BY ALL), k AS (SELECT domain, model, p, count(*) FILTER (p >= round(p_star, 9)) / any_value(n) AS kap FROM sc JOIN n USING (domain, model), p GROUP BY domain, model, p) SELECT domain, model, slack::DOUBLE AS slack, round(avg((kap >= (1 - slack::DOUBLE) * p)::INT), 6) AS accuracy FROM k, (SELECT unnest([0.0, 0.005, 0.01, 0.05, 0.1, 0.25]) AS slack) GROUP BY ALL",
+    "width": f"{_WIDTH} SELECT domain, model, round(p, 6) AS p, round(width, 6) AS width FROM wd",
+    "tightness": f"{_WIDTH}, t AS (SELECT *, p - lag(p, 1, 0) OVER (PARTITION BY domain, model ORDER BY p) AS dp FROM wd), sd AS (SELECT domain, model, stddev_pop(mu0) AS sd FROM sc GROUP BY ALL) SELECT domain, model, round(sum(width * dp) / sum(dp) / any_value(CASE WHEN sd > 0 THEN sd ELSE 1 END), 6) AS tightness FROM t JOIN sd USING (domain, model) WHERE width IS NOT NULL GROUP BY domain, model",
+    "fixed_hist": f"WITH {A.ANALYSIS}, b AS (SELECT model, CASE WHEN v = 160 THEN 40 ELSE least(greatest(floor((v - 5) * 40 / 155) + 1, 0), 41) END::INT AS bin, count(*) AS n FROM a WHERE v IS NOT NULL GROUP BY ALL) SELECT model, bin, n, round(n / (sum(n) OVER (PARTITION BY model) + 1e-9), 6) AS share FROM b",
+    "kl_pmf": f"WITH {A.SAMPLES}, e AS (SELECT domain, min(v) AS lo, (max(v) - min(v)) / 100 AS w FROM s GROUP BY domain), b AS (SELECT domain, greatest(least(floor((v - lo) / CASE WHEN w > 0 THEN w ELSE 1 END), 99), 0) AS bin, count(*) FILTER (block_id % 5 = 0) AS np, count(*) AS nq FROM s JOIN e USING (domain) GROUP BY ALL), pq AS (SELECT domain, np / sum(np) OVER (PARTITION BY domain) AS p, nq / sum(nq) OVER (PARTITION BY domain) AS q FROM b) SELECT domain, round(sum(CASE WHEN p > 0 THEN p * ln(p / q) ELSE 0 END), 6) AS kl FROM pq GROUP BY domain",
+    "single_shot_variogram": f"{_SIM_PAIRS} SELECT domain, lag, round(avg(gamma), 6) AS gamma FROM c WHERE sim BETWEEN 0 AND 3 GROUP BY ALL",
+    "variogram_ratio": f"{_SIM_PAIRS}, f AS (SELECT domain, lag FROM c GROUP BY domain, lag HAVING count(*) = (SELECT count(DISTINCT model) FROM c k WHERE k.domain = c.domain)), q AS (SELECT c.domain, c.model, c.gamma / t.gamma AS r FROM c JOIN c t ON c.domain = t.domain AND c.lag = t.lag AND t.model = 'truth' AND t.gamma > 0 JOIN f ON f.domain = c.domain AND f.lag = c.lag) SELECT domain, model, round(quantile_cont(r, 0.25), 6) AS p25, round(quantile_cont(r, 0.5), 6) AS p50, round(quantile_cont(r, 0.75), 6) AS p75, round(sqrt(1 - abs(least(quantile_cont(r, 0.5), 2) - 1)), 6) AS fidelity FROM q GROUP BY ALL",
+    "make_grid": f"WITH {A.SAMPLES}, b AS (SELECT domain, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy, min(z) AS lz, max(z) AS hz FROM s GROUP BY domain), n AS (SELECT unnest(generate_series(0, 1000)) AS i) SELECT domain, round(lx + a.i * 100, 6) AS x, round(ly + c.i * 100, 6) AS y, round(lz + e.i * 100, 6) AS z FROM b JOIN n a ON a.i <= floor((hx - lx) / 100) JOIN n c ON c.i <= floor((hy - ly) / 100) JOIN n e ON e.i <= floor((hz - lz) / 100)",
+    "nst_gradient": f"WITH {A.SAMPLES}, u AS (SELECT domain, v, v / (abs(v) + 100) AS f FROM s WHERE v IS NOT NULL), g AS (SELECT domain, (f - lag(f) OVER o) / (1e-9 + v - lag(v) OVER o) AS g FROM u WINDOW o AS (PARTITION BY domain ORDER BY v, f)) SELECT domain, round(median(g), 9) AS gradient FROM g WHERE g > 0 GROUP BY domain",
 }
 
 
