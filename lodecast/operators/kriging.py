@@ -15,7 +15,7 @@ from lodecast.operators.spatial import AXES, neighbours
 
 def bessel_k(nu: float, x: np.ndarray) -> np.ndarray:
     """The modified Bessel function of the second kind: its integral by the trapezoid rule."""
-    t = np.linspace(0, 32, 2001)
+    t = np.linspace(0, 32, 257)
     shape, flat = np.shape(x), np.ravel(np.asarray(x, float))
     out = np.empty(len(flat))
     with np.errstate(under="ignore"):

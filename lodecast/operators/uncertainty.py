@@ -20,10 +20,17 @@ def with_synchronicity(rows: DataFrame) -> DataFrame:
 
 
 def _place(needed: Column) -> Column:
-    """The first place (from 1) of the grid that is not below ``needed``, or one beyond the grid."""
-    grid = probability_grid()
-    place = F.array_position(F.transform(F.array(*map(F.lit, grid)), lambda p: p >= needed), F.lit(True))
-    return F.when(place > 0, place).otherwise(len(grid) + 1)
+    """The first place (from 1) of the grid that is not below ``needed``, or 257 beyond the grid.
+
+    Both parts of the grid are even, so the place follows by division; a step to
+    either side then settles it by the grid's own values.
+    """
+    def value(i: Column) -> Column:
+        return F.when(i <= 245, F.lit(0.98) * i / 246).otherwise(F.lit(0.98) + F.lit(0.02) * (i - 246) / 11)
+
+    near = F.when(needed <= 0.98, F.ceil(needed * 246 / 0.98)).otherwise(246 + F.ceil((needed - 0.98) * 11 / 0.02))
+    at = F.greatest(F.least(near.cast("int"), F.lit(257)), F.lit(1))
+    return F.when((at > 1) & (value(at - 1) >= needed), at - 1).when((at <= 256) & (value(at) < needed), at + 1).otherwise(at)
 
 
 def kappa(scored: DataFrame, keys: list[str], slack: float = 0.0) -> DataFrame:

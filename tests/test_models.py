@@ -106,3 +106,16 @@ def test_ratio_of_equal_curves(spark):
     curves = spark.createDataFrame([(1, m, i, 1.0 + i) for m in ("truth", "same") for i in range(4)] + [(1, "truth", 9, 4.0)], "domain int, model string, lag long, gamma double")
     for r in spatial.variogram_ratios(curves, ["domain"], "truth").collect():
         assert (r["p25"], r["p50"], r["p75"], r["fidelity"]) == (1, 1, 1, 1)
+
+
+def test_grid_place_equals_a_search(spark):
+    from bisect import bisect_left
+
+    from pyspark.sql import functions as F
+
+    from lodecast.operators.uncertainty import _place, probability_grid
+
+    grid = probability_grid()
+    asked = [0.0, 1.0, 0.999999, 1e-12, *grid, *np.nextafter(grid, 2).tolist(), *np.nextafter(grid, -1).tolist(), *np.random.default_rng(0).uniform(0, 1, 500).tolist()]
+    found = spark.createDataFrame([(v,) for v in asked], "v double").select("v", _place(F.col("v")).alias("at")).collect()
+    assert [r["at"] for r in found] == [bisect_left(grid, r["v"]) + 1 for r in found]
