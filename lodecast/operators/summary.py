@@ -63,3 +63,28 @@ def new_parameters(found: DataFrame, known: DataFrame, keys: list[str]) -> DataF
 def available(rows: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys have an entry in the summary."""
     return rows.join(summary, keys, "left_semi")
+
+
+def attribute_ratios(rows: DataFrame, base: DataFrame, keys: list[str], value: str = "v", low: float | None = None, high: float | None = None) -> DataFrame:
+    """``keys, ratio``: each attribute over the same entry of ``base`` plus 1e-6, clamped to the limits given.
+
+    Entries that either side lacks have no row; the matrix is its pivot.
+    """
+    ratio = F.try_divide(F.col(value), F.col("_base") + 1e-6)
+    if low is not None:
+        ratio = F.when(ratio.isNotNull(), F.greatest(ratio, F.lit(low)))
+    if high is not None:
+        ratio = F.when(ratio.isNotNull(), F.least(ratio, F.lit(high)))
+    other = base.select(*keys, F.col(value).alias("_base")).where("_base IS NOT NULL")
+    return rows.where(F.col(value).isNotNull()).join(other, keys).select(*keys, ratio.alias("ratio"))
+
+
+def matrix(rows: DataFrame, row: str, columns: list[str], names: list[str], value: str = "v") -> DataFrame:
+    """One row for each ``row``, one column for each of the ``names`` (its key columns joined by colons); missing entries are null."""
+    return rows.select(row, F.concat_ws(":", *columns).alias("_at"), value).groupBy(row).pivot("_at", names).agg(F.first(value))
+
+
+def kriging_serial(method: str, rotated: bool = True, scored: bool = False, prefix: str = "") -> str:
+    """The name of a kriging experiment: [prefix_]method[r]_bt_bi[_nst]."""
+    plain = "".join(c for c in method.lower() if c not in "-()")
+    return f"{prefix + '_' if prefix else ''}{plain}{'r' if rotated else ''}_bt_bi{'_nst' if scored else ''}"

@@ -49,6 +49,10 @@ def _nst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normal_score.inverse(scores, fitted, ["domain"], into="back")
 
 
+def _attributes(spark: SparkSession, sf_dir: str, heavy: bool) -> DataFrame:
+    return A.analysis(spark, sf_dir).where("w > 3" if heavy else "w <= 3").groupBy("domain", "model").agg(F.avg("v").alias("v"))
+
+
 SLACKS = [0.0, 0.005, 0.01, 0.05, 0.1, 0.25]
 KERNEL = gaussian_process.Kernel(3000.0, (120.0, 120.0, 120.0), 300.0)
 
@@ -89,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "nst_round_trip": lambda s, d: rounded(_nst(s, d)),
     "t_test_paired": lambda s, d: rounded(significance.t_test(A.predictions(s, d), GROUP, "mu0", "mu"), 4),
     "t_test_welch": lambda s, d: rounded(significance.t_test(A.predictions(s, d), GROUP, "mu0", "mu", "welch"), 4),
+    "t_welch": lambda s, d: rounded(significance.t_test(A.predictions(s, d), GROUP, "mu0", "mu", "welch").select(*GROUP, "t", "df"), 4),
+    "ratio_matrix": lambda s, d: rounded(summary.attribute_ratios(_attributes(s, d, True), _attributes(s, d, False), ["domain", "model"], low=0.5, high=1.5)),
+    "attribute_matrix": lambda s, d: rounded(summary.matrix(_attributes(s, d, True).where("model IN ('click', 'view')"), "model", ["domain"], [str(i) for i in range(11)]), 4),
     "variogram_fit": lambda s, d: rounded(variogram_fit.fit(spatial.variogram(A.samples(s, d), ["domain"], 250.0, 10), ["domain"], 25.0, max_range=250.0), 3),
     "downsample": lambda s, d: downsample.downsample(A.samples(s, d), ["domain"], 40, trials=25).select("domain", "block_id"),
     "gp_train": lambda s, d: rounded(gaussian_process.train(downsample.downsample(A.samples(s, d), ["domain"], 60, trials=5), ["domain"], restarts=1), 3),
@@ -165,6 +172,9 @@ ORACLES = {
     "single_shot_variogram": f"{_SIM_PAIRS} SELECT domain, lag, round(avg(gamma), 6) AS gamma FROM c WHERE sim BETWEEN 0 AND 3 GROUP BY ALL",
     "variogram_ratio": f"{_SIM_PAIRS}, f AS (SELECT domain, lag FROM c GROUP BY domain, lag HAVING count(*) = (SELECT count(DISTINCT model) FROM c k WHERE k.domain = c.domain)), q AS (SELECT c.domain, c.model, c.gamma / t.gamma AS r FROM c JOIN c t ON c.domain = t.domain AND c.lag = t.lag AND t.model = 'truth' AND t.gamma > 0 JOIN f ON f.domain = c.domain AND f.lag = c.lag) SELECT domain, model, round(quantile_cont(r, 0.25), 6) AS p25, round(quantile_cont(r, 0.5), 6) AS p50, round(quantile_cont(r, 0.75), 6) AS p75, round(sqrt(1 - abs(least(quantile_cont(r, 0.5), 2) - 1)), 6) AS fidelity FROM q GROUP BY ALL",
     "make_grid": f"WITH {A.SAMPLES}, b AS (SELECT domain, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy, min(z) AS lz, max(z) AS hz FROM s GROUP BY domain), n AS (SELECT unnest(generate_series(0, 1000)) AS i) SELECT domain, round(lx + a.i * 100, 6) AS x, round(ly + c.i * 100, 6) AS y, round(lz + e.i * 100, 6) AS z FROM b JOIN n a ON a.i <= floor((hx - lx) / 100) JOIN n c ON c.i <= floor((hy - ly) / 100) JOIN n e ON e.i <= floor((hz - lz) / 100)",
+    "t_welch": f"WITH {A.PREDICTIONS}, e AS (SELECT domain, model, avg(mu0) - avg(mu) AS d, var_samp(mu0) / count(mu0) AS va, var_samp(mu) / count(mu) AS vb, count(*) - 1 AS m FROM pred GROUP BY ALL) SELECT domain, model, round(d / sqrt(va + vb), 4) AS t, round((va + vb) * (va + vb) / (va * va / m + vb * vb / m), 4) AS df FROM e",
+    "ratio_matrix": f"WITH {A.ANALYSIS}, h AS (SELECT domain, model, avg(v) AS v FROM a WHERE w > 3 GROUP BY ALL), b AS (SELECT domain, model, avg(v) AS base FROM a WHERE w <= 3 GROUP BY ALL) SELECT domain, model, round(least(greatest(v / (base + 1e-6), 0.5), 1.5), 6) AS ratio FROM h JOIN b USING (domain, model) WHERE v IS NOT NULL AND base IS NOT NULL",
+    "attribute_matrix": f"WITH {A.ANALYSIS} SELECT model, " + ", ".join(f'round(avg(v) FILTER (domain = {i}), 4) AS "{i}"' for i in range(11)) + " FROM a WHERE w > 3 AND model IN ('click', 'view') GROUP BY model",
     "nst_gradient": f"WITH {A.SAMPLES}, u AS (SELECT domain, v, v / (abs(v) + 100) AS f FROM s WHERE v IS NOT NULL), g AS (SELECT domain, (f - lag(f) OVER o) / (1e-9 + v - lag(v) OVER o) AS g FROM u WINDOW o AS (PARTITION BY domain ORDER BY v, f)) SELECT domain, round(median(g), 9) AS gradient FROM g WHERE g > 0 GROUP BY domain",
 }
 

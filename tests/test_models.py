@@ -119,3 +119,10 @@ def test_grid_place_equals_a_search(spark):
     asked = [0.0, 1.0, 0.999999, 1e-12, *grid, *np.nextafter(grid, 2).tolist(), *np.nextafter(grid, -1).tolist(), *np.random.default_rng(0).uniform(0, 1, 500).tolist()]
     found = spark.createDataFrame([(v,) for v in asked], "v double").select("v", _place(F.col("v")).alias("at")).collect()
     assert [r["at"] for r in found] == [bisect_left(grid, r["v"]) + 1 for r in found]
+
+
+def test_kriging_serials():
+    from lodecast.operators.summary import kriging_serial
+
+    assert kriging_serial("OK-SGS", scored=True) == "oksgsr_bt_bi_nst"
+    assert kriging_serial("SK", rotated=False, prefix="a") == "a_sk_bt_bi"
