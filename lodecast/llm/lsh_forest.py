@@ -2,9 +2,12 @@
 
 Each distinct shingle set has a label in every tree: a sequence of MinHash values.
 Sets that share a label prefix lie under one node of the tree's prefix trie. The
-prefix starts at its full length and is shortened, one value at a time, until a
-pair just at the threshold meets under a node of some tree with the target
-probability; all pairs under a node at that depth are then verified exactly.
+longest prefix at which a pair just at the threshold meets with the target
+probability comes first; all pairs under its nodes are verified exactly. From the
+similarities of the links found so far, the number of links that met in no tree is
+estimated (each link stands for 1 / probability of being found); while it is not
+negligible, prefixes are shortened by one value, and the pairs that meet only under
+the shorter prefix are verified too.
 
 Copies are represented by their set, so exact copies never meet in a node. A
 node of many sets is dealt out in blocks, and each pair of blocks is one unit of
@@ -28,8 +31,10 @@ from lodecast.llm.token_counts import balanced
 from lodecast.llm.words import NOT_SPACE, hashed, mix, ngram_hashes, word_spans
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: Trees, the length of their labels, and the recall at the threshold at which prefixes stop being shortened.
-TREES, DEPTH, RECALL = 24, 8, 0.999
+#: Trees, the most values of a label, and the recall at the threshold from which the first prefix length follows.
+TREES, DEPTH, RECALL = 32, 8, 1 - 1e-7
+#: Links between sets of the whole table that may be expected to be missed; prefixes are shortened until they are as few.
+MISSED = 0.01
 #: Sets and shingles of a block at most, about.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 400_000
 #: Text bytes a task works on at a time.
@@ -64,18 +69,23 @@ def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def tree_keys(shingles: np.ndarray, offsets: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """For each row that has shingles, the key of its node in each tree: ``depth`` MinHash values hashed together."""
+def tree_labels(shingles: np.ndarray, offsets: np.ndarray, trees: int, depth: int) -> np.ndarray:
+    """For each row that has shingles, its label in each tree: ``depth`` MinHash values."""
     seeds = np.random.default_rng(20_011).integers(1, 1 << 32, size=(trees, depth, 2), dtype=np.uint64).astype(np.uint32)
     starts = offsets[:-1][np.diff(offsets) > 0]
     low = (shingles >> np.uint64(32)).astype(np.uint32)
-    keys = np.empty((len(starts), trees), np.uint64)
+    labels = np.empty((len(starts), trees, depth), np.uint32)
     for t in range(trees):
-        key = np.full(len(starts), np.uint64(t + 1))
         for d in range(depth):
-            least = np.minimum.reduceat(low * (seeds[t, d, 0] | np.uint32(1)) ^ seeds[t, d, 1], starts)
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least)
-        keys[:, t] = key
+            labels[:, t, d] = np.minimum.reduceat(low * (seeds[t, d, 0] | np.uint32(1)) ^ seeds[t, d, 1], starts)
+    return labels
+
+
+def prefix_keys(labels: np.ndarray, level: int) -> np.ndarray:
+    """The key of each row's node in each tree at a level: the label's first ``level`` values hashed together."""
+    keys = np.repeat(np.arange(1, labels.shape[1] + 1, dtype=np.uint64)[None], len(labels), 0)
+    for d in range(level):
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + labels[:, :, d])
     return keys
 
 
@@ -87,7 +97,7 @@ def _set_ids(shingles: np.ndarray, offsets: np.ndarray) -> list[bytes | None]:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, trees: int, depth: int) -> DataFrame:
-    """``_id, _hash, _set, _size, _keys``: id, hash of the text, its shingle set's id and size, and its node in each tree."""
+    """``_id, _hash, _set, _size, _label``: id, hash of the text, its shingle set's id and size, and its labels in all trees, packed."""
     slim = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"))
     kind = slim.schema["_id"].dataType.simpleString()
 
@@ -95,15 +105,26 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, trees: int,
         for table in balanced(batches, "_text", BATCH_BYTES):
             shingles, offsets = shingle_sets(table.column("_text"), n)
             sizes = np.diff(offsets)
-            some = sizes > 0
-            found = tree_keys(shingles, offsets, trees, depth)
-            keys = np.zeros((len(sizes), trees), np.uint64)
-            keys[some] = found
-            lists = pa.ListArray.from_arrays(np.arange(len(sizes) + 1, dtype=np.int32) * trees, keys.view(np.int64).ravel())
-            columns = [table.column("_id"), table.column("_hash"), pa.array(_set_ids(shingles, offsets), pa.binary()), pa.array(sizes.astype(np.int32)), lists]
-            yield from pa.Table.from_arrays(columns, names=["_id", "_hash", "_set", "_size", "_keys"]).to_batches()
+            found = iter(tree_labels(shingles, offsets, trees, depth))
+            labels = pa.array([next(found).tobytes() if n else None for n in sizes.tolist()], pa.binary())
+            columns = [table.column("_id"), table.column("_hash"), pa.array(_set_ids(shingles, offsets), pa.binary()), pa.array(sizes.astype(np.int32)), labels]
+            yield from pa.Table.from_arrays(columns, names=["_id", "_hash", "_set", "_size", "_label"]).to_batches()
+
+    return slim.mapInArrow(sign, f"_id {kind}, _hash long, _set binary, _size int, _label binary")
+
+
+def at_level(sets: DataFrame, trees: int, depth: int, level: int) -> DataFrame:
+    """``_set, _size, _keys``: the nodes of each set at a level, and after them those one level below, if there is one."""
 
-    return slim.mapInArrow(sign, f"_id {kind}, _hash long, _set binary, _size int, _keys array<bigint>")
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels = np.frombuffer(b"".join(batch.column("_label").to_pylist()), np.uint32).reshape(batch.num_rows, trees, depth)
+            keys = np.concatenate([prefix_keys(labels, k) for k in range(level, min(level + 1, depth) + 1)], axis=1)
+            ends = np.arange(batch.num_rows + 1, dtype=np.int32) * keys.shape[1]
+            lists = pa.ListArray.from_arrays(ends, keys.view(np.int64).ravel())
+            yield pa.RecordBatch.from_arrays([batch.column("_set"), batch.column("_size"), lists], names=["_set", "_size", "_keys"])
+
+    return sets.select("_set", "_size", "_label").mapInArrow(place, "_set binary, _size int, _keys array<bigint>")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -152,11 +173,11 @@ def _matrix(table: pa.Table) -> np.ndarray:
     return np.asarray(lists.flatten()).view(np.uint64).reshape(table.num_rows, -1)
 
 
-def _first_met(keys: np.ndarray, key: np.uint64) -> np.ndarray:
-    """For each pair of rows, whether this node is where it meets first."""
-    tree = int(np.flatnonzero((keys == key).all(0))[0])
+def _first_met(keys: np.ndarray, key: np.uint64, trees: int) -> np.ndarray:
+    """For each pair of rows, whether this node is where it meets first: neither in an earlier tree nor under a longer prefix."""
+    tree = int(np.flatnonzero((keys[:, :trees] == key).all(0))[0])
     met = np.ones((len(keys), len(keys)), bool)
-    for t in range(tree):
+    for t in (*range(tree), *range(trees, keys.shape[1])):
         met &= keys[:, t, None] != keys[None, :, t]
     return met
 
@@ -190,20 +211,30 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out + out.T
 
 
-def _plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _plan(trees: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows of units that have a pair to verify there."""
-    for table in _runs(batches, _UNIT):
-        keys = _matrix(table)
-        nodes = np.asarray(table.column("_key")).view(np.uint64)
-        blocks, ii, jj = (np.asarray(table.column(c)) for c in ("_block", "_i", "_j"))
-        keep = np.zeros(table.num_rows, bool)
-        for a, b in _units(table):
-            pairs = _across(blocks[a:b], ii[a], jj[a]) & _first_met(keys[a:b], nodes[a])
-            keep[a:b] = pairs.any(0) | pairs.any(1)
-        yield from table.filter(pa.array(keep)).to_batches()
-
-
-def _verify(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, _UNIT):
+            keys = _matrix(table)
+            nodes = np.asarray(table.column("_key")).view(np.uint64)
+            blocks, ii, jj = (np.asarray(table.column(c)) for c in ("_block", "_i", "_j"))
+            keep = np.zeros(table.num_rows, bool)
+            for a, b in _units(table):
+                pairs = _across(blocks[a:b], ii[a], jj[a]) & _first_met(keys[a:b], nodes[a], trees)
+                keep[a:b] = pairs.any(0) | pairs.any(1)
+            yield from table.filter(pa.array(keep)).to_batches()
+
+    return run
+
+
+def missed_for(similarities: np.ndarray, trees: int, level: int) -> float:
+    """Links expected to have met in no tree, for links that were found: each stands for 1 / (probability of being found)."""
+    lost = (1 - similarities**level) ** trees
+    return float((lost / (1 - lost)).sum())
+
+
+def _verify(threshold: float, trees: int, levels: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, _UNIT):
             keys = _matrix(table)
@@ -211,13 +242,16 @@ def _verify(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             packed = table.column("_shingles").to_pylist()
             nodes = np.asarray(table.column("_key")).view(np.uint64)
             blocks, ii, jj, copies = (np.asarray(table.column(c)) for c in ("_block", "_i", "_j", "_copies"))
-            out: list[tuple[bytes, bytes, int]] = []
+            out: list[tuple[bytes, bytes, int, list[float] | None]] = []
             for a, b in _units(table):
                 sets = [unpacked(p) for p in packed[a:b]]
                 sizes = np.array([len(s) for s in sets], np.int64)
                 both = overlaps(sets)
                 alike = both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-9
-                pairs = alike & _across(blocks[a:b], ii[a], jj[a]) & _first_met(keys[a:b], nodes[a])
+                pairs = alike & _across(blocks[a:b], ii[a], jj[a]) & _first_met(keys[a:b], nodes[a], trees)
+                i, j = np.nonzero(pairs)
+                near = both[i, j] / (sizes[i] + sizes[j] - both[i, j])
+                missed = [missed_for(near, trees, k) for k in range(1, levels + 1)]
                 pairs |= pairs.T
                 links = pairs @ copies[a:b]
                 root = np.full(b - a, -1)
@@ -230,9 +264,11 @@ def _verify(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                         edge = pairs[edge].any(0) & ~reached
                         reached |= edge
                     root[reached] = start
-                out += [(ids[a + k], ids[a + root[k]], int(links[k])) for k in np.flatnonzero(root >= 0).tolist()]
+                linked = np.flatnonzero(root >= 0).tolist()
+                # What the unit's links say of missed ones stands once, at its first row.
+                out += [(ids[a + k], ids[a + root[k]], int(links[k]), missed if k == linked[0] else None) for k in linked]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["_set", "_root", "_links"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.float64())), strict=True)], names=["_set", "_root", "_links", "_missed"])
 
     return run
 
@@ -249,7 +285,7 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def similar_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, missed: float = MISSED
 ) -> DataFrame:
     """``(id_col, class_id, n_links long, _hash long)`` for every row of ``docs``.
 
@@ -263,37 +299,42 @@ def similar_classes(
     is no class id where the class has another; other columns are ignored,
     whatever their names; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
     at = matched_depth(threshold, trees, depth, recall)
     signed = written(signatures(docs, id_col, text_col, n, trees, at), "forest-signatures")
     some = signed.where("_set IS NOT NULL")
-    sets = some.groupBy("_set").agg(F.min(F.struct("_id", "_hash")).alias("_rep"), F.min("_id").alias("_least"), F.count("*").alias("_copies"), F.first("_size").alias("_size"), F.first("_keys").alias("_keys"))
+    sets = some.groupBy("_set").agg(F.min(F.struct("_id", "_hash")).alias("_rep"), F.min("_id").alias("_least"), F.count("*").alias("_copies"), F.first("_size").alias("_size"), F.first("_label").alias("_label"))
     sets = written(sets, "forest-sets")
 
-    # Nodes of more than one set; of a node's key the tree need not be known, as it is hashed in.
-    nodes = sets.select("_set", "_size", F.explode("_keys").alias("_key"))
-    full = nodes.groupBy("_key").agg(F.count("*").alias("_n"), F.sum("_size").alias("_sum")).where("_n > 1")
-    blocks = F.ceil(F.greatest(F.col("_n") / BLOCK_SETS, F.col("_sum") / BLOCK_SHINGLES)).cast("int")
-    placed = nodes.join(full.select("_key", blocks.alias("_blocks")), "_key").select("_key", "_set", "_blocks", F.pmod(F.xxhash64("_set"), F.col("_blocks")).cast("int").alias("_block"))
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
-    units = placed.select("_key", "_set", "_block", other).select("_key", "_set", "_block", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"))
-    keyed = units.join(sets.select("_set", "_keys"), "_set").select(*_UNIT, "_block", "_set", "_keys")
-    planned = written(keyed.repartition(*_UNIT).sortWithinPartitions(*_UNIT).mapInArrow(_plan, keyed.schema), "forest-units")
-
-    # The shingles of the sets that have a pair to verify, from one document each.
-    wanted = planned.select("_set").distinct().join(sets, "_set").select("_set", F.col("_rep._id").alias("_id"), F.col("_rep._hash").alias("_hash"), "_copies")
-    texts = docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("_text"))
-    met = texts.join(wanted, F.col("_own").eqNullSafe(F.col("_id")) & (F.xxhash64("_text") == F.col("_hash"))).select("_set", "_copies", "_text")
-
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in balanced(batches, "_text", BATCH_BYTES):
             shingles, offsets = shingle_sets(table.column("_text"), n)
             values = pa.array([packed(shingles[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
             yield from pa.Table.from_arrays([table.column("_set"), table.column("_copies"), values], names=["_set", "_copies", "_shingles"]).to_batches()
 
-    known = met.mapInArrow(pack, "_set binary, _copies long, _shingles binary").dropDuplicates(["_set"])
-    sent = planned.join(known, "_set").repartition(*_UNIT).sortWithinPartitions(*_UNIT)
-    verified = written(sent.mapInArrow(_verify(threshold), "_set binary, _root binary, _links long"), "forest-links")
+    def links_at(level: int) -> DataFrame:
+        # Nodes of more than one set; of a node's key the tree need not be known, as it is hashed in.
+        placed = at_level(sets, trees, at, level)
+        nodes = placed.select("_set", "_size", F.explode(F.slice("_keys", 1, trees)).alias("_key"))
+        full = nodes.groupBy("_key").agg(F.count("*").alias("_n"), F.sum("_size").alias("_sum")).where("_n > 1")
+        blocks = F.ceil(F.greatest(F.col("_n") / BLOCK_SETS, F.col("_sum") / BLOCK_SHINGLES)).cast("int")
+        dealt = nodes.join(full.select("_key", blocks.alias("_blocks")), "_key").select("_key", "_set", "_blocks", F.pmod(F.xxhash64("_set"), F.col("_blocks")).cast("int").alias("_block"))
+        other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
+        units = dealt.select("_key", "_set", "_block", other).select("_key", "_set", "_block", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"))
+        keyed = units.join(placed.select("_set", "_keys"), "_set").select(*_UNIT, "_block", "_set", "_keys")
+        planned = written(keyed.repartition(*_UNIT).sortWithinPartitions(*_UNIT).mapInArrow(_plan(trees), keyed.schema), "forest-units")
+
+        # The shingles of the sets that have a pair to verify, from one document each.
+        wanted = planned.select("_set").distinct().join(sets, "_set").select("_set", F.col("_rep._id").alias("_id"), F.col("_rep._hash").alias("_hash"), "_copies")
+        texts = docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("_text"))
+        met = texts.join(wanted, F.col("_own").eqNullSafe(F.col("_id")) & (F.xxhash64("_text") == F.col("_hash"))).select("_set", "_copies", "_text")
+        known = met.mapInArrow(pack, "_set binary, _copies long, _shingles binary").dropDuplicates(["_set"])
+        sent = planned.join(known, "_set").repartition(*_UNIT).sortWithinPartitions(*_UNIT)
+        return written(sent.mapInArrow(_verify(threshold, trees, at), "_set binary, _root binary, _links long, _missed array<double>"), "forest-links")
+
+    verified = links_at(level := at)
+    while level > 1 and (verified.agg(F.sum(F.element_at("_missed", level))).first()[0] or 0.0) > missed:
+        level -= 1
+        verified = verified.unionByName(links_at(level))
 
     linked = components(verified.select(F.col("_set").alias("a"), F.col("_root").alias("b")))
     counts = verified.groupBy("_set").agg(F.sum("_links").alias("_links"))

@@ -201,6 +201,23 @@ def test_shortening_stops_at_the_target_recall():
         assert depth == 8 or 1 - (1 - s ** (depth + 1)) ** 24 < 0.999
 
 
+def test_prefixes_are_shortened_until_no_link_is_missed(spark):
+    from lodecast.llm import lsh_forest
+
+    # At the threshold, a pair is missed by the first prefix length once in ten million at most.
+    assert (1 - lsh_forest.THRESHOLD ** lsh_forest.matched_depth(lsh_forest.THRESHOLD)) ** lsh_forest.TREES <= 1e-7
+    # Pairs at a similarity of 180 / 222; prefixes of 8 in 6 trees meet for two thirds of them only.
+    rows = []
+    for g in range(60):
+        words = [f"g{g}w{k}" for k in range(205)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join([*words[:184], *(f"g{g}x{k}" for k in range(21))]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = bag(jaccard_classes(rows))
+    assert sum(n for *_, n in expected) == 120
+    assert bag(r[:3] for r in lsh_forest.similar_classes(frame, trees=6, recall=0.0).collect()) == expected
+    assert bag(r[:3] for r in lsh_forest.similar_classes(frame).collect()) == expected
+
+
 def test_quality_model(spark, docs, empty):
     from lodecast.llm.quality_model import keep_good, score
 
