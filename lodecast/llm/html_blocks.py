@@ -4,6 +4,10 @@ The page is cut into blocks at block-level tags. First pass: each block is good,
 bad or ambiguous by where it stands, its length, its share of stop words and its
 share of linked characters. Second pass: ambiguous blocks take the label of the
 nearest decided neighbours.
+
+Elements and whole class, id and role names can put text outside. A name that is
+only a part of another is a hint: its text is judged like any other, and left out
+if the page has as much good text without hints.
 """
 
 from __future__ import annotations
@@ -44,12 +48,15 @@ BLOCK = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OUTSIDE = frozenset("head nav footer aside form button select datalist dialog menu search template noscript iframe object svg math canvas audio video map".split())
 MAIN = frozenset(["article", "main"])
-#: Parts of class, id and role values that mark what is not main text, and what is.
+#: Names in class, id and role values that mark what is not main text, and what is.
 OUTSIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert nav navbar navigation menu "
     "breadcrumb breadcrumbs pagination pager sidebar footer masthead topbar toolbar comment comments disqus reply replies respond share sharing social related "
     "recommended newsletter subscribe subscription signup login popup modal overlay widget widgets tags skip hidden search contentinfo complementary".split()
 )
+#: First parts of names that say of what follows that it is there or not, and last parts that name a state: layouts, not parts of a page.
+MODIFIERS = frozenset("has have no not without with is show hide hidden".split())
+STATES = frozenset("enabled disabled open opened closed collapsed expanded visible hidden on off active inactive left right top bottom".split())
 MAIN_NAMES = frozenset("articlebody article-body article-content article-text entry-content post-content post-body story-body main-content page-content".split())
 
 _HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
@@ -61,7 +68,7 @@ _TOKEN = re.compile(
     re.I | re.S,
 )
 _ATTR = re.compile(r"\b(class|id|role|itemprop|style|aria-hidden|hidden|type)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_PARTS = re.compile(r"[\s_-]+")
+_PARTS = re.compile(r"[_-]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -72,16 +79,17 @@ class Block:
     main: bool
     outside: bool
     heading: bool
+    hinted: bool = False
     label: str = ""
 
 
 @dataclass
 class _Open:
-    """An open element: its name, and whether it starts a main or an outside part."""
+    """An open element: its name, whether it starts a main, an outside or a hinted part, and what held before it."""
 
     tag: str
     main: bool
-    outside: bool
+    before: tuple[int, int, int]
 
 
 @dataclass
@@ -94,7 +102,14 @@ class _State:
     in_link: bool = False
     breaks: int = 0
     main: int = 0
-    outside: int = 0
+    #: Open outside parts: by elements or attributes, and by names alone. A main part ends the latter.
+    firm: int = 0
+    named: int = 0
+    hinted: int = 0
+
+    @property
+    def outside(self) -> bool:
+        return self.firm > 0 or self.named > 0
 
     def flush(self) -> None:
         if self.parts:
@@ -102,7 +117,7 @@ class _State:
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
                 heading = any(o.tag in _HEADINGS for o in self.stack)
-                self.blocks.append(Block(text, self.linked / max(self.chars, 1), self.main > 0, False, heading))
+                self.blocks.append(Block(text, self.linked / max(self.chars, 1), self.main > 0, False, heading, self.hinted > 0))
             self.parts, self.linked, self.chars = [], 0, 0
         if self.outside and not (self.blocks and self.blocks[-1].outside):
             self.blocks.append(Block("", 0.0, False, True, False))
@@ -118,15 +133,20 @@ class _State:
             if self.breaks and not text.isspace():
                 self.breaks = 0
 
-    def push(self, tag: str, main: bool, outside: bool) -> None:
-        self.stack.append(_Open(tag, main, outside))
+    def push(self, tag: str, main: bool, outside: str) -> None:
+        """Opens an element; ``outside`` is "firm", "name", "hint" or empty."""
+        self.stack.append(_Open(tag, main, (self.firm, self.named, self.hinted)))
+        if main and self.named and not self.main:
+            # An article under such a name may be a comment or a teaser, so the name stays as a hint.
+            self.named, self.hinted = 0, self.hinted + (tag == "article")
         self.main += main
-        self.outside += outside
+        self.firm += outside == "firm"
+        self.named += outside == "name"
+        self.hinted += outside == "hint"
 
     def pop(self, place: int) -> None:
-        for o in self.stack[place:]:
-            self.main -= o.main
-            self.outside -= o.outside
+        self.main -= sum(o.main for o in self.stack[place:])
+        self.firm, self.named, self.hinted = self.stack[place].before
         del self.stack[place:]
 
     def close(self, tags: tuple[str, ...], stop: tuple[str, ...] = ()) -> None:
@@ -139,26 +159,45 @@ class _State:
         return None
 
 
-def _marks(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool]:
-    """Whether an element starts a main part, and whether it starts an outside one."""
-    main, outside = tag in MAIN, tag in OUTSIDE or tag == "header" and not in_main
+def _named(names: list[str]) -> str:
+    """What the names of an attribute say: "name" if one is, or begins with, an outside name, "hint" if one has it elsewhere."""
+    found = ""
+    for name in names:
+        if name in OUTSIDE_NAMES:
+            return "name"
+        head, *rest = [p for p in _PARTS.split(name) if p] or [""]
+        if head in MODIFIERS or not rest:
+            continue
+        if head in OUTSIDE_NAMES and rest[-1] not in STATES:
+            return "name"
+        if head in OUTSIDE_NAMES or not OUTSIDE_NAMES.isdisjoint(rest):
+            found = "hint"
+    return found
+
+
+def _marks(tag: str, attrs: str, in_main: bool) -> tuple[bool, str]:
+    """Whether an element starts a main part, and how it starts an outside one, if it does."""
+    main, outside = tag in MAIN, "firm" if tag in OUTSIDE or tag == "header" and not in_main else ""
     if not attrs or tag in ("html", "body"):
         return main, outside
+    hint = ""
     for name, *values in _ATTR.findall(attrs):
         name, value = name.lower(), next(filter(None, values), "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            outside = True
+            outside = "firm"
         elif name in ("class", "id", "role", "itemprop"):
             own = value.split()
             if name == "role" and "main" in own or not MAIN_NAMES.isdisjoint(own):
                 main = True
             elif tag in MAIN:
-                outside = outside or any(v in ("comment", "comments") for v in own)
-            elif not OUTSIDE_NAMES.isdisjoint(_PARTS.split(value)):
-                outside = True
+                outside = outside or ("name" if any(v in ("comment", "comments") for v in own) else "")
+            elif (said := _named(own)) == "name":
+                outside = outside or "name"
+            elif said:
+                hint = said
             elif "header" in own and not in_main:
-                outside = True
-    return main and not outside, outside
+                outside = outside or "name"
+    return main and not outside, outside or ("" if main else hint)
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -214,6 +253,22 @@ def _stop_share(words: list[str]) -> float:
 
 def classify(blocks: list[Block]) -> None:
     """Sets each block's label to good or bad."""
+    hinted = [b for b in blocks if b.hinted and not b.outside]
+    _classify(blocks)
+    if not hinted:
+        return
+    within = sum(len(b.text) for b in hinted if b.label == "good")
+    for b in hinted:
+        b.outside = True
+    _classify(blocks)
+    if sum(len(b.text) for b in blocks if b.label == "good") < within:
+        for b in hinted:
+            b.outside = False
+        _classify(blocks)
+
+
+def _classify(blocks: list[Block]) -> None:
+    """The two passes, over all blocks that do not lie outside."""
     inner = [b for b in blocks if not b.outside]
     words = {id(b): _WORD.findall(b.text.lower()) for b in inner}
     every = [w for b in inner for w in words[id(b)]]

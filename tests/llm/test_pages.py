@@ -84,6 +84,28 @@ def test_blocks(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "with-sidebar", "hidden-nav", "page-search-enabled", "sidebar-left", "layout-sidebar"])
+def test_a_part_of_a_layout_name_loses_no_text(name):
+    from lodecast.llm.html_blocks import main_text
+
+    for inner in (f"<p>{PROSE}</p><p>{PROSE}</p>", f"<article><p>{PROSE}</p></article>", f"<main><p>{PROSE}</p></main>"):
+        text = "\n".join([PROSE] * inner.count(PROSE))
+        assert main_text(f"<div class='{name}'>{inner}</div>") == text
+        assert main_text(f"<div id='{name}'>{inner}</div><div class=footer><p>{PROSE} foot</p></div>") == text
+
+
+def test_outside_names():
+    from lodecast.llm.html_blocks import main_text
+
+    main = f"<p>{PROSE}</p><p>{PROSE}</p>"
+    for name in ("sidebar", "sidebar-widget", "comment_list", "site-footer", "main nav", "post-comments"):
+        assert main_text(f"<div>{main}</div><div class='{name}'><p>{PROSE} no</p></div>") == f"{PROSE}\n{PROSE}"
+    # A main part ends a name around it; an article there gives way to as much text elsewhere.
+    assert main_text(f"<div class='overlay'><main>{main}</main></div>") == f"{PROSE}\n{PROSE}"
+    assert main_text(f"<div class='related'><article><p>{PROSE} no</p></article></div><article>{main}</article>") == f"{PROSE}\n{PROSE}"
+    assert main_text(f"<aside><main>{main}</main></aside>") == ""
+
+
 def test_extract(spark, pages):
     from lodecast.llm.html_blocks import extract_text, main_text
 
