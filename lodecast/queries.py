@@ -53,6 +53,8 @@ def _attributes(spark: SparkSession, sf_dir: str, heavy: bool) -> DataFrame:
     return A.analysis(spark, sf_dir).where("w > 3" if heavy else "w <= 3").groupBy("domain", "model").agg(F.avg("v").alias("v"))
 
 
+#: Most training points of a group, and realisations of a simulation, as the reference's experiments have them.
+TRAINING_POINTS, REALISATIONS = 3000, 128
 SLACKS = [0.0, 0.005, 0.01, 0.05, 0.1, 0.25]
 KERNEL = gaussian_process.Kernel(3000.0, (120.0, 120.0, 120.0), 300.0)
 
@@ -80,7 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "param_antijoin": lambda s, d: summary.new_parameters(A.samples(s, d).select("domain", "block_id"), A.samples(s, d).where("v > 0").select("block_id"), ["block_id"]),
     "ordinary_kriging": lambda s, d: rounded(kriging.krige(*_split(s, d), ["domain"], kriging.Variogram(300.0, 3000.0))),
     "simple_kriging": lambda s, d: rounded(kriging.krige(*_split(s, d), ["domain"], kriging.Variogram(300.0, 3000.0), ordinary=False)),
-    "ok_sgs": lambda s, d: rounded(kriging.simulate(*_split(s, d), ["domain"], kriging.Variogram(300.0, 3000.0), 2)),
+    "ok_sgs": lambda s, d: rounded(kriging.simulate(*_split(s, d), ["domain"], kriging.Variogram(300.0, 3000.0), REALISATIONS)),
     "accuracy_slack": lambda s, d: rounded(uncertainty.accuracy_by_slack(_scored(s, d), GROUP, SLACKS)),
     "width": lambda s, d: rounded(uncertainty.interval_width(_scored(s, d), GROUP).select(*GROUP, "p", "width")),
     "tightness": lambda s, d: rounded(uncertainty.tightness(_scored(s, d), GROUP)),
@@ -97,14 +99,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ratio_matrix": lambda s, d: rounded(summary.attribute_ratios(_attributes(s, d, True), _attributes(s, d, False), ["domain", "model"], low=0.5, high=1.5)),
     "attribute_matrix": lambda s, d: rounded(summary.matrix(_attributes(s, d, True).where("model IN ('click', 'view')"), "model", ["domain"], [str(i) for i in range(11)]), 4),
     "variogram_fit": lambda s, d: rounded(variogram_fit.fit(spatial.variogram(A.samples(s, d), ["domain"], 250.0, 10), ["domain"], 25.0, max_range=250.0), 3),
-    "downsample": lambda s, d: downsample.downsample(A.samples(s, d), ["domain"], 40, trials=25).select("domain", "block_id"),
-    "gp_train": lambda s, d: rounded(gaussian_process.train(downsample.downsample(A.samples(s, d), ["domain"], 60, trials=5), ["domain"], restarts=1), 3),
+    "downsample": lambda s, d: downsample.downsample(A.samples(s, d), ["domain"], TRAINING_POINTS).select("domain", "block_id"),
+    "gp_train": lambda s, d: rounded(gaussian_process.train(downsample.downsample(A.samples(s, d), ["domain"], TRAINING_POINTS), ["domain"]), 3),
     "gp_local": lambda s, d: rounded(gaussian_process.infer_local(*_split(s, d), ["domain"], KERNEL)),
-    "gp_global": lambda s, d: rounded(gaussian_process.infer_global(_split(s, d)[0], downsample.downsample(_split(s, d)[1], ["domain"], 300, trials=2), ["domain"], KERNEL)),
-    "gp_sgs": lambda s, d: rounded(gaussian_process.simulate_sequential(*_split(s, d), ["domain"], KERNEL, 2)),
-    "gp_crf": lambda s, d: rounded(gaussian_process.simulate_joint(*_split(s, d), ["domain"], KERNEL, 2)),
+    "gp_global": lambda s, d: rounded(gaussian_process.infer_global(_split(s, d)[0], downsample.downsample(_split(s, d)[1], ["domain"], TRAINING_POINTS), ["domain"], KERNEL)),
+    "gp_sgs": lambda s, d: rounded(gaussian_process.simulate_sequential(*_split(s, d), ["domain"], KERNEL, REALISATIONS)),
+    "gp_crf": lambda s, d: rounded(gaussian_process.simulate_joint(*_split(s, d), ["domain"], KERNEL, REALISATIONS)),
     "matern_kriging": lambda s, d: rounded(kriging.krige(*_split(s, d), ["domain"], kriging.Variogram(300.0, 3000.0, kind="matern"))),
-    "sk_sgs": lambda s, d: rounded(kriging.simulate(*_split(s, d), ["domain"], kriging.Variogram(300.0, 3000.0), 2, ordinary=False)),
+    "sk_sgs": lambda s, d: rounded(kriging.simulate(*_split(s, d), ["domain"], kriging.Variogram(300.0, 3000.0), REALISATIONS, ordinary=False)),
 }
 
 _PMF = f"""WITH {A.PREDICTIONS}, e AS (SELECT domain, model, min(mu0) AS lo, (max(mu0) - min(mu0)) / 40 AS w FROM pred GROUP BY ALL),

@@ -126,3 +126,19 @@ def test_kriging_serials():
 
     assert kriging_serial("OK-SGS", scored=True) == "oksgsr_bt_bi_nst"
     assert kriging_serial("SK", rotated=False, prefix="a") == "a_sk_bt_bi"
+
+
+def test_registered_queries_do_the_whole_job(spark, monkeypatch):
+    from lodecast.queries import QUERIES, REALISATIONS
+
+    data = "/root/testdata/sf0.1"
+    every = spark.read.parquet(f"{data}/embeddings.parquet")
+    assert QUERIES["downsample"](spark, data).count() == every.count()  # no domain has more points than are trained on
+    sims = QUERIES["gp_crf"](spark, "/root/testdata/sf0.001")
+    places = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id % 5 = 0").count()
+    assert REALISATIONS == 128 and sims.select("sim").distinct().count() == 128 and sims.count() == 128 * places
+    # Training sees every point, with the operator's own number of restarts.
+    asked = []
+    monkeypatch.setattr(gp, "train", lambda known, keys, **options: asked.append((known.count(), options)) or known.select("v"))
+    QUERIES["gp_train"](spark, data)
+    assert asked == [(every.count(), {})]
