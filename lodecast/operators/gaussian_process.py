@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from lodecast.operators.blocks import in_blocks
 from lodecast.operators.kriging import Variogram, predict_each, simulate, with_neighbours
-from lodecast.operators.spatial import AXES
+from lodecast.operators.spatial import AXES, turned
 
 JITTER = 1e-10
 #: Queries that one task predicts together; larger groups are split into such blocks.
@@ -55,9 +55,23 @@ def point(points: np.ndarray, values: np.ndarray, place: np.ndarray, kernel: Ker
     return float(mean[0]), max(0.0, kernel.amplitude + kernel.noise - float((explained**2).sum()))
 
 
-def infer_local(queries: DataFrame, known: DataFrame, keys: list[str], kernel: Kernel, k: int = 9, radius: float = 150.0) -> DataFrame:
-    """``keys, block_id, estimate, variance`` of each query from its own neighbours and their mean."""
-    rows = with_neighbours(queries, known, keys, k, radius)
+def _radii(radius: float | tuple[float, float, float]) -> tuple[float, float, float]:
+    return radius if isinstance(radius, tuple) else (radius,) * 3
+
+
+def ellipsoid_search(delta: np.ndarray, k: int, radii: tuple[float, float, float], angles: tuple[float, float, float], least: int = 2) -> np.ndarray:
+    """Row numbers of the known points that ``ellipsoid_neighbours`` takes for one query, nearest first; ``delta`` is known minus query."""
+    lag = np.sqrt(sum((c / r) ** 2 for c, r in zip(turned(*delta.T, angles), radii, strict=True)))
+    order = np.argsort(lag, kind="stable")[:k]
+    return order[(np.arange(len(order)) <= least) | (lag[order] <= 1)]
+
+
+def infer_local(queries: DataFrame, known: DataFrame, keys: list[str], kernel: Kernel, k: int = 9, radius: float | tuple[float, float, float] = 150.0, angles: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
+    """``keys, block_id, estimate, variance`` of each query from its own neighbours and their mean.
+
+    Neighbours are the 3 nearest and up to ``k`` in the ellipsoid of these radii (one for a ball), turned by ``angles``.
+    """
+    rows = with_neighbours(queries, known, keys, k, _radii(radius), angles)
     return predict_each(rows, keys, lambda p, v, at, _: point(p, v, at, kernel), exact=False)
 
 
@@ -81,10 +95,10 @@ def infer_global(queries: DataFrame, known: DataFrame, keys: list[str], kernel:
     return asked.groupBy(*keys, "_b").cogroup(told.groupBy(*keys, "_b")).applyInPandas(predict, schema)
 
 
-def simulate_sequential(queries: DataFrame, known: DataFrame, keys: list[str], kernel: Kernel, sims: int, k: int = 9, seed: int = 0) -> DataFrame:
-    """``keys, sim, block_id, value``: sequential realisations with local prediction at each step."""
+def simulate_sequential(queries: DataFrame, known: DataFrame, keys: list[str], kernel: Kernel, sims: int, k: int = 9, seed: int = 0, radius: float | tuple[float, float, float] = 150.0, angles: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
+    """``keys, sim, block_id, value``: sequential realisations with local prediction at each step, from the neighbours of ``infer_local``."""
     prior = Variogram(1.0, kernel.amplitude + kernel.noise)
-    return simulate(queries, known, keys, prior, sims, k, seed, point=lambda p, v, at, _: point(p, v, at, kernel))
+    return simulate(queries, known, keys, prior, sims, k, seed, point=lambda p, v, at, _: point(p, v, at, kernel), search=lambda delta: ellipsoid_search(delta, k, _radii(radius), angles))
 
 
 def simulate_joint(queries: DataFrame, known: DataFrame, keys: list[str], kernel: Kernel, sims: int, seed: int = 0) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodecast.operators.spatial import AXES, neighbours
+from lodecast.operators.spatial import AXES, ellipsoid_neighbours, neighbours
 
 
 def bessel_k(nu: float, x: np.ndarray) -> np.ndarray:
@@ -65,9 +65,28 @@ def krige_point(points: np.ndarray, values: np.ndarray, place: np.ndarray, model
     return mean + float(w @ (values - mean)), max(0.0, model.sill - float(w @ c))
 
 
-def with_neighbours(queries: DataFrame, known: DataFrame, keys: list[str], k: int, radius: float) -> DataFrame:
-    """``keys, q_id, x, y, z, near, group_mean``: each query with its few neighbours as one array."""
-    near = neighbours(queries, known, keys, radius, k).select(*keys, F.col("q_id"), "block_id")
+def octant_search(delta: np.ndarray, k: int, radius: float, least: int = 2) -> np.ndarray:
+    """Row numbers of the known points that ``neighbours`` takes for one query, nearest first; ``delta`` is known minus query."""
+    lag = np.sqrt((delta * delta).sum(1))
+    order = np.flatnonzero(lag < radius)
+    if len(order) < least:
+        order = np.argsort(lag, kind="stable")[:least]
+    order = order[np.argsort(lag[order], kind="stable")]
+    octant = (delta[order] < 0) @ np.array([1, 2, 4])
+    first = np.zeros(len(order), bool)
+    for o in range(8):
+        first[np.flatnonzero(octant == o)[: max(k // 8, 1)]] = True
+    picked = np.concatenate([np.flatnonzero(first), np.flatnonzero(~first)])[:k]
+    return order[np.sort(picked)]
+
+
+def with_neighbours(queries: DataFrame, known: DataFrame, keys: list[str], k: int, radius: float | tuple[float, float, float], angles: tuple[float, float, float] | None = None) -> DataFrame:
+    """``keys, q_id, x, y, z, near, group_mean``: each query with its few neighbours as one array.
+
+    With ``angles``, neighbours are those of the turned ellipsoid of these radii; otherwise they are octant-balanced.
+    """
+    found = neighbours(queries, known, keys, radius, k) if angles is None else ellipsoid_neighbours(queries, known, keys, radius, angles, most=k)
+    near = found.select(*keys, F.col("q_id"), "block_id")
     held = near.join(known.select(*keys, "block_id", *AXES, "v"), [*keys, "block_id"]).groupBy(*keys, "q_id").agg(F.sort_array(F.collect_list(F.struct("block_id", *AXES, "v"))).alias("near"))
     means = known.groupBy(*keys).agg(F.avg("v").alias("group_mean"))
     return queries.select(*keys, F.col("block_id").alias("q_id"), *AXES).join(held, [*keys, "q_id"]).join(means, keys)
@@ -107,14 +126,16 @@ def krige(queries: DataFrame, known: DataFrame, keys: list[str], model: Variogra
     return predict_each(rows, keys, lambda points, values, place, mean: krige_point(points, values, place, model, None if ordinary else mean))
 
 
-def simulate(queries: DataFrame, known: DataFrame, keys: list[str], model: Variogram, sims: int, k: int = 9, seed: int = 0, ordinary: bool = True, point=None) -> DataFrame:
+def simulate(queries: DataFrame, known: DataFrame, keys: list[str], model: Variogram, sims: int, k: int = 9, seed: int = 0, ordinary: bool = True, point=None, radius: float | None = None, search=None) -> DataFrame:
     """``keys, sim, block_id, value``: sequential Gaussian realisations.
 
     A realisation visits the queries in a random order, draws each from its kriged
     distribution and adds it to the known points; it is sequential by definition,
-    so groups and realisations are what runs in parallel. ``point``, if given, is used in
-    place of kriging.
+    so groups and realisations are what runs in parallel. Each step takes the neighbours
+    that ``krige`` would: octant-balanced within the radius. ``point`` and ``search``, if
+    given, are used in place of kriging and of that search.
     """
+    search = search or (lambda delta: octant_search(delta, k, radius or model.range / 2))
     both = known.select(*keys, "block_id", *AXES, "v").unionByName(queries.select(*keys, "block_id", *AXES, F.lit(None).cast("double").alias("v")))
     spread = both.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))))
     schema = spread.select(*keys, "sim", "block_id").schema.add("value", "double")
@@ -128,11 +149,10 @@ def simulate(queries: DataFrame, known: DataFrame, keys: list[str], model: Vario
         n, mean = len(fixed), float(fixed.v.mean()) if len(fixed) else 0.0
         at, out = open_[list(AXES)].to_numpy(float), np.zeros(len(open_))
         for i in rng.permutation(len(open_)):
-            lag = np.sqrt(((places[:n] - at[i]) ** 2).sum(1))
-            near = np.argsort(lag, kind="stable")[:k]
+            near = search(places[:n] - at[i])
             if n == 0:
                 out[i] = rng.normal(mean, math.sqrt(model.sill))
-            elif lag[near[0]] == 0:
+            elif (places[near[0]] == at[i]).all():
                 out[i] = values[near[0]]
             else:
                 args = places[near], values[near], at[i]

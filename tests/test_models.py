@@ -142,3 +142,35 @@ def test_registered_queries_do_the_whole_job(spark, monkeypatch):
     monkeypatch.setattr(gp, "train", lambda known, keys, **options: asked.append((known.count(), options)) or known.select("v"))
     QUERIES["gp_train"](spark, data)
     assert asked == [(every.count(), {})]
+
+
+def test_searches_of_joins_and_of_sequential_steps_agree(spark):
+    from lodecast.operators import kriging
+
+    # Clustered points: without octants, all neighbours come from one side.
+    rng = np.random.default_rng(3)
+    dense = [(1, i, *map(float, p), 0.0) for i, p in enumerate(rng.uniform(0, 10, (40, 3)))]
+    data = dense + [(1, 100 + i, *map(float, p), 0.0) for i, p in enumerate(rng.uniform(-60, 60, (40, 3)))]
+    known = spark.createDataFrame(data, POINT)
+    places = [(1, 500, -1.0, -1.0, -1.0, 0.0), (1, 501, 30.0, -20.0, 5.0, 0.0), (1, 502, 400.0, 0.0, 0.0, 0.0)]
+    asked = spark.createDataFrame(places, POINT)
+    points, radii, angles = np.array([r[2:5] for r in data]), (60.0, 25.0, 40.0), (35.0, 20.0, 50.0)
+
+    def chosen(frame):
+        out = {}
+        for r in sorted(frame.collect(), key=lambda r: (r["q_id"], r["rank"])):
+            out.setdefault(r["q_id"], []).append(r["block_id"])
+        return out
+
+    octants, ellipsoid = chosen(spatial.neighbours(asked, known, ["domain"], 50.0, 9)), chosen(spatial.ellipsoid_neighbours(asked, known, ["domain"], radii, angles))
+    for _, i, *place, _ in places:
+        delta = points - np.array(place)
+        assert [data[j][1] for j in kriging.octant_search(delta, 9, 50.0)] == octants[i]
+        assert [data[j][1] for j in gp.ellipsoid_search(delta, 9, radii, angles)] == ellipsoid[i]
+    assert len(octants[502]) == 2 and len(ellipsoid[502]) == 3 and any(i >= 100 for i in octants[500])
+    # The first step of a realisation conditions on these points.
+    step = kriging.simulate(asked.limit(1), known, ["domain"], Variogram(100.0, 1.0), 1, point=lambda p, v, at, mean: (float(p[:, 0].sum()), 0.0))
+    assert step.first()["value"] == pytest.approx(sum(points[[r[1] for r in data].index(i)][0] for i in octants[500]))
+    # Turned by the same formula as the geometry of domains.
+    row = spark.createDataFrame([(3.0, -2.0, 5.0, *angles, 1.0, 1.0, 1.0)], "x double, y double, z double, angle1 double, angle2 double, angle3 double, search1x double, search1y double, search1z double")
+    assert tuple(spatial.rotated(row).select("rx", "ry", "rz").first()) == pytest.approx(spatial.turned(3.0, -2.0, 5.0, angles))
