@@ -38,15 +38,18 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 PREDICTIONS = "l AS (SELECT l_linestatus AS domain, l_extendedprice / 1000 AS m, l_quantity AS q, l_tax AS t, l_discount AS d FROM lineitem), pred AS (" + " UNION ALL ".join(f"SELECT domain, '{k}' AS model, m AS mu0, CAST({m} AS DOUBLE) AS mu, CAST({s} AS DOUBLE) AS sigma FROM l" for k, (m, s) in MODELS.items()) + ")"
 
 
-def simulations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``domain, block_id, sim, value``: eight realisations of every fifth sample."""
-    base = samples(spark, sf_dir).where("block_id % 5 = 0").withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(7))))
+def simulations(spark: SparkSession, sf_dir: str, every: int = 5) -> DataFrame:
+    """``domain, block_id, sim, value``: eight realisations of every fifth sample, or of all with ``every`` 1."""
+    base = samples(spark, sf_dir).where(f"block_id % {every} = 0").withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(7))))
     return base.select("domain", "block_id", "sim", (F.col("v") + (F.col("block_id") * 31 + F.col("sim") * 17) % 23 - 11).alias("value"))
 
 
 SIMULATIONS = f"{SAMPLES}, sims AS (SELECT domain, block_id, sim, v + (block_id * 31 + sim * 17) % 23 - 11 AS value FROM s, (SELECT unnest(generate_series(0, 7)) AS sim) WHERE block_id % 5 = 0)"
 
 
+ALL_SIMULATIONS = f"{SAMPLES}, sims AS (SELECT domain, block_id, sim, v + (block_id * 31 + sim * 17) % 23 - 11 AS value FROM s, (SELECT unnest(generate_series(0, 7)) AS sim))"
+
+
 def geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``domain_id, angle1..3, search1x..z`` for each nation."""
     k = "n_nationkey"

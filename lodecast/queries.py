@@ -29,17 +29,17 @@ def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return rows.where("block_id % 5 = 0"), rows.where("block_id % 5 <> 0")
 
 
-def _curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _curves(spark: SparkSession, sf_dir: str, every: int = 5) -> DataFrame:
     """Variograms of the truth and of each realisation at the places of the realisations."""
-    places = A.samples(spark, sf_dir).where("block_id % 5 = 0")
-    sims = places.select("domain", "block_id", "x", "y", "z").join(A.simulations(spark, sf_dir), ["domain", "block_id"])
+    places = A.samples(spark, sf_dir).where(f"block_id % {every} = 0")
+    sims = places.select("domain", "block_id", "x", "y", "z").join(A.simulations(spark, sf_dir, every), ["domain", "block_id"])
     rows = places.select("domain", F.lit("truth").alias("model"), "block_id", "x", "y", "z", "v").unionByName(
         sims.select("domain", F.concat(F.lit("sim"), "sim").alias("model"), "block_id", "x", "y", "z", F.col("value").alias("v")))
     return spatial.variogram(rows, ["domain", "model"], 250.0, 5)
 
 
-def _placed_sims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.samples(spark, sf_dir).select("domain", "block_id", "x", "y", "z").join(A.simulations(spark, sf_dir), ["domain", "block_id"])
+def _placed_sims(spark: SparkSession, sf_dir: str, every: int = 5) -> DataFrame:
+    return A.samples(spark, sf_dir).select("domain", "block_id", "x", "y", "z").join(A.simulations(spark, sf_dir, every), ["domain", "block_id"])
 
 
 def _nst(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +90,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kl_pmf": lambda s, d: rounded(histogram.divergence(A.samples(s, d).where("block_id % 5 = 0"), A.samples(s, d), ["domain"])),
     "single_shot_variogram": lambda s, d: rounded(spatial.mean_variogram(_placed_sims(s, d), ["domain"], 250.0, 5, first=4)),
     "variogram_ratio": lambda s, d: rounded(spatial.variogram_ratios(_curves(s, d), ["domain"], "truth")),
+    # The same over all samples, all realisations and all event types.
+    "prefix_moments_all": lambda s, d: rounded(summary.prefix_moments(A.simulations(s, d, 1), ["domain", "block_id"], [2, 4, 8])),
+    "single_shot_variogram_all": lambda s, d: rounded(spatial.mean_variogram(_placed_sims(s, d, 1), ["domain"], 250.0, 5)),
+    "variogram_ratio_all": lambda s, d: rounded(spatial.variogram_ratios(_curves(s, d, 1), ["domain"], "truth")),
+    "attribute_matrix_all": lambda s, d: rounded(summary.matrix(_attributes(s, d, True), "model", ["domain"], [str(i) for i in range(11)]), 4),
     "make_grid": lambda s, d: rounded(spatial.grid(A.samples(s, d), ["domain"], 100.0)),
     "nst_gradient": lambda s, d: rounded(normal_score.gradient(A.samples(s, d).withColumn("score", F.col("v") / (F.abs("v") + 100)), ["domain"]), 9),
     "nst_round_trip": lambda s, d: rounded(_nst(s, d)),
@@ -180,6 +185,16 @@ ORACLES = {
     "nst_gradient": f"WITH {A.SAMPLES}, u AS (SELECT domain, v, v / (abs(v) + 100) AS f FROM s WHERE v IS NOT NULL), g AS (SELECT domain, (f - lag(f) OVER o) / (1e-9 + v - lag(v) OVER o) AS g FROM u WINDOW o AS (PARTITION BY domain ORDER BY v, f)) SELECT domain, round(median(g), 9) AS gradient FROM g WHERE g > 0 GROUP BY domain",
 }
 
+_ALL_PAIRS = f"""WITH {A.ALL_SIMULATIONS}, r AS (SELECT domain, 'truth' AS model, -1 AS sim, block_id, x, y, z, v FROM s UNION ALL SELECT s.domain, 'sim' || sim, sim, block_id, x, y, z, value FROM s JOIN sims USING (domain, block_id)),
+pr AS (SELECT a.domain, a.model, a.sim, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d, (a.v - b.v) * (a.v - b.v) / 2 AS g FROM r a JOIN r b ON a.domain = b.domain AND a.model = b.model AND a.block_id < b.block_id),
+c AS (SELECT domain, model, sim, floor(d * 5 / 250)::BIGINT AS lag, avg(g) AS gamma FROM pr WHERE d < 250 GROUP BY ALL)"""
+ORACLES |= {
+    "prefix_moments_all": f"WITH {A.ALL_SIMULATIONS} SELECT domain, block_id, m, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM sims, (SELECT unnest([2, 4, 8]) AS m) WHERE sim < m GROUP BY ALL",
+    "single_shot_variogram_all": f"{_ALL_PAIRS} SELECT domain, lag, round(avg(gamma), 6) AS gamma FROM c WHERE sim BETWEEN 0 AND 15 GROUP BY ALL",
+    "variogram_ratio_all": f"{_ALL_PAIRS}, f AS (SELECT domain, lag FROM c GROUP BY domain, lag HAVING count(*) = (SELECT count(DISTINCT model) FROM c k WHERE k.domain = c.domain)), q AS (SELECT c.domain, c.model, c.gamma / t.gamma AS r FROM c JOIN c t ON c.domain = t.domain AND c.lag = t.lag AND t.model = 'truth' AND t.gamma > 0 JOIN f ON f.domain = c.domain AND f.lag = c.lag) SELECT domain, model, round(quantile_cont(r, 0.25), 6) AS p25, round(quantile_cont(r, 0.5), 6) AS p50, round(quantile_cont(r, 0.75), 6) AS p75, round(sqrt(1 - abs(least(quantile_cont(r, 0.5), 2) - 1)), 6) AS fidelity FROM q GROUP BY ALL",
+    "attribute_matrix_all": f"WITH {A.ANALYSIS} SELECT model, " + ", ".join(f'round(avg(v) FILTER (domain = {i}), 4) AS "{i}"' for i in range(11)) + " FROM a WHERE w > 3 GROUP BY model",
+}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

@@ -36,6 +36,12 @@ def test_against_sql(spark, tables, name):
     assert sorted((tuple(plain(v) for v in r) for r in found.select(names).collect()), key=repr) == expected
 
 
+def test_whole_tables(spark):
+    rows, types = (spark.read.parquet(f"{DATA}/{n}.parquet") for n in ("embeddings", "events"))
+    assert QUERIES["prefix_moments_all"](spark, DATA).count() == 3 * rows.count()
+    assert QUERIES["attribute_matrix_all"](spark, DATA).count() == types.select("event_type").distinct().count() == 5
+
+
 def test_normal_cdf(spark):
     places = [-38.0, -9.0, -7.1, -3.3, -1e-9, 0.0, 0.7, 2.0, 7.05, 8.0, 40.0]
     rows = spark.createDataFrame([(z,) for z in places], "z double").selectExpr("z", f"{normal_cdf('z')} AS p").collect()
