@@ -1,19 +1,21 @@
 """Main text of web pages by two-pass block rules.
 
-The page is cut into blocks at block-level tags. First pass: each block is good,
-bad or ambiguous by where it stands, its length, its share of stop words and its
-share of linked characters. Second pass: ambiguous blocks take the label of the
-nearest decided neighbours.
-
-Elements and whole class, id and role names can put text outside. A name that is
-only a part of another is a hint: its text is judged like any other, and left out
-if the page has as much good text without hints.
+The page is cut into blocks at block-level tags. First pass, on every page alike:
+length, share of stop words, share of linked characters and the tags around a
+block each give it points; many make it good, few bad, the rest are ambiguous.
+Second pass: ambiguous blocks take the label of the nearest decided neighbours.
+
+Tags are one of the marks: an article speaks for a block, a footer or a class
+name such as "sidebar" against it. A name that is only a part of another counts
+against a block where the page has as much good text without such names.
+Parsing and both passes are linear in the page.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,6 +31,8 @@ BATCH_BYTES = 8 << 20
 SHORT, LONG = 70, 200
 #: Shares of stop words from which a block is doubtful or good, and of linked characters above which it is bad.
 DOUBTFUL_STOPS, GOOD_STOPS, MOST_LINKED = 0.12, 0.22, 0.4
+#: Points from which a block is good, up to which it is bad, and for standing in a main part or outside.
+GOOD, BAD, WITHIN, WITHOUT = 3, -1, 2, -6
 #: Pages with a smaller share of stop words than this are in a language without a list; length decides there.
 KNOWN_LANGUAGE = 0.04
 
@@ -47,6 +51,8 @@ BLOCK = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OUTSIDE = frozenset("head nav footer aside form button select datalist dialog menu search template noscript iframe object svg math canvas audio video map".split())
+#: What closes an inline element must not reach beyond the block it lies in.
+HOLDERS = ("article", "main", "section", "div", "p", "li", "td")
 MAIN = frozenset(["article", "main"])
 #: Names in class, id and role values that mark what is not main text, and what is.
 OUTSIDE_NAMES = frozenset(
@@ -61,9 +67,9 @@ MAIN_NAMES = frozenset("articlebody article-body article-content article-text en
 
 _HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|textarea|title|xmp)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+(?=>)|[^>]*)>"
+    r"(?P<note><!--).*?(?P<noted>-->|\Z)"
+    r"|<(?P<raw>script|style|textarea|title|xmp)\b[^>]*>.*?(?P<ended></(?P=raw)\s*>|\Z)"
+    r"|<(?P<closing>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+(?=>)|[^>]*)>"
     r"|<[!?/][^>]*>",
     re.I | re.S,
 )
@@ -80,12 +86,14 @@ class Block:
     outside: bool
     heading: bool
     hinted: bool = False
+    stops: float = 0.0
+    points: int = 0
     label: str = ""
 
 
 @dataclass
 class _Open:
-    """An open element: its name, whether it starts a main, an outside or a hinted part, and what held before it."""
+    """An open element: its name, whether it starts a main part, and what held before it."""
 
     tag: str
     main: bool
@@ -96,67 +104,68 @@ class _Open:
 class _State:
     blocks: list[Block] = field(default_factory=list)
     stack: list[_Open] = field(default_factory=list)
+    #: For each name, the places of its open elements on the stack, so that nothing searches the stack.
+    places: defaultdict[str, list[int]] = field(default_factory=lambda: defaultdict(list))
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     chars: int = 0
     in_link: bool = False
     breaks: int = 0
     main: int = 0
+    headings: int = 0
     #: Open outside parts: by elements or attributes, and by names alone. A main part ends the latter.
     firm: int = 0
     named: int = 0
     hinted: int = 0
 
-    @property
-    def outside(self) -> bool:
-        return self.firm > 0 or self.named > 0
-
     def flush(self) -> None:
         if self.parts:
             text = "".join(self.parts)
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
-                heading = any(o.tag in _HEADINGS for o in self.stack)
-                self.blocks.append(Block(text, self.linked / max(self.chars, 1), self.main > 0, False, heading, self.hinted > 0))
+                self.blocks.append(Block(text, self.linked / max(self.chars, 1), self.main > 0, self.firm > 0 or self.named > 0, self.headings > 0, self.hinted > 0))
             self.parts, self.linked, self.chars = [], 0, 0
-        if self.outside and not (self.blocks and self.blocks[-1].outside):
-            self.blocks.append(Block("", 0.0, False, True, False))
         self.breaks = 0
 
     def add(self, text: str) -> None:
-        """Text of the current block. What lies outside is left out, and stands as one bad block."""
-        if not self.outside:
-            self.parts.append(text)
-            size = len(text) - text.count(" ")
-            self.chars += size
-            self.linked += size * self.in_link
-            if self.breaks and not text.isspace():
-                self.breaks = 0
+        """Text of the current block."""
+        self.parts.append(text)
+        size = len(text) - text.count(" ")
+        self.chars += size
+        self.linked += size * self.in_link
+        if self.breaks and not text.isspace():
+            self.breaks = 0
 
     def push(self, tag: str, main: bool, outside: str) -> None:
         """Opens an element; ``outside`` is "firm", "name", "hint" or empty."""
+        self.places[tag].append(len(self.stack))
         self.stack.append(_Open(tag, main, (self.firm, self.named, self.hinted)))
         if main and self.named and not self.main:
             # An article under such a name may be a comment or a teaser, so the name stays as a hint.
             self.named, self.hinted = 0, self.hinted + (tag == "article")
         self.main += main
+        self.headings += tag in _HEADINGS
         self.firm += outside == "firm"
         self.named += outside == "name"
         self.hinted += outside == "hint"
 
     def pop(self, place: int) -> None:
-        self.main -= sum(o.main for o in self.stack[place:])
+        """Closes the element at a place and all within it; each element is closed once."""
         self.firm, self.named, self.hinted = self.stack[place].before
-        del self.stack[place:]
+        while len(self.stack) > place:
+            gone = self.stack.pop()
+            self.places[gone.tag].pop()
+            self.main -= gone.main
+            self.headings -= gone.tag in _HEADINGS
+
+    def _last(self, tags: tuple[str, ...]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places[t]), default=-1)
 
     def close(self, tags: tuple[str, ...], stop: tuple[str, ...] = ()) -> None:
         """Ends the innermost open element of these names, unless one of ``stop`` lies further in."""
-        for place in range(len(self.stack) - 1, -1, -1):
-            if self.stack[place].tag in tags:
-                return self.pop(place)
-            if self.stack[place].tag in stop:
-                return None
-        return None
+        place = self._last(tags)
+        if place >= 0 and place > self._last(stop):
+            self.pop(place)
 
 
 def _named(names: list[str]) -> str:
@@ -204,22 +213,26 @@ def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order. Elements that are never closed end with what holds them."""
     s = _State()
     at = 0
-    for m in _TOKEN.finditer(page):
+    # No tag starts that the last ">" does not end; what follows it is text, unless a comment or script runs on.
+    last = page.rfind(">") + 1
+    runs_on = False
+    for m in _TOKEN.finditer(page, 0, last):
         start, end = m.span()
         if start > at:
             s.add(page[at:start])
         at = end
-        raw, closing, tag, attrs = m.groups()
-        if raw or not tag:
+        if m["note"] or m["raw"]:
+            runs_on = not (m["noted"] or m["ended"])
+            continue
+        if not m["tag"]:
             continue
-        tag = tag.lower()
+        closing, tag, attrs = m["closing"], m["tag"].lower(), m["attrs"]
         if closing:
             if tag == "a":
                 s.in_link = False
-            if tag in BLOCK or s.outside:
+            if tag in BLOCK or tag in OUTSIDE:
                 s.flush()
-            # What closes an inline element must not reach beyond the block it lies in.
-            s.close((tag,), () if tag in BLOCK else ("article", "main", "section", "div", "p", "li", "td"))
+            s.close((tag,), () if tag in BLOCK else HOLDERS)
             continue
         if tag == "br":
             s.breaks += 1
@@ -239,10 +252,13 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID or attrs.endswith("/") and tag not in BLOCK:
             continue
         main, outside = _marks(tag, attrs, s.main > 0)
-        if tag in BLOCK or outside or main or s.outside:
+        if tag in BLOCK or outside or main:
             s.flush()
             s.push(tag, main, outside)
-    s.add(page[at:])
+        elif s.firm or s.named:
+            s.push(tag, False, "")
+    if not runs_on:
+        s.add(page[at:])
     s.flush()
     return s.blocks
 
@@ -251,67 +267,93 @@ def _stop_share(words: list[str]) -> float:
     return len([w for w in words if w in STOP_WORDS]) / len(words) if words else 0.0
 
 
+def points(text: str, stops: float, linked: float, main: bool, outside: bool) -> int:
+    """The first pass: what a block's text and place say for it. From GOOD on it is good, up to BAD it is bad.
+
+    Links take three from a long block and two from a short one; stop words give
+    one to three, by their share and the block's length, and length alone one; a
+    short block's words say nothing.
+    """
+    size = len(text)
+    if linked > MOST_LINKED:
+        own = -3 if size >= LONG else -2
+    elif size < SHORT:
+        own = -1 if linked > 0 else 0
+    elif stops >= GOOD_STOPS:
+        own = 3 if size >= LONG else 2
+    else:
+        own = 1 if stops >= DOUBTFUL_STOPS or size >= LONG else 0
+    return own + WITHIN * main + WITHOUT * outside
+
+
 def classify(blocks: list[Block]) -> None:
     """Sets each block's label to good or bad."""
     hinted = [b for b in blocks if b.hinted and not b.outside]
-    _classify(blocks)
+    words = [_WORD.findall(b.text.lower()) for b in blocks]
+    stops = [_stop_share(w) for w in words]
+    _two_passes(blocks, words, stops)
     if not hinted:
         return
     within = sum(len(b.text) for b in hinted if b.label == "good")
     for b in hinted:
         b.outside = True
-    _classify(blocks)
+    _two_passes(blocks, words, stops)
     if sum(len(b.text) for b in blocks if b.label == "good") < within:
         for b in hinted:
             b.outside = False
-        _classify(blocks)
+        _two_passes(blocks, words, stops)
+
+
+def _two_passes(blocks: list[Block], words: list[list[str]], stops: list[float]) -> None:
+    inner = [i for i, b in enumerate(blocks) if not b.outside]
+    total = sum(len(words[i]) for i in inner)
+    known = total == 0 or sum(stops[i] * len(words[i]) for i in inner) / total >= KNOWN_LANGUAGE
+    for i, b in enumerate(blocks):
+        b.stops = stops[i] if known else GOOD_STOPS
+        b.points = points(b.text, b.stops, b.linked, b.main, b.outside)
+    # Where no block is good, those with the most points are, if their words say anything for them.
+    good = min(GOOD, max(1, max((b.points for b in blocks), default=0)))
+    for b in blocks:
+        b.label = "good" if b.points >= good else "bad" if b.points <= BAD else ""
+    decided = [b.label for b in blocks]
+    before = list(_nearest(blocks, decided, range(len(blocks))))
+    after = list(_nearest(blocks, decided, range(len(blocks) - 1, -1, -1)))[::-1]
+    for b, d, left, right in zip(blocks, decided, before, after, strict=True):
+        if not d:
+            b.label = _inherited(b, *left, *right)
 
 
-def _classify(blocks: list[Block]) -> None:
-    """The two passes, over all blocks that do not lie outside."""
-    inner = [b for b in blocks if not b.outside]
-    words = {id(b): _WORD.findall(b.text.lower()) for b in inner}
-    every = [w for b in inner for w in words[id(b)]]
-    known = _stop_share(every) >= KNOWN_LANGUAGE
-    has_main = any(b.main for b in inner)
-    for b in blocks:
-        if b.outside or has_main and not b.main:
-            b.label = "bad"
-            continue
-        stops = _stop_share(words[id(b)]) if known else GOOD_STOPS
-        if b.linked > MOST_LINKED:
-            # Within the main part, a list of links is bad, one linked line is ambiguous.
-            b.label = "bad" if not b.main or len(b.text) >= LONG else "short"
-        elif len(b.text) < SHORT:
-            b.label = "bad" if b.linked > 0 and not b.main else "short"
-        elif stops >= GOOD_STOPS:
-            b.label = "good" if len(b.text) >= LONG or b.main else "near"
-        elif stops >= DOUBTFUL_STOPS or b.main:
-            b.label = "near"
-        else:
-            b.label = "bad"
-    # A page part that is marked as main is good where nothing in it decides otherwise.
-    floor = "good" if has_main else "bad"
-    decided = [b.label if b.label in ("good", "bad") and (b.main or not has_main) else "" for b in blocks]
-    before: list[tuple[str, int]] = []
-    last, place = floor, -1
-    for i, d in enumerate(decided):
-        before.append((last, i - place))
-        if d:
-            last, place = d, i
-    last, place = floor, len(blocks)
-    for i in range(len(blocks) - 1, -1, -1):
+def _nearest(blocks: list[Block], decided: list[str], way: range) -> Iterator[tuple[str, int]]:
+    """For each block, the label of the last decided block before it on this way, and how far off it is.
+
+    The end of the page is bad. So is what lies outside, two steps further off, as a
+    short block often is the first or last of a text. Past the border of a main
+    part there is no neighbour, as what surrounds it says nothing of what lies within.
+    """
+    label, place, main = "bad", -1, False
+    for k, i in enumerate(way):
         b = blocks[i]
-        if b.label in ("short", "near"):
-            (left, near_left), (right, near_right) = before[i], (last, place - i)
-            if left == right:
-                b.label = left
-            elif b.label == "near" or b.heading and right == "good" or b.main:
-                b.label = "good"
-            else:
-                b.label = left if near_left < near_right else right if near_right < near_left else "bad"
-        if decided[i]:
-            last, place = decided[i], i
+        if b.main != main and not b.outside:
+            label, place, main = "" if b.main else "bad", k - 2, b.main
+        yield label, k - place
+        if b.outside:
+            label, place = (label, place) if main else ("bad", k - 2)
+        elif decided[i]:
+            label, place = decided[i], k
+
+
+def _inherited(b: Block, left: str, near_left: int, right: str, near_right: int) -> str:
+    """The second pass: an ambiguous block's label from the decided ones to both sides (empty: none in its part)."""
+    if not left or not right:
+        # Without neighbours the block's own points have the word.
+        return left or right or ("good" if b.points > 0 else "bad")
+    if left == right:
+        return left
+    if b.points > 0 or b.heading and right == "good":
+        return "good"
+    if near_left != near_right:
+        return left if near_left < near_right else right
+    return "good" if b.stops >= GOOD_STOPS and not b.linked else "bad"
 
 
 def main_text(page: str) -> str:

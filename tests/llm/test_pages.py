@@ -127,3 +127,160 @@ def test_ambiguous_blocks_take_the_nearest_label():
         blocks = made(*kinds)
         classify(blocks)
         assert "".join(b.label[0] for b in blocks) == labels
+
+
+class Plain:
+    """The rules once more, on well-formed pages: a parser of the standard library, and neighbours looked for one by one."""
+
+    BLOCKS = {"p", "div", "li", "ul", "nav", "article", "h1", "footer", "body", "html", "head"}
+    NOT_MAIN = {"nav", "footer", "head"}
+
+    def __init__(self, page):
+        from html.parser import HTMLParser
+
+        out, stack, text = [], [], []
+
+        def flush():
+            words = " ".join("".join(t for t, _ in text).split())
+            if words:
+                seen = sum(len(t.replace(" ", "")) for t, _ in text)
+                linked = sum(len(t.replace(" ", "")) for t, a in text if a) / seen
+                out.append([words, linked, "article" in stack, any(s in self.NOT_MAIN or s == "ad" for s in stack), "h1" in stack])
+            text.clear()
+
+        class Reader(HTMLParser):
+            def handle_starttag(self, tag, attrs):
+                if tag in Plain.BLOCKS:
+                    flush()
+                    if "p" in stack and tag != "li":
+                        while stack.pop() != "p":
+                            pass
+                if tag not in ("br", "meta", "b"):
+                    stack.append("ad" if ("class", "ad") in attrs else tag)
+                elif tag == "br":
+                    text.append((" ", False))
+
+            def handle_endtag(self, tag):
+                if tag in Plain.BLOCKS:
+                    flush()
+                names = [("div" if s == "ad" else s) for s in stack]
+                if tag in names:
+                    del stack[len(names) - 1 - names[::-1].index(tag) :]
+
+            def handle_data(self, data):
+                if not {"script", "style", "title"} & set(stack):
+                    text.append((data, "a" in stack))
+
+        reader = Reader()
+        reader.feed(page)
+        reader.close()
+        flush()
+        self.blocks = out
+
+    def text(self):
+        import re
+
+        from lodecast.llm.html_blocks import STOP_WORDS
+
+        blocks = self.blocks
+        words = [re.findall(r"[^\W\d_]+", b[0].lower()) for b in blocks]
+        stops = [sum(w in STOP_WORDS for w in ws) / max(len(ws), 1) for ws in words]
+        inner = [k for k, b in enumerate(blocks) if not b[3]]
+        every = [w for k in inner for w in words[k]]
+        if every and sum(w in STOP_WORDS for w in every) / len(every) < 0.04:
+            stops = [0.22] * len(blocks)
+        score = []
+        for (t, linked, main, outside, _), s in zip(blocks, stops, strict=True):
+            size = "long" if len(t) >= 200 else "middle" if len(t) >= 70 else "short"
+            if linked > 0.4:
+                own = {"long": -3}.get(size, -2)
+            elif size == "short":
+                own = -1 if linked else 0
+            elif s >= 0.22:
+                own = {"long": 3, "middle": 2}[size]
+            else:
+                own = int(s >= 0.12 or size == "long")
+            score.append(own + 2 * main - 6 * outside)
+        enough = min(3, max([1, *score]))
+        first = ["g" if s >= enough else "b" if s <= -1 else "" for s in score]
+
+        def look(k, step):
+            """Label and distance of the nearest decided neighbour to one side."""
+            own, j, n = blocks[k], k + step, 1
+            while 0 <= j < len(blocks):
+                inside = blocks[j][2] and not blocks[j][3]
+                if own[2] and not blocks[j][2] and not blocks[j][3]:
+                    return "", n
+                if blocks[j][3]:
+                    if not own[2]:
+                        return "b", n + 2
+                elif inside != own[2]:
+                    return ("" if own[2] else "b"), n + 1
+                elif first[j]:
+                    return first[j], n
+                j, n = j + step, n + 1
+            return ("" if own[2] else "b"), n
+
+        out = []
+        for k, b in enumerate(blocks):
+            label = first[k]
+            if not label:
+                (left, a), (right, c) = look(k, -1), look(k, 1)
+                if not left or not right:
+                    label = left or right or ("g" if score[k] > 0 else "b")
+                elif left == right:
+                    label = left
+                elif score[k] > 0 or b[4] and right == "g":
+                    label = "g"
+                elif a != c:
+                    label = left if a < c else right
+                else:
+                    label = "g" if stops[k] >= 0.22 and not b[1] else "b"
+            if label == "g":
+                out.append(b[0])
+        return "\n".join(out)
+
+
+def sample_pages():
+    import duckdb
+
+    return [h for (h,) in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet' ORDER BY page_id").fetchall()]
+
+
+def without_article(page):
+    return page.replace("<article>", "<div>").replace("</article>", "</div>")
+
+
+def test_rules_against_a_second_version():
+    from lodecast.llm.html_blocks import main_text
+
+    for page in sample_pages():
+        for own in (page, without_article(page), without_article(page).replace(' class="ad"', ""), without_article(page).replace("nav>", "div>").replace("footer>", "div>")):
+            assert main_text(own) == Plain(own).text()
+
+
+def test_rules_find_the_text_without_the_article_tag():
+    from collections import Counter
+
+    from lodecast.llm.html_blocks import blocks_of, main_text
+
+    right = true = got = 0
+    for page in sample_pages():
+        whole = Counter(b.text for b in blocks_of(page) if b.main and not b.outside)
+        found = Counter(t for t in main_text(without_article(page)).split("\n") if t)
+        right, true, got = right + sum((whole & found).values()), true + sum(whole.values()), got + sum(found.values())
+    assert right / true >= 0.95 and right / got >= 0.95
+
+
+@pytest.mark.parametrize("part", ["<a ", "<ul>", "<section>x", "<p>", "<div class=ad>", "<b>", "<a b='", "</p>", "<script>", "<li>x", "<h1>x", "<!--", "&amp;"])
+def test_broken_pages_take_linear_time(part):
+    import time
+
+    from lodecast.llm.html_blocks import main_text
+
+    def seconds(n):
+        start = time.perf_counter()
+        main_text(part * n)
+        return time.perf_counter() - start
+
+    assert seconds(60_000) < 20 * seconds(6_000) + 0.5
