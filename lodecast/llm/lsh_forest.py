@@ -1,13 +1,15 @@
 """N-gram Jaccard join: a MinHash LSH forest with exact verification.
 
 Each distinct shingle set has a label in every tree: a sequence of MinHash values.
-Sets that share a label prefix lie under one node of the tree's prefix trie. The
-longest prefix at which a pair just at the threshold meets with the target
-probability comes first; all pairs under its nodes are verified exactly. From the
-similarities of the links found so far, the number of links that met in no tree is
-estimated (each link stands for 1 / probability of being found); while it is not
-negligible, prefixes are shortened by one value, and the pairs that meet only under
-the shorter prefix are verified too.
+A tree is the sorted sequence of its labels, so that sets with a common prefix, the
+nodes of the prefix trie, lie side by side; one pass over the sorted labels keeps
+those that share a prefix with a neighbour. Pairs that share their whole label in
+some tree are verified exactly first. Each link found at similarity s tells how many
+like it met in no tree (lost / (1 - lost) with lost = (1 - s^length)^trees); while
+that is not negligible, matched prefixes are shortened to the length at which the
+links found let expect it to be, and the pairs that meet only there are verified
+too. So the prefix length follows from the data, and a corpus of close copies ends
+with long prefixes and few candidates.
 
 Copies are represented by their set, so exact copies never meet in a node. A
 node of many sets is dealt out in blocks, and each pair of blocks is one unit of
@@ -22,23 +24,31 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lodecast.llm.components import components
 from lodecast.llm.files import written
+from lodecast.llm.splitting import flat
 from lodecast.llm.token_counts import balanced
-from lodecast.llm.words import NOT_SPACE, hashed, mix, ngram_hashes, word_spans
+from lodecast.llm.words import NOT_SPACE, hashed, ngram_hashes, word_spans
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: Trees, the most values of a label, and the recall at the threshold from which the first prefix length follows.
-TREES, DEPTH, RECALL = 32, 8, 1 - 1e-7
+#: Trees, values of a label, and the recall at the threshold at whose prefix length the sorted labels are kept.
+TREES, DEPTH, RECALL = 32, 6, 1 - 1e-7
+#: Bytes of a tree's label: the tree's number, then two bytes for each value.
+_WIDTH = 2
 #: Links between sets of the whole table that may be expected to be missed; prefixes are shortened until they are as few.
 MISSED = 0.01
 #: Sets and shingles of a block at most, about.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 400_000
 #: Text bytes a task works on at a time.
 BATCH_BYTES = 4 << 20
+#: Children of an element in a unit's spanning forest.
+BRANCHES = 16
+#: Bits of the filter that finds the texts of wanted sets: at most 8 MB, whatever the input.
+FILTER_BITS = 1 << 26
 
 
 def matched_depth(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
@@ -70,25 +80,19 @@ def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tree_labels(shingles: np.ndarray, offsets: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """For each row that has shingles, its label in each tree: ``depth`` MinHash values."""
+    """For each row that has shingles, its labels: in each tree its number and the low bytes of ``depth`` MinHash values."""
     seeds = np.random.default_rng(20_011).integers(1, 1 << 32, size=(trees, depth, 2), dtype=np.uint64).astype(np.uint32)
     starts = offsets[:-1][np.diff(offsets) > 0]
     low = (shingles >> np.uint64(32)).astype(np.uint32)
-    labels = np.empty((len(starts), trees, depth), np.uint32)
+    labels = np.empty((len(starts), trees, 1 + _WIDTH * depth), np.uint8)
+    labels[:, :, 0] = np.arange(trees)
     for t in range(trees):
         for d in range(depth):
-            labels[:, t, d] = np.minimum.reduceat(low * (seeds[t, d, 0] | np.uint32(1)) ^ seeds[t, d, 1], starts)
+            least = np.minimum.reduceat(low * (seeds[t, d, 0] | np.uint32(1)) ^ seeds[t, d, 1], starts) if len(starts) else starts
+            labels[:, t, 1 + _WIDTH * d : 1 + _WIDTH * (d + 1)] = least.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :_WIDTH]
     return labels
 
 
-def prefix_keys(labels: np.ndarray, level: int) -> np.ndarray:
-    """The key of each row's node in each tree at a level: the label's first ``level`` values hashed together."""
-    keys = np.repeat(np.arange(1, labels.shape[1] + 1, dtype=np.uint64)[None], len(labels), 0)
-    for d in range(level):
-        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + labels[:, :, d])
-    return keys
-
-
 def _set_ids(shingles: np.ndarray, offsets: np.ndarray) -> list[bytes | None]:
     import xxhash
 
@@ -113,18 +117,47 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, trees: int,
     return slim.mapInArrow(sign, f"_id {kind}, _hash long, _set binary, _size int, _label binary")
 
 
-def at_level(sets: DataFrame, trees: int, depth: int, level: int) -> DataFrame:
-    """``_set, _size, _keys``: the nodes of each set at a level, and after them those one level below, if there is one."""
+def tries(sets: DataFrame, trees: int, depth: int, level: int) -> DataFrame:
+    """``_prefix, _set, _size``: the labels of all trees in order, those that share ``level`` values with a neighbour.
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The order has the set last, so that equal labels, too, are dealt out evenly. The
+    first and the last label of a partition stay, as their neighbours lie elsewhere.
+    """
+    width, size = 1 + _WIDTH * depth, 1 + _WIDTH * level
+    each = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("_tree")
+    rows = sets.select("_set", "_size", "_label", each).select(F.substring("_label", F.col("_tree") * width + 1, F.lit(width)).alias("_prefix"), "_set", "_size")
+    order = ["_prefix", "_set"]
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
+        own, stays = b"", True
         for batch in batches:
-            labels = np.frombuffer(b"".join(batch.column("_label").to_pylist()), np.uint32).reshape(batch.num_rows, trees, depth)
-            keys = np.concatenate([prefix_keys(labels, k) for k in range(level, min(level + 1, depth) + 1)], axis=1)
-            ends = np.arange(batch.num_rows + 1, dtype=np.int32) * keys.shape[1]
-            lists = pa.ListArray.from_arrays(ends, keys.view(np.int64).ravel())
-            yield pa.RecordBatch.from_arrays([batch.column("_set"), batch.column("_size"), lists], names=["_set", "_size", "_keys"])
+            if batch.num_rows == 0:
+                continue
+            raw, offsets = flat(batch.column("_prefix"))
+            heads = raw.reshape(-1, width)[:, :size]
+            first = heads[0].tobytes()
+            equal = (heads[1:] == heads[:-1]).all(1)
+            left = np.concatenate([[held is None or own == first], equal])
+            if held is not None and (stays or own == first):
+                yield held
+            keep = left | np.concatenate([equal, [False]])
+            yield batch.slice(0, batch.num_rows - 1).filter(pa.array(keep[:-1]))
+            held, own, stays = batch.slice(batch.num_rows - 1), heads[-1].tobytes(), bool(left[-1])
+        if held is not None:
+            yield held
+
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(shared, rows.schema)
+
+
+def nodes_of(trees: int, depth: int, levels: list[int]) -> Column:
+    """The keys of a set's nodes at the levels, tree by tree, from its labels."""
+    width = 1 + _WIDTH * depth
+
+    def at(level: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(F.substring("_label", t * width + 1, F.lit(1 + _WIDTH * level))))
 
-    return sets.select("_set", "_size", "_label").mapInArrow(place, "_set binary, _size int, _keys array<bigint>")
+    return F.concat(*map(at, levels))
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -234,17 +267,21 @@ def missed_for(similarities: np.ndarray, trees: int, level: int) -> float:
     return float((lost / (1 - lost)).sum())
 
 
-def _verify(threshold: float, trees: int, levels: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _verify(threshold: float, trees: int, levels: int, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Link counts and a spanning forest of each unit's verified pairs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, _UNIT):
             keys = _matrix(table)
-            ids = table.column("_set").to_pylist()
             packed = table.column("_shingles").to_pylist()
             nodes = np.asarray(table.column("_key")).view(np.uint64)
             blocks, ii, jj, copies = (np.asarray(table.column(c)) for c in ("_block", "_i", "_j", "_copies"))
-            out: list[tuple[bytes, bytes, int, list[float] | None]] = []
+            rows: list[int] = []
+            above: list[int] = []
+            counts: list[int] = []
+            estimates: list[list[float] | None] = []
             for a, b in _units(table):
-                sets = [unpacked(p) for p in packed[a:b]]
+                sets = [np.frombuffer(p, "<u8") for p in packed[a:b]]
                 sizes = np.array([len(s) for s in sets], np.int64)
                 both = overlaps(sets)
                 alike = both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-9
@@ -254,108 +291,145 @@ def _verify(threshold: float, trees: int, levels: int) -> Callable[[Iterator[pa.
                 missed = [missed_for(near, trees, k) for k in range(1, levels + 1)]
                 pairs |= pairs.T
                 links = pairs @ copies[a:b]
-                root = np.full(b - a, -1)
-                for start in np.flatnonzero(pairs.any(1)).tolist():
-                    if root[start] >= 0:
-                        continue
+                left = pairs.any(1)
+                while left.any():
                     reached, edge = np.zeros(b - a, bool), np.zeros(b - a, bool)
-                    reached[start] = edge[start] = True
+                    edge[int(np.argmax(left))] = True
                     while edge.any():
-                        edge = pairs[edge].any(0) & ~reached
                         reached |= edge
-                    root[reached] = start
-                linked = np.flatnonzero(root >= 0).tolist()
-                # What the unit's links say of missed ones stands once, at its first row.
-                out += [(ids[a + k], ids[a + root[k]], int(links[k]), missed if k == linked[0] else None) for k in linked]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.float64())), strict=True)], names=["_set", "_root", "_links", "_missed"])
+                        edge = pairs[edge].any(0) & ~reached
+                    own = (a + np.flatnonzero(reached)).tolist()
+                    rows += own
+                    # Few children each, so that no set gets an edge from all others of its class.
+                    above += [own[max(0, m - 1) // BRANCHES] for m in range(len(own))]
+                    counts += links[reached].tolist()
+                    estimates += [missed, *[None] * (len(own) - 1)]
+                    # What the unit's links say of missed ones stands once.
+                    missed = [0.0] * levels
+                    left &= ~reached
+            if rows:
+                at, up = pa.array(rows), pa.array(above)
+                columns = [table.column(c).take(n).combine_chunks() for n in (at, up) for c in ("_set", "_id", "_hash")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(estimates, pa.list_(pa.float64()))], schema=schema)
 
     return run
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Sorted 64-bit values as their first 48 bits."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
-
+def texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``wanted`` with the ``_text`` of its ``_id`` and ``_hash``.
 
-def unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+    A bit map of the wanted hashes goes to all tasks first, so that only the texts
+    it lets through are shuffled.
+    """
+    place = F.pmod(F.col("_hash"), F.lit(FILTER_BITS))
+    # At most FILTER_BITS / 32768 rows of 4096 bytes.
+    bits = wanted.select(place.alias("_at")).groupBy(F.expr("_at div 32768").alias("_slot")).agg(F.expr("bitmap_construct_agg(_at % 32768)").alias("_bits"))
+    texts = docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_own_hash"))
+    at = texts.withColumn("_at", F.pmod(F.col("_own_hash"), F.lit(FILTER_BITS)))
+    byte = F.conv(F.hex(F.substring("_bits", F.expr("cast(_at % 32768 div 8 as int) + 1"), F.lit(1))), 16, 10).cast("int")
+    near = at.join(F.broadcast(bits), F.expr("_at div 32768") == F.col("_slot")).where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0)
+    return near.select("_own", "_text", "_own_hash").join(wanted, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash"))).select(*wanted.columns, "_text")
 
 
 def similar_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, missed: float = MISSED
 ) -> DataFrame:
-    """``(id_col, class_id, n_links long, _hash long)`` for every row of ``docs``.
+    """``(id_col, class_id, n_links long, _hash long, _class_hash long)`` for every row of ``docs``.
 
     Words are runs of anything but ASCII white space. Rows are linked if the
     Jaccard similarity of their sets of ``n`` neighbouring words is at least
     ``threshold``; a row with fewer words has one shingle of them all.
     ``n_links`` counts all other rows that a row is linked to, copies and repeated
     rows included; ``class_id`` is the least id of its connected component.
-    ``_hash`` (xxhash64 of the text) tells rows of one id apart. Null and empty
+    ``_hash`` (xxhash64 of the text) tells rows of one id apart, and ``_class_hash`` is
+    that of the class's first row: of the rows with its id, the least. Null and empty
     texts have no shingles and no links, and are classes of their own. A null id
     is no class id where the class has another; other columns are ignored,
     whatever their names; an empty table gives an empty result.
     """
-    at = matched_depth(threshold, trees, depth, recall)
-    signed = written(signatures(docs, id_col, text_col, n, trees, at), "forest-signatures")
+    signed = written(signatures(docs, id_col, text_col, n, trees, depth), "forest-signatures")
     some = signed.where("_set IS NOT NULL")
-    sets = some.groupBy("_set").agg(F.min(F.struct("_id", "_hash")).alias("_rep"), F.min("_id").alias("_least"), F.count("*").alias("_copies"), F.first("_size").alias("_size"), F.first("_label").alias("_label"))
-    sets = written(sets, "forest-sets")
+    # Of a class, the row of the least id speaks, a null id last, and of several rows of one id that of the least hash.
+    speaker = F.struct(F.col("_id").isNull().alias("_none"), "_id", "_hash")
+    sets = written(some.groupBy("_set").agg(F.min(speaker).alias("_rep"), F.count("*").alias("_copies"), F.first("_size").alias("_size"), F.first("_label").alias("_label")), "forest-sets")
+    kind = signed.schema["_id"].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in balanced(batches, "_text", BATCH_BYTES):
             shingles, offsets = shingle_sets(table.column("_text"), n)
-            values = pa.array([packed(shingles[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
-            yield from pa.Table.from_arrays([table.column("_set"), table.column("_copies"), values], names=["_set", "_copies", "_shingles"]).to_batches()
+            values = pa.array([shingles[a:b].astype("<u8").tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
+            yield from table.drop_columns(["_text"]).append_column("_shingles", values).combine_chunks().to_batches()
+
+    def grown(level: int) -> tuple[int, DataFrame, DataFrame]:
+        """The tries of a level, and the sets that have a node of several sets there."""
+        trie = written(tries(sets, trees, depth, level), "forest-tries")
+        return level, trie, written(sets.join(trie.select("_set").distinct(), "_set", "left_semi").select("_set", "_label"), "forest-shared")
 
-    def links_at(level: int) -> DataFrame:
-        # Nodes of more than one set; of a node's key the tree need not be known, as it is hashed in.
-        placed = at_level(sets, trees, at, level)
-        nodes = placed.select("_set", "_size", F.explode(F.slice("_keys", 1, trees)).alias("_key"))
+    def links_at(trie: DataFrame, shared: DataFrame, level: int, longer: int | None) -> DataFrame:
+        """Verified links of the pairs that meet at a level, but not at the longer one that came before."""
+        nodes = trie.select("_set", "_size", F.xxhash64(F.substring("_prefix", F.lit(1), F.lit(1 + _WIDTH * level))).alias("_key"))
         full = nodes.groupBy("_key").agg(F.count("*").alias("_n"), F.sum("_size").alias("_sum")).where("_n > 1")
         blocks = F.ceil(F.greatest(F.col("_n") / BLOCK_SETS, F.col("_sum") / BLOCK_SHINGLES)).cast("int")
         dealt = nodes.join(full.select("_key", blocks.alias("_blocks")), "_key").select("_key", "_set", "_blocks", F.pmod(F.xxhash64("_set"), F.col("_blocks")).cast("int").alias("_block"))
         other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
         units = dealt.select("_key", "_set", "_block", other).select("_key", "_set", "_block", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"))
-        keyed = units.join(placed.select("_set", "_keys"), "_set").select(*_UNIT, "_block", "_set", "_keys")
+        placed = shared.select("_set", nodes_of(trees, depth, [level, *([longer] if longer else [])]).alias("_keys"))
+        keyed = units.join(placed, "_set").select(*_UNIT, "_block", "_set", "_keys")
         planned = written(keyed.repartition(*_UNIT).sortWithinPartitions(*_UNIT).mapInArrow(_plan(trees), keyed.schema), "forest-units")
 
         # The shingles of the sets that have a pair to verify, from one document each.
-        wanted = planned.select("_set").distinct().join(sets, "_set").select("_set", F.col("_rep._id").alias("_id"), F.col("_rep._hash").alias("_hash"), "_copies")
-        texts = docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("_text"))
-        met = texts.join(wanted, F.col("_own").eqNullSafe(F.col("_id")) & (F.xxhash64("_text") == F.col("_hash"))).select("_set", "_copies", "_text")
-        known = met.mapInArrow(pack, "_set binary, _copies long, _shingles binary").dropDuplicates(["_set"])
+        wanted = planned.select("_set").distinct().join(sets, "_set").select("_set", "_rep._id", "_rep._hash", "_copies")
+        wanted = written(wanted, "forest-wanted")
+        met = texts_of(docs, wanted, id_col, text_col)
+        known = met.mapInArrow(pack, f"_set binary, _id {kind}, _hash long, _copies long, _shingles binary").dropDuplicates(["_set"])
         sent = planned.join(known, "_set").repartition(*_UNIT).sortWithinPartitions(*_UNIT)
-        return written(sent.mapInArrow(_verify(threshold, trees, at), "_set binary, _root binary, _links long, _missed array<double>"), "forest-links")
-
-    verified = links_at(level := at)
-    while level > 1 and (verified.agg(F.sum(F.element_at("_missed", level))).first()[0] or 0.0) > missed:
-        level -= 1
-        verified = verified.unionByName(links_at(level))
-
-    linked = components(verified.select(F.col("_set").alias("a"), F.col("_root").alias("b")))
+        schema = f"_set binary, _id {kind}, _hash long, _up binary, _up_id {kind}, _up_hash long, _links long, _missed array<double>"
+        arrow = to_arrow_schema(docs.sparkSession.createDataFrame([], schema).schema)
+        return written(sent.mapInArrow(_verify(threshold, trees, depth, arrow), schema), "forest-links")
+
+    level = depth
+    floor, trie, shared = grown(matched_depth(threshold, trees, depth, recall))
+    verified = links_at(trie, shared, level, None)
+    while level > 1:
+        lost = [v or 0.0 for v in verified.agg(*(F.sum(F.element_at("_missed", k)) for k in range(1, level + 1))).first()]
+        if lost[level - 1] <= missed:
+            break
+        longer, level = level, next((k for k in range(level - 1, 0, -1) if lost[k - 1] <= missed), 1)
+        if level < floor:
+            floor, trie, shared = grown(level)
+        verified = verified.unionByName(links_at(trie, shared, level, longer))
+
+    def node(prefix: str) -> Column:
+        return F.struct(F.col(f"{prefix}_id").isNull().alias("_none"), F.col(f"{prefix}_id").alias("_id"), F.col(f"{prefix}_hash").alias("_hash"), F.col(prefix or "_set").alias("_set"))
+
+    # The least node of a component names it, so its label is the class.
+    linked = components(verified.select(node("").alias("a"), node("_up").alias("b"))).select(F.col("node._set").alias("_of"), F.col("label").alias("_class"))
     counts = verified.groupBy("_set").agg(F.sum("_links").alias("_links"))
-    named = sets.join(linked, F.col("_set") == F.col("node"), "left").select("_set", "_least", "_copies", F.coalesce("label", "_set").alias("_label"))
-    least = named.groupBy("_label").agg(F.min("_least").alias("class_id"))
-    result = named.join(least, "_label").join(counts, "_set", "left").select("_set", "class_id", (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).alias("n_links"))
+    named = sets.join(linked, F.col("_set") == F.col("_of"), "left").join(counts, "_set", "left")
+    result = named.select(
+        "_set",
+        F.coalesce("_class._id", F.when(F.col("_class").isNull(), F.col("_rep._id"))).alias("class_id"),
+        F.coalesce("_class._hash", "_rep._hash").alias("_class_hash"),
+        (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).alias("n_links"),
+    )
     # Written first, so that nothing but the join itself needs a set's rows together, and Spark can split them.
     result = written(result, "forest-classes")
     rows = signed.select("_id", "_hash", "_set")
-    found = rows.where("_set IS NOT NULL").join(result, "_set").select(F.col("_id").alias(id_col), "class_id", "n_links", "_hash")
-    alone = rows.where("_set IS NULL").select(F.col("_id").alias(id_col), F.col("_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "_hash")
+    found = rows.where("_set IS NOT NULL").join(result, "_set").select(F.col("_id").alias(id_col), "class_id", "n_links", "_hash", "_class_hash")
+    alone = rows.where("_set IS NULL").select(F.col("_id").alias(id_col), F.col("_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "_hash", F.col("_hash").alias("_class_hash"))
     return found.unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each class, the row whose id is the class id.
+    """The rows of ``docs`` without near copies: of each class its first row.
 
-    Columns and rows without words stay as they are; of repeated rows one stays.
+    That is the one of the least id (a null id last) and, among rows of one id, the
+    least hash of the text. Columns and rows without words stay as they are; of
+    repeated rows one stays.
     """
     found = similar_classes(docs, id_col, text_col, **options)
-    named = found.where(F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy(F.col(id_col).alias("_own"), F.col("_hash").alias("_its")).agg(F.count("*").alias("_rows"))
+    first = found.where(F.col(id_col).eqNullSafe(F.col("class_id")) & (F.col("_hash") == F.col("_class_hash")))
+    named = first.groupBy(F.col(id_col).alias("_own"), F.col("_hash").alias("_its")).agg(F.count("*").alias("_rows"))
     kept = written(named, "forest-kept")
     own = docs[id_col].eqNullSafe(kept["_own"]) & F.xxhash64(docs[text_col]).eqNullSafe(kept["_its"])
     if kept.where("_rows > 1").isEmpty():

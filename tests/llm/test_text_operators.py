@@ -1,5 +1,6 @@
 """Quality rules, personal data, winnowing, near duplicates and the classifier against brute force."""
 
+import random
 import re
 from collections import Counter
 from itertools import combinations
@@ -235,3 +236,39 @@ def test_quality_model(spark, docs, empty):
     assert kept.columns == docs.columns
     assert score(empty, labels).collect() == [] and keep_good(empty, labels).collect() == []
     assert score(docs, labels.limit(0)).where("score = 0.5").count() == docs.count()
+
+
+def test_one_row_of_each_class_stays(spark):
+    from lodecast.llm.lsh_forest import one_of_each
+
+    words = [f"w{k}" for k in range(60)]
+    near = [" ".join([*words[:k], f"new{k}", *words[k + 1 :]]) for k in (0, 59)]
+    other = " ".join(f"v{k}" for k in range(9))
+    rows = [(1, near[0]), (1, near[1]), (1, near[1]), (None, near[0]), (4, other), (4, other + " "), (None, "x y"), (None, "x y"), (None, "x  y"), (7, None), (7, None), (8, "")]
+    frame = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, class_id int")
+    kept = one_of_each(frame)
+    assert kept.columns == frame.columns
+    found = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    # Of the near copies one row of id 1, of the copies one of id 4, of the null ids one text; no words, no copies.
+    assert sorted(map(str, (i for i, _ in found))) == sorted(map(str, [1, 4, None, 7, 8]))
+    assert {t for i, t in found if i == 1} < set(near) and (7, None) in found and (8, "") in found
+    assert one_of_each(frame.where("doc_id IN (7, 8)").dropDuplicates()).count() == 2
+
+
+def test_labels_in_order_keep_what_shares_a_prefix(spark):
+    from lodecast.llm import lsh_forest
+
+    rng = random.Random(3)
+    size = 1 + lsh_forest._WIDTH * 4
+    sets = []
+    for k in range(400):
+        label = b"".join(bytes([t]) + bytes(rng.choice((0, 1)) if j % 2 == 0 else 7 for j in range(size - 1)) for t in range(3))
+        sets.append((k.to_bytes(2, "big"), 5, label))
+    frame = spark.createDataFrame(sets, "_set binary, _size int, _label binary").repartition(3)
+    labels = [(label[t * size : (t + 1) * size], own) for own, _, label in sets for t in range(3)]
+    for level in (2, 3, 4):
+        heads = Counter(prefix[: 1 + lsh_forest._WIDTH * level] for prefix, _ in labels)
+        wanted = {(p, o) for p, o in labels if heads[p[: 1 + lsh_forest._WIDTH * level]] > 1}
+        trie = lsh_forest.tries(frame, 3, 4, level)
+        got = {(bytes(r["_prefix"]), bytes(r["_set"])) for r in trie.collect()}
+        assert wanted <= got <= set(labels) and len(got - wanted) <= 2 * trie.rdd.getNumPartitions()
