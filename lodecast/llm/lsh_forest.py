@@ -42,7 +42,11 @@ _WIDTH = 2
 #: Links between sets of the whole table that may be expected to be missed; prefixes are shortened until they are as few.
 MISSED = 0.01
 #: Sets and shingles of a block at most, about.
-BLOCK_SETS, BLOCK_SHINGLES = 256, 400_000
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 400_000
+#: 64-bit words of the bit rows that are compared at a time.
+BIT_WORDS = 1024
+#: Values of so many sets of a unit at most are counted pair by pair.
+RARE = 8
 #: Text bytes a task works on at a time.
 BATCH_BYTES = 4 << 20
 #: Children of an element in a unit's spanning forest.
@@ -206,42 +210,57 @@ def _matrix(table: pa.Table) -> np.ndarray:
     return np.asarray(lists.flatten()).view(np.uint64).reshape(table.num_rows, -1)
 
 
-def _first_met(keys: np.ndarray, key: np.uint64, trees: int) -> np.ndarray:
-    """For each pair of rows, whether this node is where it meets first: neither in an earlier tree nor under a longer prefix."""
+def _sides(blocks: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the two sides whose pairs the unit of blocks i and j has to verify; both are all rows if i is j."""
+    return (np.arange(len(blocks)),) * 2 if i == j else (np.flatnonzero(blocks == i), np.flatnonzero(blocks == j))
+
+
+def _first_met(keys: np.ndarray, a: np.ndarray, b: np.ndarray, key: np.uint64, trees: int, same: bool) -> np.ndarray:
+    """For each pair of the sides, once, whether this node is where it meets first: neither in an earlier tree nor under a longer prefix."""
     tree = int(np.flatnonzero((keys[:, :trees] == key).all(0))[0])
-    met = np.ones((len(keys), len(keys)), bool)
+    met = np.triu(np.ones((len(a), len(b)), bool), 1) if same else np.ones((len(a), len(b)), bool)
+    left, right = np.ascontiguousarray(keys[a].T), np.ascontiguousarray(keys[b].T)
     for t in (*range(tree), *range(trees, keys.shape[1])):
-        met &= keys[:, t, None] != keys[None, :, t]
+        met &= left[t][:, None] != right[t][None, :]
     return met
 
 
-def _across(blocks: np.ndarray, i: int, j: int) -> np.ndarray:
-    """For each pair of rows, once, whether the unit of blocks i and j has to verify it."""
-    n = len(blocks)
-    upper = np.triu(np.ones((n, n), bool), 1)
-    return upper if i == j else upper & (blocks[:, None] != blocks[None, :])
-
-
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sorted sets, from bit rows over the values that two sets share."""
-    n = len(sets)
-    if n == 2:
-        out = np.zeros((2, 2), np.int64)
-        out[0, 1] = out[1, 0] = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each sorted set of a with each of b (with later ones only, if b is a)."""
+    same, n = a is b, len(a)
+    out = np.zeros((n, len(b)), np.int32)
+    if n * len(b) <= 4:
+        for i in range(n):
+            for j in range(i + 1 if same else 0, len(b)):
+                out[i, j] = len(np.intersect1d(a[i], b[j], assume_unique=True))
         return out
-    rows = np.repeat(np.arange(n), [len(s) for s in sets])
-    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = counts > 1
-    place = np.cumsum(shared) - 1
-    keep = shared[inverse]
-    at, row = place[inverse[keep]], rows[keep]
-    width = (int(shared.sum()) + 63) // 64
-    words = np.zeros((n, width), np.uint64)
-    np.bitwise_or.at(words, (row, at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
-    out = np.zeros((n, n), np.int64)
-    for i in range(n - 1):
-        out[i, i + 1 :] = np.bitwise_count(words[i] & words[i + 1 :]).sum(1)
-    return out + out.T
+    sets = a if same else [*a, *b]
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(inverse, kind="stable")
+    values, rows, counts = inverse[order], rows[order], counts[inverse[order]]
+    # Values of few sets: their pairs one by one.
+    rare = (counts > 1) & (counts <= RARE)
+    value, row = values[rare], rows[rare]
+    for step in range(1, RARE):
+        equal = np.flatnonzero(value[step:] == value[:-step]) if len(value) > step else np.zeros(0, np.int64)
+        one, two = row[equal], row[equal + step] - (0 if same else n)
+        apart = slice(None) if same else (one < n) & (two >= 0)
+        out += np.bincount(one[apart] * len(b) + two[apart], minlength=n * len(b)).reshape(n, len(b)).astype(np.int32)
+    # Values of many sets: a bit each.
+    often = counts > RARE
+    value, row = values[often], rows[often]
+    at = np.cumsum(np.diff(value, prepend=-1) != 0) - 1
+    for start in range(0, int(at[-1]) + 1 if len(at) else 0, 64 * BIT_WORDS):
+        here = (at >= start) & (at < start + 64 * BIT_WORDS)
+        bit = at[here] - start
+        words = np.zeros((len(sets), int(bit.max()) // 64 + 1), np.uint64)
+        np.bitwise_or.at(words, (row[here], bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
+        others = words if same else words[n:]
+        for i in range(n):
+            first = i + 1 if same else 0
+            out[i, first:] += np.bitwise_count(words[i] & others[first:]).sum(1, dtype=np.int32)
+    return out
 
 
 def _plan(trees: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -253,14 +272,31 @@ def _plan(trees: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
             nodes = np.asarray(table.column("_key")).view(np.uint64)
             blocks, ii, jj = (np.asarray(table.column(c)) for c in ("_block", "_i", "_j"))
             keep = np.zeros(table.num_rows, bool)
-            for a, b in _units(table):
-                pairs = _across(blocks[a:b], ii[a], jj[a]) & _first_met(keys[a:b], nodes[a], trees)
-                keep[a:b] = pairs.any(0) | pairs.any(1)
+            for first, last in _units(table):
+                a, b = _sides(blocks[first:last], ii[first], jj[first])
+                pairs = _first_met(keys[first:last], a, b, nodes[first], trees, ii[first] == jj[first])
+                keep[first + a[pairs.any(1)]] = True
+                keep[first + b[pairs.any(0)]] = True
             yield from table.filter(pa.array(keep)).to_batches()
 
     return run
 
 
+def _connected(pairs: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and columns of each connected component of a table of pairs (with its mirror image, if both sides are the same)."""
+    left = pairs.any(1)
+    while left.any():
+        rows, columns, edge = np.zeros(pairs.shape[0], bool), np.zeros(pairs.shape[1], bool), np.zeros(pairs.shape[0], bool)
+        edge[int(np.argmax(left))] = True
+        while edge.any():
+            rows |= edge
+            new = pairs[edge].any(0) & ~columns
+            columns |= new
+            edge = pairs[:, new].any(1) & ~rows
+        left &= ~(rows | columns) if same else ~rows
+        yield rows, columns
+
+
 def missed_for(similarities: np.ndarray, trees: int, level: int) -> float:
     """Links expected to have met in no tree, for links that were found: each stands for 1 / (probability of being found)."""
     lost = (1 - similarities**level) ** trees
@@ -280,33 +316,30 @@ def _verify(threshold: float, trees: int, levels: int, schema: pa.Schema) -> Cal
             above: list[int] = []
             counts: list[int] = []
             estimates: list[list[float] | None] = []
-            for a, b in _units(table):
-                sets = [np.frombuffer(p, "<u8") for p in packed[a:b]]
-                sizes = np.array([len(s) for s in sets], np.int64)
-                both = overlaps(sets)
-                alike = both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-9
-                pairs = alike & _across(blocks[a:b], ii[a], jj[a]) & _first_met(keys[a:b], nodes[a], trees)
+            for first, last in _units(table):
+                sets = [np.frombuffer(p, "<u8") for p in packed[first:last]]
+                sizes, own = np.array([len(s) for s in sets]), copies[first:last]
+                same = ii[first] == jj[first]
+                a, b = _sides(blocks[first:last], ii[first], jj[first])
+                one = [sets[k] for k in a]
+                both = overlaps(one, one if same else [sets[k] for k in b])
+                pairs = _first_met(keys[first:last], a, b, nodes[first], trees, same)
+                pairs &= both >= threshold * (sizes[a][:, None] + sizes[b][None, :] - both) - 1e-9
                 i, j = np.nonzero(pairs)
-                near = both[i, j] / (sizes[i] + sizes[j] - both[i, j])
+                near = both[i, j] / (sizes[a][i] + sizes[b][j] - both[i, j])
                 missed = [missed_for(near, trees, k) for k in range(1, levels + 1)]
-                pairs |= pairs.T
-                links = pairs @ copies[a:b]
-                left = pairs.any(1)
-                while left.any():
-                    reached, edge = np.zeros(b - a, bool), np.zeros(b - a, bool)
-                    edge[int(np.argmax(left))] = True
-                    while edge.any():
-                        reached |= edge
-                        edge = pairs[edge].any(0) & ~reached
-                    own = (a + np.flatnonzero(reached)).tolist()
-                    rows += own
+                links = np.zeros(last - first, np.int64)
+                links[a] += pairs @ own[b]
+                links[b] += own[a] @ pairs
+                for in_a, in_b in _connected(pairs | pairs.T if same else pairs, same):
+                    members = (first + np.union1d(a[in_a], b[in_b])).tolist()
+                    rows += members
                     # Few children each, so that no set gets an edge from all others of its class.
-                    above += [own[max(0, m - 1) // BRANCHES] for m in range(len(own))]
-                    counts += links[reached].tolist()
-                    estimates += [missed, *[None] * (len(own) - 1)]
+                    above += [members[max(0, m - 1) // BRANCHES] for m in range(len(members))]
+                    counts += links[np.array(members) - first].tolist()
                     # What the unit's links say of missed ones stands once.
+                    estimates += [missed, *[None] * (len(members) - 1)]
                     missed = [0.0] * levels
-                    left &= ~reached
             if rows:
                 at, up = pa.array(rows), pa.array(above)
                 columns = [table.column(c).take(n).combine_chunks() for n in (at, up) for c in ("_set", "_id", "_hash")]
