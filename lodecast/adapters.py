@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores: dealt out anew only where the files give fewer partitions than there are cores."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``block_id, domain, period, x, y, z, v`` from the first four vector components."""
     part = [F.round(F.element_at("embedding", i).cast("double") * 1000, 6).alias(n) for i, n in enumerate(("x", "y", "z", "v"), 1)]
@@ -30,7 +36,7 @@ SAMPLES = """s AS (SELECT vec_id AS block_id, label AS domain, (13 + vec_id % 3)
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``domain, model, mu0, mu, sigma`` of four models of each line's price."""
-    base = table(spark, sf_dir, "lineitem").selectExpr("l_linestatus AS domain", "l_extendedprice / 1000 AS m", "l_quantity AS q", "l_tax AS t", "l_discount AS d")
+    base = spread(table(spark, sf_dir, "lineitem").selectExpr("l_linestatus AS domain", "l_extendedprice / 1000 AS m", "l_quantity AS q", "l_tax AS t", "l_discount AS d"))
     stacked = ", ".join(f"struct('{k}' AS model, CAST({m} AS DOUBLE) AS mu, CAST({s} AS DOUBLE) AS sigma)" for k, (m, s) in MODELS.items())
     return base.selectExpr("domain", "m AS mu0", f"explode(array({stacked})) AS x").select("domain", "x.model", "mu0", "x.mu", "x.sigma")
 

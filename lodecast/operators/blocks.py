@@ -2,9 +2,34 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Groups up to whose number a table of one row a group is held by the driver and sent to all tasks.
+HELD_GROUPS = 10_000
+
+
+def cut(frame: DataFrame) -> DataFrame:
+    """The frame, computed once and kept in the folder of ``spark.checkpoint.dir``, so that what follows does not compute it again.
+
+    Without that setting, a local session takes a folder of its own, and a cluster is an error.
+    """
+    context = frame.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='checkpoints-')}")
+    return frame.checkpoint()
+
+
+def held(side: DataFrame) -> DataFrame:
+    """A table of one row for each group, computed once and broadcast if its groups are few; otherwise as it is."""
+    rows = side.limit(HELD_GROUPS + 1).collect()
+    return side if len(rows) > HELD_GROUPS else F.broadcast(side.sparkSession.createDataFrame(rows, side.schema))
+
 
 def in_blocks(rows: DataFrame, side: DataFrame, keys: list[str], size: int) -> tuple[DataFrame, DataFrame]:
     """Both frames with ``_b``: ``rows`` are spread over blocks of about ``size``, ``side`` is repeated for each block of its group."""

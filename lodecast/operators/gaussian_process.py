@@ -29,6 +29,10 @@ class Kernel:
     noise: float
     kind: str = "matern32"
 
+    def isotropic(self) -> Kernel:
+        """The kernel with one length scale, the geometric mean of its three."""
+        return Kernel(self.amplitude, (math.prod(self.lengths) ** (1 / 3),) * 3, self.noise, self.kind)
+
     def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         d = (a[:, None] - b[None]) / np.asarray(self.lengths)
         r = np.sqrt((d * d).sum(-1))
@@ -124,6 +128,19 @@ def simulate_joint(queries: DataFrame, known: DataFrame, keys: list[str], kernel
     return asked.groupBy(*keys).cogroup(told.groupBy(*keys)).applyInPandas(draw, schema).select(*keys, "sim", "block_id", "value")
 
 
+def predict(method: str, queries: DataFrame, known: DataFrame, keys: list[str], kernel: Kernel, sims: int = 128, **options) -> DataFrame:
+    """The result of a method by its name: GPR(L), GPR(G), GP-SGS or GP-CRF."""
+    if method == "GPR(L)":
+        return infer_local(queries, known, keys, kernel, **options)
+    if method == "GPR(G)":
+        return infer_global(queries, known, keys, kernel, **options)
+    if method == "GP-SGS":
+        return simulate_sequential(queries, known, keys, kernel, sims, **options)
+    if method == "GP-CRF":
+        return simulate_joint(queries, known, keys, kernel, sims, **options)
+    raise ValueError(f"no method {method!r}")
+
+
 def _kernel(theta: np.ndarray, kind: str) -> Kernel:
     amplitude, *lengths, noise = np.exp(theta)
     return Kernel(amplitude, tuple(lengths), noise, kind)

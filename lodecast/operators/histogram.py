@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodecast.operators.blocks import held
+
 BINS = 40
 DISTANCES = ("d_psi", "d_js", "d_iou", "d_em")
 
@@ -35,25 +37,56 @@ def pmfs(rows: DataFrame, keys: list[str], bins: int = BINS, **columns: str) ->
     return counts.select(*keys, "bin", (F.col("nq") / F.sum("nq").over(every)).alias("q"), (F.col("np") / F.sum("np").over(every)).alias("p"))
 
 
+#: Parts of a bin within which values are put in order.
+PARTS = 16
+
+
 def distances(rows: DataFrame, keys: list[str], truth: str = "mu0", value: str = "mu", bins: int = BINS) -> DataFrame:
     """``keys`` with symmetric chi-square, Jensen-Shannon (base 2), Ruzicka and Wasserstein-1 distances.
 
-    The last is the mean absolute difference of order statistics of equal rank.
+    The last is the area between both distribution functions: for equal counts the
+    mean absolute difference of order statistics of equal rank. Null, NaN and
+    infinite values of either side are left out, so counts may differ. Equal values are counted
+    together first; running sums go over the parts of a group and then within each
+    part, so no task holds a group.
     """
-    p, q = F.col("p"), F.col("q")
-    m = (p + q) / 2
+    finite = [F.when(F.abs(c) < float("inf"), F.col(c)) for c in (truth, value)]
+    clean = rows.select(*keys, finite[0].alias("_t"), finite[1].alias("_v"))
+    spans = held(clean.groupBy(*keys).agg(F.min("_t").alias("_low"), F.max("_t").alias("_high")).withColumn("_g", F.xxhash64(*keys) if keys else F.lit(0)))
+    near = clean.join(spans, keys) if keys else clean.withColumn("_g", F.lit(0)).join(spans, "_g")
+    sides = near.select("_g", "_low", "_high", F.explode(F.array(*(F.struct(F.col(c).alias("x"), F.lit(t).alias("t")) for c, t in (("_t", 1), ("_v", 0))))).alias("_s"))
+    width = F.when(F.col("_high") > F.col("_low"), (F.col("_high") - F.col("_low")) / bins).otherwise(F.lit(1.0))
+    part = F.least(F.greatest(F.floor((F.col("_s.x") - F.col("_low")) / width * PARTS), F.lit(-1)), F.lit(bins * PARTS)).cast("int")
+    # Groups and parts go by one number, which sorts much faster than their names; the part itself goes along.
+    valued = sides.where("_s.x IS NOT NULL").select("_g", part.alias("_part"), F.col("_s.x").alias("_x"), F.col("_s.t").alias("_t")).withColumn("_k", F.xxhash64("_g", "_part"))
+    counted = valued.groupBy("_k", "_x").agg(F.sum("_t").alias("_nq"), F.sum(1 - F.col("_t")).alias("_np"), F.first("_g").alias("_g"), F.first("_part").alias("_part"))
+
+    parts = counted.groupBy("_k").agg(F.first("_g").alias("_g"), F.first("_part").alias("_part"), F.sum("_nq").alias("_nq"), F.sum("_np").alias("_np"), F.min("_x").alias("_first"))
+    every = Window.partitionBy("_g")
+    order = every.orderBy("_part")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.select(
+        "*", F.lead("_first").over(order).alias("_next"), *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("_nq", "_np")), *(F.sum(c).over(every).alias(f"{c}_all") for c in ("_nq", "_np"))
+    )
+    p, q = F.col("_p"), F.col("_q")
 
-    def part(x):
-        return F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
+    def share(x):
+        return F.when(x > 0, x * F.log2(x / ((p + q) / 2))).otherwise(0.0)
 
-    binned = pmfs(rows, keys, bins, truth=truth, value=value).groupBy(*keys).agg(
+    bin_ = F.when(F.col("_part") < 0, 0).otherwise(F.expr(f"_part div {PARTS}") + 1)
+    binned = placed.groupBy("_g", bin_.alias("_bin")).agg(*((F.sum(c) / F.first(f"{c}_all")).alias(n) for c, n in (("_nq", "_q"), ("_np", "_p")))).groupBy("_g").agg(
         F.sum(F.when(p + q > 0, (p - q) * (p - q) / (0.5 * (p + q)))).alias("d_psi"),
-        F.sum(0.5 * part(p) + 0.5 * part(q)).alias("d_js"),
+        F.sum(0.5 * share(p) + 0.5 * share(q)).alias("d_js"),
         (1 - F.sum(F.least(p, q)) / F.sum(F.greatest(p, q))).alias("d_iou"),
     )
-    ranked = [rows.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy(c)).alias("_rank"), F.col(c).alias(f"_{k}")) for k, c in (("t", truth), ("v", value))]
-    moved = ranked[0].join(ranked[1], [*keys, "_rank"]).groupBy(*keys).agg(F.avg(F.abs(F.col("_t") - F.col("_v"))).alias("d_em"))
-    return binned.join(moved, keys)
+    within = Window.partitionBy("_k").orderBy("_x")
+    upto = within.rowsBetween(Window.unboundedPreceding, 0)
+    steps = counted.select("_k", "_x", F.sum("_nq").over(upto).alias("_cq"), F.sum("_np").over(upto).alias("_cp"), F.lead("_x").over(within).alias("_after"))
+    gap = (F.col("_nq_before") + F.col("_cq")) / F.col("_nq_all") - (F.col("_np_before") + F.col("_cp")) / F.col("_np_all")
+    area = F.abs(gap) * (F.coalesce("_after", "_next") - F.col("_x"))
+    around = placed.select("_k", "_g", "_next", *(f"{c}_{n}" for c in ("_nq", "_np") for n in ("before", "all")))
+    moved = steps.join(around, "_k").select("_g", area.alias("_area")).groupBy("_g").agg(F.coalesce(F.sum("_area"), F.lit(0.0)).alias("d_em"))
+    return binned.join(moved, "_g").join(spans.select("_g", *keys), "_g").select(*keys, *DISTANCES)
 
 
 def rank_models(found: DataFrame, keys: list[str], model: str = "model") -> DataFrame:

@@ -7,62 +7,70 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodecast.operators.spatial import AXES, ellipsoid_neighbours, neighbours
-
-
-def bessel_k(nu: float, x: np.ndarray) -> np.ndarray:
-    """The modified Bessel function of the second kind: its integral by the trapezoid rule."""
-    t = np.linspace(0, 32, 257)
-    shape, flat = np.shape(x), np.ravel(np.asarray(x, float))
-    out = np.empty(len(flat))
-    with np.errstate(under="ignore"):
-        for at in range(0, len(flat), 1000):  # bounds the table of places by steps
-            f = np.exp(np.log(np.cosh(nu * t)) - flat[at : at + 1000, None] * np.cosh(t))
-            out[at : at + 1000] = (f.sum(1) - (f[:, 0] + f[:, -1]) / 2) * (t[1] - t[0])
-    return out.reshape(shape)
+from lodecast.operators.shapes import bessel_k, rise
+from lodecast.operators.spatial import AXES, ellipsoid_neighbours, neighbours, rotation
 
 
 @dataclass(frozen=True)
 class Variogram:
-    """A covariance model: effective range, sill, nugget and the shape's name."""
+    """A covariance model: effective range, sill (nugget included), nugget and the shape's name.
+
+    At lag 0 the covariance is the sill, beyond it the structured part, sill less
+    nugget, times what the shape has left. With ``radii`` and ``angles``, lags are
+    taken in turned coordinates over the radii, and the range is 1.
+    ``legacy`` gives the covariances of older results instead: no nugget at lag 0,
+    a spherical shape whose terms in h are not scaled, and 1 for a Matern at lag 0.
+    """
 
     range: float
     sill: float
     nugget: float = 0.0
     kind: str = "exponential"
     smoothness: float = 1.5
+    radii: tuple[float, float, float] | None = None
+    angles: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    legacy: bool = False
 
     def covariance(self, lag: np.ndarray) -> np.ndarray:
         h, part = np.asarray(lag, float) / self.range, self.sill - self.nugget
         kind = self.kind.lower()
-        if kind == "exponential":
-            return part * np.exp(-3 * h)
-        if kind == "gaussian":
-            return part * np.exp(-3 * h * h)
-        if kind == "spherical":
+        if kind not in ("exponential", "gaussian", "spherical", "matern"):
+            raise ValueError(f"no covariance model {self.kind!r}")
+        if self.legacy and kind == "spherical":
             return np.where(h <= 1, part - 1.5 * h + 0.5 * h**3, self.sill - 1)
-        if kind == "matern":
-            nu, u = self.smoothness, np.maximum(h, 1e-12) * math.sqrt(self.smoothness)
-            return np.where(h > 0, part * 2 / math.gamma(nu) * (2 * u) ** nu * bessel_k(nu, 4 * u), 1.0)
-        raise ValueError(f"no covariance model {self.kind!r}")
+        if self.legacy and kind == "gaussian":
+            return part * np.exp(-3 * h * h)
+        left = part * (1 - rise(h, kind, self.smoothness))
+        return (np.where(h > 0, left, 1.0) if kind == "matern" else left) if self.legacy else np.where(h > 0, left, self.sill)
+
+    def lags(self, delta: np.ndarray) -> np.ndarray:
+        """Lags of coordinate differences (last axis x, y, z)."""
+        if self.radii is not None:
+            turn = np.array(rotation(*(math.radians(t) for t in (self.angles[0], self.angles[2], self.angles[1]))), float)
+            delta = delta @ turn.T / np.asarray(self.radii, float) * self.range
+        return np.sqrt((delta * delta).sum(-1))
+
+
+def krige_points(points: np.ndarray, values: np.ndarray, places: np.ndarray, model: Variogram, means: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Estimates and variances at m places from n neighbours each (m, n, 3), all systems solved together; ordinary kriging without means."""
+    m, n = values.shape
+    c = model.covariance(model.lags(points - places[:, None]))
+    left, right = model.covariance(model.lags(points[:, :, None] - points[:, None])), c
+    if means is None:
+        left = np.concatenate([np.concatenate([left, np.ones((m, n, 1))], 2), np.concatenate([np.ones((m, 1, n)), np.zeros((m, 1, 1))], 2)], 1)
+        right, means = np.concatenate([c, np.ones((m, 1))], 1), values.mean(1)
+    # The least squares of smallest norm, as points can coincide.
+    w = (np.linalg.pinv(left, rcond=1e-13, hermitian=True) @ right[..., None])[:, :n, 0]
+    return means + (w * (values - means[:, None])).sum(1), np.maximum(0.0, model.sill - (w * c).sum(1))
 
 
 def krige_point(points: np.ndarray, values: np.ndarray, place: np.ndarray, model: Variogram, mean: float | None) -> tuple[float, float]:
     """Estimate and variance at a place; simple kriging with a mean, ordinary kriging without."""
-    lags = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
-    c = model.covariance(np.sqrt(((points - place) ** 2).sum(-1)))
-    n = len(points)
-    if mean is None:
-        left = np.ones((n + 1, n + 1))
-        left[:n, :n], left[n, n] = model.covariance(lags), 0
-        w = np.linalg.lstsq(left, np.append(c, 1), rcond=None)[0][:n]
-        mean = float(values.mean())
-    else:
-        w = np.linalg.lstsq(model.covariance(lags), c, rcond=None)[0]
-    return mean + float(w @ (values - mean)), max(0.0, model.sill - float(w @ c))
+    found = krige_points(points[None], values[None], place[None], model, None if mean is None else np.array([mean]))
+    return float(found[0][0]), float(found[1][0])
 
 
 def octant_search(delta: np.ndarray, k: int, radius: float, least: int = 2) -> np.ndarray:
@@ -92,24 +100,56 @@ def with_neighbours(queries: DataFrame, known: DataFrame, keys: list[str], k: in
     return queries.select(*keys, F.col("block_id").alias("q_id"), *AXES).join(held, [*keys, "q_id"]).join(means, keys)
 
 
-def predict_each(rows: DataFrame, keys: list[str], point, exact: bool = True) -> DataFrame:
+def covariance_column(lag: Column, kind: str, range_: float, sill: float, nugget: float = 0.0) -> Column:
+    """The covariance at a lag as a DataFrame expression, for the shapes that need no Bessel function."""
+    h, part = lag / range_, sill - nugget
+    shapes = {"exponential": F.exp(-3 * h), "gaussian": F.exp(-3 * h * h), "spherical": F.when(h < 1, 1 - 1.5 * h + 0.5 * h * h * h).otherwise(0.0)}
+    return F.when(h > 0, part * shapes[kind]).otherwise(sill)
+
+
+def solved(frame: pd.DataFrame, keys: list[str], point, exact: bool, together: bool) -> pd.DataFrame:
+    """``keys, block_id, estimate, variance`` of a batch of queries with their neighbours; those with equally many at once."""
+    estimate, variance = np.full(len(frame), np.nan), np.zeros(len(frame))
+    sizes = frame.near.map(len).to_numpy()
+    places, means = frame[list(AXES)].to_numpy(float), frame.group_mean.to_numpy(float)
+    for n in np.unique(sizes):
+        at = np.flatnonzero(sizes == n)
+        held = np.array([[[p[a] for a in (*AXES, "v")] for p in q] for q in frame.near.iloc[at]], float).reshape(len(at), n, 4)
+        points, values = held[..., :3], held[..., 3]
+        same = (np.abs(points - places[at][:, None]) <= 1e-8 + 1e-5 * np.abs(places[at][:, None])).all(2)
+        known = same.any(1) & exact
+        estimate[at[known]] = values[known, same[known].argmax(1)]
+        left = np.flatnonzero(~known)
+        if together and len(left):
+            estimate[at[left]], variance[at[left]] = point(points[left], values[left], places[at[left]], means[at[left]])
+        elif len(left):
+            for k in left.tolist():
+                estimate[at[k]], variance[at[k]] = point(points[k], values[k], places[at[k]], means[at[k]])
+    return frame[keys].assign(block_id=frame["q_id"], estimate=estimate, variance=variance)
+
+
+def predict_each(rows: DataFrame, keys: list[str], point, exact: bool = True, together: bool = False) -> DataFrame:
     """``keys, block_id, estimate, variance``: ``point(points, values, place, mean)`` on each query, in Arrow batches.
 
-    With ``exact``, a query at a known point gets its value and no variance.
+    With ``exact``, a query at a known point gets its value and no variance. With
+    ``together``, ``point`` takes all queries with equally many neighbours at once.
+    """
+    schema = rows.select(*keys, F.col("q_id").alias("block_id")).schema.add("estimate", "double").add("variance", "double")
+    return rows.mapInPandas(lambda frames: (solved(frame, keys, point, exact, together) for frame in frames), schema)
+
+
+def predict_scaled(rows: DataFrame, keys: list[str], kind: str, smoothness: float, ordinary: bool = True) -> DataFrame:
+    """``keys, block_id, estimate, variance`` where each query brings its group's sill and nugget, and lags are in ranges.
+
+    Queries of the same parameters are solved together, whichever groups they belong to.
     """
     schema = rows.select(*keys, F.col("q_id").alias("block_id")).schema.add("estimate", "double").add("variance", "double")
 
     def solve(frames):
         for frame in frames:
-            out = []
-            for q in frame.itertuples():
-                points = np.array([[p[a] for a in AXES] for p in q.near])
-                values = np.array([p["v"] for p in q.near])
-                place = np.array([getattr(q, a) for a in AXES])
-                same = np.flatnonzero((np.abs(points - place) <= 1e-8 + 1e-5 * np.abs(place)).all(1))
-                out.append((float(values[same[0]]), 0.0) if exact and len(same) else point(points, values, place, q.group_mean))
-            made = pd.DataFrame(out, columns=["estimate", "variance"], index=frame.index)
-            yield pd.concat([frame[keys], frame["q_id"].rename("block_id"), made], axis=1)
+            for (sill, nugget), own in frame.groupby(["sill", "nugget"], sort=False):
+                model = Variogram(1.0, float(sill), float(nugget), kind, smoothness)
+                yield solved(own, keys, lambda p, v, at, m, model=model: krige_points(p, v, at, model, None if ordinary else m), True, True)
 
     return rows.mapInPandas(solve, schema)
 
@@ -123,7 +163,7 @@ def krige(queries: DataFrame, known: DataFrame, keys: list[str], model: Variogra
     simple kriging is that of the group's known values.
     """
     rows = with_neighbours(queries, known, keys, k, radius or model.range / 2)
-    return predict_each(rows, keys, lambda points, values, place, mean: krige_point(points, values, place, model, None if ordinary else mean))
+    return predict_each(rows, keys, lambda points, values, places, means: krige_points(points, values, places, model, None if ordinary else means), together=True)
 
 
 def simulate(queries: DataFrame, known: DataFrame, keys: list[str], model: Variogram, sims: int, k: int = 9, seed: int = 0, ordinary: bool = True, point=None, radius: float | None = None, search=None) -> DataFrame:
@@ -136,7 +176,8 @@ def simulate(queries: DataFrame, known: DataFrame, keys: list[str], model: Vario
     given, are used in place of kriging and of that search.
     """
     search = search or (lambda delta: octant_search(delta, k, radius or model.range / 2))
-    both = known.select(*keys, "block_id", *AXES, "v").unionByName(queries.select(*keys, "block_id", *AXES, F.lit(None).cast("double").alias("v")))
+    told = known.where(F.abs("v") < float("inf"))  # a known point without a value is neither known nor asked for
+    both = told.select(*keys, "block_id", *AXES, "v").unionByName(queries.select(*keys, "block_id", *AXES, F.lit(None).cast("double").alias("v")))
     spread = both.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))))
     schema = spread.select(*keys, "sim", "block_id").schema.add("value", "double")
 
@@ -152,7 +193,7 @@ def simulate(queries: DataFrame, known: DataFrame, keys: list[str], model: Vario
             near = search(places[:n] - at[i])
             if n == 0:
                 out[i] = rng.normal(mean, math.sqrt(model.sill))
-            elif (places[near[0]] == at[i]).all():
+            elif (np.abs(places[near[0]] - at[i]) <= 1e-8 + 1e-5 * np.abs(at[i])).all():
                 out[i] = values[near[0]]
             else:
                 args = places[near], values[near], at[i]

@@ -22,17 +22,72 @@ def octant(x: Column, y: Column, z: Column) -> Column:
     return (x < 0).cast("int") + 2 * (y < 0).cast("int") + 4 * (z < 0).cast("int")
 
 
-def rotated(rows: DataFrame) -> DataFrame:
-    """``rx, ry, rz``: coordinates turned by azimuth, plunge and dip (degrees) and divided by relative radii.
+#: A rotation as a product of three matrices in the order written; x, y, z counter-clockwise, capitals their transposes.
+PLUNGE_ABOUT_X, DIP_ABOUT_X = "yXz", "xyZ"
 
-    The three turns are about z, x and y; radii are relative to the largest.
+
+def rotation(azimuth, about_x, about_y, sequence: str = DIP_ABOUT_X) -> list[list]:
+    """The three by three matrix of a rotation, of columns or numbers; azimuth turns about z. Angles are in radians.
+
+    ``sequence`` names three factors, such as "xyZ" for Rx Ry Rz transposed.
+    """
+    math_ = F if isinstance(azimuth, Column) else math
+
+    def one(axis: str, angle) -> list[list]:
+        c, s = math_.cos(angle), math_.sin(angle)
+        return {"x": [[1, 0, 0], [0, c, -s], [0, s, c]], "y": [[c, 0, s], [0, 1, 0], [-s, 0, c]], "z": [[c, -s, 0], [s, c, 0], [0, 0, 1]]}[axis]
+
+    out = None
+    for name in sequence:
+        m = one(name.lower(), {"x": about_x, "y": about_y, "z": azimuth}[name.lower()])
+        m = [list(r) for r in zip(*m, strict=True)] if name.isupper() else m
+        out = m if out is None else [[sum((out[i][k] * m[k][j] for k in range(3) if not (_zero(out[i][k]) or _zero(m[k][j]))), 0) for j in range(3)] for i in range(3)]
+    return out
+
+
+def _zero(x) -> bool:
+    return isinstance(x, int) and x == 0
+
+
+def rotated(rows: DataFrame, plunge_about_x: bool = False, sequence: str | None = None, origin: tuple[float, float, float] = (0.0, 0.0, 0.0), rotate: bool = True, scale: bool = True, relative: bool = True) -> DataFrame:
+    """``rx, ry, rz``: coordinates from the origin, turned by angle1..3 (azimuth, plunge, dip in degrees) and divided by search1x..z.
+
+    Dip turns about x and plunge about y, in the order Rx Ry Rz transposed; with
+    ``plunge_about_x`` it is the other way round and the order Ry Rx-transposed Rz.
+    ``sequence`` gives another order. Radii are relative to the largest one, or as they are.
     """
-    a, b, c = (F.radians(F.col(n)) for n in ("angle1", "angle2", "angle3"))
-    x1, y1, z1 = F.cos(a) * F.col("x") - F.sin(a) * F.col("y"), F.sin(a) * F.col("x") + F.cos(a) * F.col("y"), F.col("z")
-    y2, z2 = F.cos(b) * y1 - F.sin(b) * z1, F.sin(b) * y1 + F.cos(b) * z1
-    x3, z3 = F.cos(c) * x1 + F.sin(c) * z2, -F.sin(c) * x1 + F.cos(c) * z2
-    most = F.greatest("search1x", "search1y", "search1z")
-    return rows.withColumns({"rx": x3 * most / F.col("search1x"), "ry": y2 * most / F.col("search1y"), "rz": z3 * most / F.col("search1z")})
+    a, plunge, dip = (F.radians(F.col(n)) for n in ("angle1", "angle2", "angle3"))
+    about_x, about_y = (plunge, dip) if plunge_about_x else (dip, plunge)
+    matrix = rotation(a, about_x, about_y, sequence or (PLUNGE_ABOUT_X if plunge_about_x else DIP_ABOUT_X)) if rotate else [[int(i == j) for j in range(3)] for i in range(3)]
+    delta = [F.col(c) - o for c, o in zip(AXES, origin, strict=True)]
+    most = F.greatest("search1x", "search1y", "search1z") if relative else F.lit(1.0)
+    radii = [F.col(f"search1{c}") / most if scale else F.lit(1.0) for c in AXES]
+    return rows.withColumns({f"r{c}": sum((delta[k] * m for k, m in enumerate(r) if not _zero(m)), F.lit(0.0)) / radius for c, r, radius in zip(AXES, matrix, radii, strict=True)})
+
+
+def with_geometry(rows: DataFrame, geometry: DataFrame, key: str = "domain_id", angle: float = 0.0, radius: float = 300.0) -> DataFrame:
+    """``rows`` with the angles and radii of their domain; a domain without an entry is not turned and has one radius."""
+    other = geometry.select(key, *(f"angle{i}" for i in (1, 2, 3)), *(f"search1{a}" for a in AXES))
+    joined = rows.join(other, key, "left")
+    return joined.fillna(angle, [f"angle{i}" for i in (1, 2, 3)]).fillna(radius, [f"search1{a}" for a in AXES])
+
+
+def clipped_at_least(samples: DataFrame, blocks: DataFrame, keys: list[str], margin: float, least: int) -> DataFrame:
+    """Like ``clipped``, but groups with fewer than ``least`` samples inside keep the ``least`` nearest to the box's centre.
+
+    Nearest by the largest coordinate difference; ties go by ``block_id``.
+    """
+    bounds = blocks.groupBy(*keys).agg(*(f(a).alias(f"_{n}_{a}") for a in AXES for n, f in (("low", F.min), ("high", F.max))))
+    inside = " AND ".join(f"{a} > _low_{a} - {margin} AND {a} < _high_{a} + {margin}" for a in AXES)
+    placed = samples.join(bounds, keys).withColumn("_in", F.expr(inside))
+    short = placed.groupBy(*keys).agg(F.count_if("_in").alias("_n")).where(F.col("_n") < least)
+    whole = placed.where("_in").join(short, keys, "left_anti")
+    off = F.greatest(*(F.abs(F.col(a) - (F.col(f"_low_{a}") + F.col(f"_high_{a}")) / 2) for a in AXES))
+    # The nearest of each part first, so that a group is not ordered in one task.
+    parted = placed.join(short, keys, "left_semi").select(*samples.columns, off.alias("_off"), F.pmod(F.xxhash64("block_id"), F.lit(64)).alias("_part"))
+    for group in ([*keys, "_part"], keys):
+        parted = parted.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy("_off", "block_id"))).where(F.col("_r") <= least)
+    return whole.select(*samples.columns).unionByName(parted.select(*samples.columns))
 
 
 def clipped(samples: DataFrame, blocks: DataFrame, keys: list[str], margin: float) -> DataFrame:
@@ -74,10 +129,8 @@ def neighbours(queries: DataFrame, known: DataFrame, keys: list[str], radius: fl
 
 def turned(x, y, z, angles: tuple[float, float, float]) -> tuple:
     """Coordinates, as columns or arrays, turned by azimuth, plunge and dip (degrees) as in ``rotated``."""
-    (ca, sa), (cb, sb), (cc, sc) = ((math.cos(math.radians(t)), math.sin(math.radians(t))) for t in angles)
-    x1, y1 = ca * x - sa * y, sa * x + ca * y
-    y2, z2 = cb * y1 - sb * z, sb * y1 + cb * z
-    return cc * x1 + sc * z2, y2, cc * z2 - sc * x1
+    azimuth, plunge, dip = map(math.radians, angles)
+    return tuple(sum(m * c for m, c in zip(r, (x, y, z), strict=True)) for r in rotation(azimuth, dip, plunge))
 
 
 def in_ellipsoid(rows: DataFrame, radii: tuple[float, float, float], angles: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
@@ -91,6 +144,47 @@ def ellipsoid_neighbours(queries: DataFrame, known: DataFrame, keys: list[str],
     return neighbours(in_ellipsoid(queries, radii, angles), in_ellipsoid(known, radii, angles), keys, 1.0, most, min(least + 1, most), octants=False)
 
 
+def octant_neighbours_of(found: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """Of neighbours already ranked by distance, up to max(k // 8, 1) of each octant and the nearest others up to k."""
+    query = Window.partitionBy(*keys, "q_id")
+    ranked = found.drop("rank").withColumn("_o", F.row_number().over(Window.partitionBy(*keys, "q_id", "octant").orderBy("dist", "block_id")))
+    first = F.when(F.col("_o") <= max(k // 8, 1), 0).otherwise(1)
+    chosen = ranked.withColumn("_r", F.row_number().over(query.orderBy(first, "dist", "block_id"))).where(F.col("_r") <= k)
+    return chosen.withColumn("rank", F.row_number().over(query.orderBy("dist", "block_id"))).drop("_o", "_r")
+
+
+def ellipsoid_octant_neighbours(queries: DataFrame, known: DataFrame, keys: list[str], radii: tuple[float, float, float], angles: tuple[float, float, float] = (0.0, 0.0, 0.0), least: int = 2, most: int = 9) -> DataFrame:
+    """Columns of ``neighbours``: of the 8 * ``most`` nearest in the ellipsoid (the ``least`` + 1 nearest wherever they are), a balanced choice of octants."""
+    return octant_neighbours_of(ellipsoid_neighbours(queries, known, keys, radii, angles, least, 8 * most), keys, most)
+
+
+def neighbourhood_mean(found: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, q_id, n, mean`` of the finite values of each query's neighbours."""
+    v = F.when(F.abs("v") < float("inf"), F.col("v"))
+    return found.groupBy(*keys, "q_id").agg(F.count(v).alias("n"), F.avg(v).alias("mean"))
+
+
+def same_points(queries: DataFrame, known: DataFrame, keys: list[str], absolute: float = 1e-8, share: float = 1e-5) -> DataFrame:
+    """``keys, q_id, block_id, v``: for each query the first known point (by id) whose coordinates all lie within absolute + share * abs(query).
+
+    Points meet through cells no smaller than the widest tolerance of the data.
+    """
+    most = queries.agg(*(F.max(F.abs(a)).alias(a) for a in AXES)).first()
+    size = max(absolute + share * max((v or 0.0) for v in most), 1e-12)
+    cells = [F.floor(F.col(a) / size).cast("long").alias(f"_c{a}") for a in AXES]
+    near = F.explode(F.array(*(F.struct(*(F.lit(d).alias(f"d{a}") for a, d in zip(AXES, s, strict=True))) for s in product((-1, 0, 1), repeat=3)))).alias("_s")
+    q = queries.select(*keys, F.col("block_id").alias("q_id"), *(F.col(a).alias(f"q{a}") for a in AXES), *cells, near)
+    q = q.select(*keys, "q_id", *(f"q{a}" for a in AXES), *((F.col(f"_c{a}") + F.col(f"_s.d{a}")).alias(f"_c{a}") for a in AXES))
+    close = " AND ".join(f"abs({a} - q{a}) <= {absolute} + {share} * abs(q{a})" for a in AXES)
+    met = q.join(known.select(*keys, "block_id", *AXES, "v", *cells), [*keys, *(f"_c{a}" for a in AXES)]).where(close)
+    return met.groupBy(*keys, "q_id").agg(F.min(F.struct("block_id", "v")).alias("_m")).select(*keys, "q_id", "_m.block_id", "_m.v")
+
+
+def combined(samples: DataFrame, others: DataFrame) -> DataFrame:
+    """Both sources as one, the second first in the order of ``source``: its points are 0, those of ``samples`` 1."""
+    return others.withColumn("source", F.lit(0)).unionByName(samples.withColumn("source", F.lit(1)))
+
+
 def grid_means(rows: DataFrame, keys: list[str], size: float) -> DataFrame:
     """``keys, ix, iy, iz, n, total, mean`` of the values in each cell; cells are counted from the group's least corner."""
     low = rows.groupBy(*keys).agg(*(F.min(a).alias(f"_low_{a}") for a in AXES))
@@ -98,18 +192,25 @@ def grid_means(rows: DataFrame, keys: list[str], size: float) -> DataFrame:
     return rows.join(low, keys).select(*keys, *at, "v").groupBy(*keys, *(f"i{a}" for a in AXES)).agg(F.count("v").alias("n"), F.sum("v").alias("total"), F.avg("v").alias("mean"))
 
 
+#: Of a cell's 27 neighbours, itself and one of each two that lie opposite.
+_HALF = [s for s in product((-1, 0, 1), repeat=3) if s >= (0, 0, 0)]
+
+
 def variogram(rows: DataFrame, keys: list[str], max_lag: float, lags: int) -> DataFrame:
     """``keys, lag, n, gamma``: half the mean squared difference of pairs in each distance bin up to ``max_lag``.
 
-    Pairs meet through cells of the lag's size. Each pair is seen once, by its ids.
+    Pairs meet through cells of the lag's size. Each pair of cells is looked at
+    once, and a pair within a cell by its ids. Missing, NaN and infinite values have no pairs.
     """
+    rows = rows.where(F.abs("v") < float("inf"))
     cells = [F.floor(F.col(a) / max_lag).cast("long").alias(f"_c{a}") for a in AXES]
-    near = F.explode(F.array(*(F.struct(*(F.lit(d).alias(f"d{a}") for a, d in zip(AXES, s, strict=True))) for s in product((-1, 0, 1), repeat=3)))).alias("_s")
+    near = F.explode(F.array(*(F.struct(*(F.lit(d).alias(f"d{a}") for a, d in zip(AXES, s, strict=True))) for s in _HALF))).alias("_s")
     left = rows.select(*keys, F.col("block_id").alias("_id"), *(F.col(a).alias(f"q{a}") for a in AXES), F.col("v").alias("_v"), *cells)
-    left = left.select("*", near).select(*keys, "_id", "_v", *(f"q{a}" for a in AXES), *((F.col(f"_c{a}") + F.col(f"_s.d{a}")).alias(f"_c{a}") for a in AXES))
+    own = F.expr(" AND ".join(f"_s.d{a} = 0" for a in AXES)).alias("_own")
+    left = left.select("*", near).select(*keys, "_id", "_v", own, *(f"q{a}" for a in AXES), *((F.col(f"_c{a}") + F.col(f"_s.d{a}")).alias(f"_c{a}") for a in AXES))
     right = rows.select(*keys, "block_id", *AXES, "v", *cells)
     dist = F.sqrt(sum((F.col(a) - F.col(f"q{a}")) * (F.col(a) - F.col(f"q{a}")) for a in AXES))
-    pairs = left.join(right, [*keys, *(f"_c{a}" for a in AXES)]).where("_id < block_id").select(*keys, dist.alias("_d"), ((F.col("v") - F.col("_v")) * (F.col("v") - F.col("_v")) / 2).alias("_g"))
+    pairs = left.join(right, [*keys, *(f"_c{a}" for a in AXES)]).where("NOT _own OR _id < block_id").select(*keys, dist.alias("_d"), ((F.col("v") - F.col("_v")) * (F.col("v") - F.col("_v")) / 2).alias("_g"))
     lag = F.floor(F.col("_d") * lags / max_lag).cast("long")
     return pairs.where(F.col("_d") < max_lag).groupBy(*keys, lag.alias("lag")).agg(F.count("*").alias("n"), F.avg("_g").alias("gamma"))
 

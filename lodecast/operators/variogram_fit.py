@@ -8,26 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from lodecast.operators.kriging import bessel_k
+from lodecast.operators.shapes import rise
 
 SHAPES = ("exponential", "gaussian", "spherical", "matern")
 
 
-def rise(h: np.ndarray, kind: str, smoothness: float = 1.5) -> np.ndarray:
-    """From 0 to 1: the share of the structured sill that a lag of ``h`` ranges has reached."""
-    h = np.asarray(h, float)
-    if kind == "exponential":
-        return 1 - np.exp(-3 * h)
-    if kind == "gaussian":
-        return 1 - np.exp(-4 * h * h)
-    if kind == "spherical":
-        return np.where(h < 1, 1.5 * h - 0.5 * h**3, 1.0)
-    if kind == "matern":
-        u = np.maximum(h, 1e-12) * math.sqrt(smoothness)
-        return 1 - 2 / math.gamma(smoothness) * (2 * u) ** smoothness * bessel_k(smoothness, 4 * u)
-    raise ValueError(f"no variogram model {kind!r}")
-
-
 def fit_curve(x: np.ndarray, y: np.ndarray, kind: str, smoothness: float, nugget: bool, max_range: float) -> tuple[float, float, float, float]:
     """Range, sill (nugget included), nugget and root mean squared error, by damped least squares inside the bounds.
 

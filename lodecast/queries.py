@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodecast import adapters as A
-from lodecast.functions.normal import synchronicity
-from lodecast.operators import downsample, gaussian_process, histogram, kriging, normal_score, significance, spatial, summary, uncertainty, variogram_fit
+from lodecast.functions.normal import normal_cdf, normal_quantile, synchronicity
+from lodecast.functions.text import numbers, numbers_text, period_name
+from lodecast.operators import analysis, downsample, gaussian_process, histogram, kriging, normal_score, significance, spatial, summary, uncertainty, variogram_fit, workflow
+from lodecast.settings import Settings
 
 GROUP = ["domain", "model"]
 
@@ -53,6 +55,26 @@ def _attributes(spark: SparkSession, sf_dir: str, heavy: bool) -> DataFrame:
     return A.analysis(spark, sf_dir).where("w > 3" if heavy else "w <= 3").groupBy("domain", "model").agg(F.avg("v").alias("v"))
 
 
+def _slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = A.analysis(spark, sf_dir)
+    stats = rows.groupBy("model", "domain", "period").agg(F.avg("v").alias("v"))
+    counts = rows.where("v > 40").groupBy("domain", "period").agg(F.count("*").alias("n"))
+    return summary.slots(stats, counts, "model", ["domain", "period"], "v", "n")
+
+
+def _families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = A.analysis(spark, sf_dir).groupBy("model", "domain").agg(F.avg("v").alias("mean"))
+    families = spark.createDataFrame([("click", "seen"), ("view", "seen"), ("purchase", "done"), ("signup", "done"), ("error", "done")], "model string, family string")
+    return summary.family_means(stats, families, ["domain"], excluded=["error"])
+
+
+def _lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lag = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    return A.samples(spark, sf_dir).select("domain", "block_id", *(kriging.covariance_column(lag, k, 300.0, 3000.0, 200.0).alias(k) for k in ("exponential", "gaussian", "spherical")))
+
+
+ELLIPSOID = ((150.0, 120.0, 80.0), (30.0, 10.0, 5.0))
+
 #: Most training points of a group, and realisations of a simulation, as the reference's experiments have them.
 TRAINING_POINTS, REALISATIONS = 3000, 128
 SLACKS = [0.0, 0.005, 0.01, 0.05, 0.1, 0.25]
@@ -72,7 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "region_clip": lambda s, d: spatial.clipped(A.samples(s, d).where("block_id % 5 <> 0"), A.samples(s, d).where("block_id % 25 = 0"), ["domain"], 5.0).select("domain", "block_id"),
     "octants": lambda s, d: A.samples(s, d).groupBy("domain", spatial.octant(F.col("x"), F.col("y"), F.col("z")).alias("octant")).agg(F.count("*").alias("n")),
     "knn_octant": lambda s, d: rounded(spatial.neighbours(*_split(s, d), ["domain"], 120.0, 9).select("domain", "q_id", "block_id", "dist", "octant", "rank")),
-    "grid_mean": lambda s, d: rounded(spatial.grid_means(A.samples(s, d), ["domain"], 100.0), 4),
+    "grid_mean": lambda s, d: rounded(spatial.grid_means(A.samples(s, d), ["domain"], 100.0), 9),
     "exp_variogram": lambda s, d: rounded(spatial.variogram(A.samples(s, d), ["domain"], 250.0, 10)),
     "prefix_moments": lambda s, d: rounded(summary.prefix_moments(A.simulations(s, d), ["domain", "block_id"], [2, 4, 8])),
     "family_mean_se": lambda s, d: rounded(summary.mean_and_error(A.analysis(s, d), ["model"])),
@@ -112,6 +134,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gp_crf": lambda s, d: rounded(gaussian_process.simulate_joint(*_split(s, d), ["domain"], KERNEL, REALISATIONS)),
     "matern_kriging": lambda s, d: rounded(kriging.krige(*_split(s, d), ["domain"], kriging.Variogram(300.0, 3000.0, kind="matern"))),
     "sk_sgs": lambda s, d: rounded(kriging.simulate(*_split(s, d), ["domain"], kriging.Variogram(300.0, 3000.0), REALISATIONS, ordinary=False)),
+    "rotate_plunge_x": lambda s, d: rounded(spatial.rotated(A.geometry(s, d), plunge_about_x=True, origin=(1.0, 2.0, 3.0), relative=False).select("domain_id", "rx", "ry", "rz")),
+    "geometry_default": lambda s, d: rounded(spatial.with_geometry(A.geometry(s, d).select("domain_id", "x"), A.geometry(s, d).where("domain_id % 2 = 0"))),
+    "clip_min_count": lambda s, d: spatial.clipped_at_least(A.samples(s, d).where("block_id % 5 <> 0"), A.samples(s, d).where("block_id % 25 = 0"), ["domain"], 5.0, 30).select("domain", "block_id"),
+    "knn_ellipsoid": lambda s, d: rounded(spatial.ellipsoid_neighbours(*_split(s, d), ["domain"], *ELLIPSOID).select("domain", "q_id", "block_id", "dist", "rank")),
+    "knn_ellipsoid_octant": lambda s, d: rounded(spatial.ellipsoid_octant_neighbours(*_split(s, d), ["domain"], *ELLIPSOID).select("domain", "q_id", "block_id", "dist", "rank")),
+    "neigh_mean": lambda s, d: rounded(spatial.neighbourhood_mean(spatial.neighbours(*_split(s, d), ["domain"], 120.0, 9), ["domain"]), 9),
+    "exact_match": lambda s, d: spatial.same_points(A.samples(s, d), A.samples(s, d), ["domain"]),
+    "union_sources": lambda s, d: rounded(spatial.combined(*_split(s, d)).groupBy("domain", "source").agg(F.count("*").alias("n"), F.avg("v").alias("mean"))),
+    "covar_models": lambda s, d: rounded(_lags(s, d)),
+    "ordinary_kriging_one": lambda s, d: rounded(kriging.krige(*_split(s, d), ["domain"], kriging.Variogram(300.0, 3000.0), k=1)),
+    "simple_kriging_one": lambda s, d: rounded(kriging.krige(*_split(s, d), ["domain"], kriging.Variogram(300.0, 3000.0, kind="spherical"), k=1, ordinary=False)),
+    "normal_quantile": lambda s, d: rounded(A.samples(s, d).select("block_id", F.expr(normal_cdf("(v / 100)")).alias("p")).select("block_id", F.expr(normal_quantile("p")).alias("z")), 9),
+    "consensus_quartiles": lambda s, d: rounded(uncertainty.consensus_quartiles(_scored(s, d), GROUP)),
+    "consensus_tails": lambda s, d: rounded(uncertainty.consensus_tails(_scored(s, d), GROUP, {"s1": 1.0, "s2": 2.0}, {"a68": 0.68, "a95": 0.95})),
+    "value_range": lambda s, d: rounded(summary.value_range(A.predictions(s, d), ["domain"])),
+    "determination": lambda s, d: rounded(summary.determination(A.predictions(s, d), GROUP)),
+    "weighted_slots": lambda s, d: rounded(summary.slot_error(_slots(s, d), ["model"])),
+    "weighted_slots_textbook": lambda s, d: rounded(summary.slot_error(_slots(s, d), ["model"], textbook=True)),
+    "family_means": lambda s, d: rounded(_families(s, d)),
+    "analysis_table": lambda s, d: rounded(analysis.analysis_table(A.predictions(s, d), ["domain"])),
+    "period_names": lambda s, d: A.samples(s, d).groupBy("period", period_name(F.col("period")).alias("name")).agg(F.count("*").alias("n")),
+    "number_texts": lambda s, d: rounded(A.samples(s, d).select("block_id", numbers_text(F.array("x", "y", "z")).alias("t")).select("block_id", F.explode(numbers(F.col("t"))).alias("v"))),
+    "kriging_workflow": lambda s, d: rounded(workflow.krige_all(_split(s, d)[1], _split(s, d)[0], ["domain"], Settings(max_lag=300.0, lags=15))),
+    "kriging_workflow_nst": lambda s, d: rounded(workflow.krige_all(_split(s, d)[1], _split(s, d)[0], ["domain"], Settings(max_lag=300.0, lags=15, scored=True), ordinary=False)),
 }
 
 _PMF = f"""WITH {A.PREDICTIONS}, e AS (SELECT domain, model, min(mu0) AS lo, (max(mu0) - min(mu0)) / 40 AS w FROM pred GROUP BY ALL),
@@ -136,9 +182,24 @@ f AS (SELECT *, count(*) FILTER (dist < 120) OVER (PARTITION BY domain, q_id) AS
 e AS (SELECT *, row_number() OVER (PARTITION BY domain, q_id, octant ORDER BY dist, block_id) AS o FROM f WHERE CASE WHEN n >= 2 THEN dist < 120 ELSE r <= 2 END),
 c AS (SELECT *, row_number() OVER (PARTITION BY domain, q_id ORDER BY CASE WHEN o <= 1 THEN 0 ELSE 1 END, dist, block_id) AS t FROM e)
 SELECT domain, q_id, block_id, round(dist, 6) AS dist, octant, row_number() OVER (PARTITION BY domain, q_id ORDER BY dist, block_id) AS rank FROM c WHERE t <= 9"""
-_RZ = f"""WITH {A.GEOMETRY}, r AS (SELECT *, radians(angle1) AS a, radians(angle2) AS b, radians(angle3) AS c, greatest(search1x, search1y, search1z) AS m FROM g),
-t AS (SELECT *, cos(a) * x - sin(a) * y AS x1, sin(a) * x + cos(a) * y AS y1 FROM r), u AS (SELECT *, cos(b) * y1 - sin(b) * z AS y2, sin(b) * y1 + cos(b) * z AS z2 FROM t)
-SELECT domain_id, round((cos(c) * x1 + sin(c) * z2) * m / search1x, 6) AS rx, round(y2 * m / search1y, 6) AS ry, round((cos(c) * z2 - sin(c) * x1) * m / search1z, 6) AS rz FROM u"""
+def _turn(first: str, second: str, third: str, start: str) -> str:
+    """SQL of three turns, each given as its three new coordinates of x, y, z, in the order in which they are applied."""
+    return f"WITH {A.GEOMETRY}, r AS (SELECT *, radians(angle1) AS a, radians(angle2) AS p, radians(angle3) AS d, greatest(search1x, search1y, search1z) AS m FROM g), v0 AS (SELECT * REPLACE ({start}) FROM r), v1 AS (SELECT * REPLACE ({first}) FROM v0), v2 AS (SELECT * REPLACE ({second}) FROM v1), v3 AS (SELECT * REPLACE ({third}) FROM v2)"
+
+
+# Rx(dip) Ry(plunge) Rz(azimuth) transposed, and Ry(dip) Rx(plunge) transposed Rz(azimuth): the last factor acts first.
+_RZ = _turn("cos(a) * x + sin(a) * y AS x, cos(a) * y - sin(a) * x AS y", "cos(p) * x + sin(p) * z AS x, cos(p) * z - sin(p) * x AS z", "cos(d) * y - sin(d) * z AS y, sin(d) * y + cos(d) * z AS z", "x AS x")
+_RX = _turn("cos(a) * x - sin(a) * y AS x, sin(a) * x + cos(a) * y AS y", "cos(p) * y + sin(p) * z AS y, cos(p) * z - sin(p) * y AS z", "cos(d) * x + sin(d) * z AS x, cos(d) * z - sin(d) * x AS z", "x - 1 AS x, y - 2 AS y, z - 3 AS z")
+_AZ, _PL, _DI = (f"radians({v})" for v in ELLIPSOID[1])
+_ELL = f"""WITH {A.SAMPLES}, e1 AS (SELECT * REPLACE (cos({_AZ}) * x + sin({_AZ}) * y AS x, cos({_AZ}) * y - sin({_AZ}) * x AS y) FROM s), e2 AS (SELECT * REPLACE (cos({_PL}) * x + sin({_PL}) * z AS x, cos({_PL}) * z - sin({_PL}) * x AS z) FROM e1),
+e3 AS (SELECT * REPLACE (cos({_DI}) * y - sin({_DI}) * z AS y, sin({_DI}) * y + cos({_DI}) * z AS z) FROM e2), e4 AS (SELECT * REPLACE (x / {ELLIPSOID[0][0]} AS x, y / {ELLIPSOID[0][1]} AS y, z / {ELLIPSOID[0][2]} AS z) FROM e3),
+d AS (SELECT q.domain, q.block_id AS q_id, k.block_id, k.x - q.x AS dx, k.y - q.y AS dy, k.z - q.z AS dz FROM e4 q JOIN e4 k ON q.domain = k.domain WHERE q.block_id % 5 = 0 AND k.block_id % 5 <> 0),
+m AS (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS dist, (dx < 0)::INT + 2 * (dy < 0)::INT + 4 * (dz < 0)::INT AS octant FROM d), f AS (SELECT *, row_number() OVER (PARTITION BY domain, q_id ORDER BY dist, block_id) AS rank FROM m)"""
+_NEAREST = f"WITH {A.SAMPLES}, mean AS (SELECT domain, avg(v) AS m FROM s WHERE block_id % 5 <> 0 GROUP BY domain), d AS (SELECT q.domain, q.block_id, k.v, sqrt((k.x - q.x) ** 2 + (k.y - q.y) ** 2 + (k.z - q.z) ** 2) AS h, row_number() OVER (PARTITION BY q.domain, q.block_id ORDER BY h, k.block_id) AS r FROM s q JOIN s k ON q.domain = k.domain WHERE q.block_id % 5 = 0 AND k.block_id % 5 <> 0), n AS (SELECT d.*, m FROM d JOIN mean USING (domain) WHERE r = 1)"
+_SLOTS = f"""WITH {A.ANALYSIS}, st AS (SELECT model, domain, period, avg(v) AS v FROM a GROUP BY ALL), c AS (SELECT domain, period, count(*) AS n FROM a WHERE v > 40 GROUP BY ALL),
+sl AS (SELECT mo.model, coalesce(c.n * (st.v IS NOT NULL)::INT, 0)::DOUBLE AS w, CASE WHEN c.n IS NOT NULL THEN coalesce(st.v, 0) ELSE 0 END AS v FROM (SELECT DISTINCT model FROM st) mo CROSS JOIN (SELECT DISTINCT domain FROM c) dd CROSS JOIN (SELECT DISTINCT period FROM c) pp LEFT JOIN c ON c.domain = dd.domain AND c.period = pp.period LEFT JOIN st ON st.model = mo.model AND st.domain = dd.domain AND st.period = pp.period),
+mm AS (SELECT model, sum(w * v) / sum(w) AS xb, avg(w) AS wb, sum(w) AS sw, count(*) FILTER (w > 0) AS used FROM sl GROUP BY model)
+SELECT model, round(any_value(xb), 6) AS mean, round(sqrt(greatest(any_value(@n) / ((any_value(@n) - 1) * any_value(sw) * any_value(sw)) * (sum((w * v - wb * xb) ** 2) - 2 * any_value(xb) * sum((w - wb) * (w * v - wb * xb)) + any_value(xb) ** 2 * sum((w - wb) ** 2)), 0)), 6) AS sem FROM sl JOIN mm USING (model) GROUP BY model"""
 _WSEM = f"""WITH {A.ANALYSIS}, m AS (SELECT model, sum(w) AS sw, sum(w * v) / sum(w) AS xb, avg(w) AS wb FROM a GROUP BY model)
 SELECT model, round(any_value(xb), 6) AS mean, round(sqrt(greatest(any_value(sw) / ((any_value(sw) - 1) * any_value(sw)::DOUBLE * any_value(sw)) * (sum((w * v - wb * xb) * (w * v - wb * xb)) - 2 * any_value(xb) * sum((w - wb) * (w * v - wb * xb)) + any_value(xb) * any_value(xb) * sum((w - wb) * (w - wb))), 0)), 6) AS sem
 FROM a JOIN m USING (model) GROUP BY model"""
@@ -159,11 +220,11 @@ ORACLES = {
     "tail_shares": f"{_SCORED} SELECT domain, model, " + ", ".join(f"round(avg((abs(s) <= {t})::INT), 6) AS {n}" for n, t in (("t50", 0.5), ("t68", 0.68), ("t90", 0.9), ("t95", 0.95))) + " FROM sc GROUP BY ALL",
     "summary_percentiles": f"WITH {A.SAMPLES} SELECT period, domain, count(v) AS n, " + ", ".join(f"round(quantile_cont(v, {p / 100!r}), 4) AS p{i}" for i, p in enumerate(summary.PERCENTS)) + " FROM s GROUP BY ALL",
     "domain_key": f"WITH {A.GEOMETRY} SELECT domain_id, 'LZ' || domain_id // 1000 || '_' || domain_id // 100 % 10 || '_' || domain_id // 10 % 10 || '_' || domain_id % 10 AS name FROM g",
-    "rotate_scale": _RZ,
+    "rotate_scale": f"{_RZ} SELECT domain_id, round(x * m / search1x, 6) AS rx, round(y * m / search1y, 6) AS ry, round(z * m / search1z, 6) AS rz FROM v3",
     "region_clip": f"WITH {A.SAMPLES}, b AS (SELECT domain, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy, min(z) AS lz, max(z) AS hz FROM s WHERE block_id % 25 = 0 GROUP BY domain) SELECT domain, block_id FROM s JOIN b USING (domain) WHERE block_id % 5 <> 0 AND x > lx - 5 AND x < hx + 5 AND y > ly - 5 AND y < hy + 5 AND z > lz - 5 AND z < hz + 5",
     "octants": f"WITH {A.SAMPLES} SELECT domain, (x < 0)::INT + 2 * (y < 0)::INT + 4 * (z < 0)::INT AS octant, count(*) AS n FROM s GROUP BY ALL",
     "knn_octant": _KNN,
-    "grid_mean": f"WITH {A.SAMPLES}, lo AS (SELECT domain, min(x) AS lx, min(y) AS ly, min(z) AS lz FROM s GROUP BY domain) SELECT domain, round_even((x - lx) / 100, 0)::BIGINT AS ix, round_even((y - ly) / 100, 0)::BIGINT AS iy, round_even((z - lz) / 100, 0)::BIGINT AS iz, count(v) AS n, round(sum(v), 4) AS total, round(avg(v), 4) AS mean FROM s JOIN lo USING (domain) GROUP BY ALL",
+    "grid_mean": f"WITH {A.SAMPLES}, lo AS (SELECT domain, min(x) AS lx, min(y) AS ly, min(z) AS lz FROM s GROUP BY domain) SELECT domain, round_even((x - lx) / 100, 0)::BIGINT AS ix, round_even((y - ly) / 100, 0)::BIGINT AS iy, round_even((z - lz) / 100, 0)::BIGINT AS iz, count(v) AS n, round(sum(v), 9) AS total, round(avg(v), 9) AS mean FROM s JOIN lo USING (domain) GROUP BY ALL",
     "exp_variogram": f"WITH {A.SAMPLES}, pr AS (SELECT a.domain, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d, (a.v - b.v) * (a.v - b.v) / 2 AS g FROM s a JOIN s b ON a.domain = b.domain AND a.block_id < b.block_id) SELECT domain, floor(d * 10 / 250)::BIGINT AS lag, count(*) AS n, round(avg(g), 6) AS gamma FROM pr WHERE d < 250 GROUP BY ALL",
     "prefix_moments": f"WITH {A.SIMULATIONS} SELECT domain, block_id, m, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM sims, (SELECT unnest([2, 4, 8]) AS m) WHERE sim < m GROUP BY ALL",
     "family_mean_se": f"WITH {A.ANALYSIS} SELECT model, count(v) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v) / sqrt(count(v)), 6) AS se FROM a GROUP BY model",
@@ -195,6 +256,35 @@ ORACLES |= {
     "attribute_matrix_all": f"WITH {A.ANALYSIS} SELECT model, " + ", ".join(f'round(avg(v) FILTER (domain = {i}), 4) AS "{i}"' for i in range(11)) + " FROM a WHERE w > 3 GROUP BY model",
 }
 
+ORACLES |= {
+    "rotate_plunge_x": f"{_RX} SELECT domain_id, round(x / search1x, 6) AS rx, round(y / search1y, 6) AS ry, round(z / search1z, 6) AS rz FROM v3",
+    "geometry_default": f"WITH {A.GEOMETRY} SELECT b.domain_id, b.x, " + ", ".join(f"coalesce(o.{c}, {v})::DOUBLE AS {c}" for c, v in (("angle1", 0), ("angle2", 0), ("angle3", 0), ("search1x", 300), ("search1y", 300), ("search1z", 300))) + " FROM g b LEFT JOIN g o ON o.domain_id = b.domain_id AND o.domain_id % 2 = 0",
+    "clip_min_count": f"WITH {A.SAMPLES}, b AS (SELECT domain, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy, min(z) AS lz, max(z) AS hz FROM s WHERE block_id % 25 = 0 GROUP BY domain), p AS (SELECT domain, block_id, x > lx - 5 AND x < hx + 5 AND y > ly - 5 AND y < hy + 5 AND z > lz - 5 AND z < hz + 5 AS inside, greatest(abs(x - (lx + hx) / 2), abs(y - (ly + hy) / 2), abs(z - (lz + hz) / 2)) AS off FROM s JOIN b USING (domain) WHERE block_id % 5 <> 0), r AS (SELECT *, count(*) FILTER (inside) OVER (PARTITION BY domain) AS n, row_number() OVER (PARTITION BY domain ORDER BY off, block_id) AS r FROM p) SELECT domain, block_id FROM r WHERE CASE WHEN n < 30 THEN r <= 30 ELSE inside END",
+    "knn_ellipsoid": f"{_ELL} SELECT domain, q_id, block_id, round(dist, 6) AS dist, rank FROM f WHERE rank <= 9 AND (rank <= 3 OR dist <= 1)",
+    "knn_ellipsoid_octant": f"{_ELL}, o AS (SELECT *, row_number() OVER (PARTITION BY domain, q_id, octant ORDER BY dist, block_id) AS o FROM f WHERE rank <= 72 AND (rank <= 3 OR dist <= 1)), t AS (SELECT *, row_number() OVER (PARTITION BY domain, q_id ORDER BY CASE WHEN o <= 1 THEN 0 ELSE 1 END, dist, block_id) AS t FROM o) SELECT domain, q_id, block_id, round(dist, 6) AS dist, row_number() OVER (PARTITION BY domain, q_id ORDER BY dist, block_id) AS rank FROM t WHERE t <= 9",
+    "neigh_mean": f"WITH near AS ({_KNN}), {A.SAMPLES} SELECT near.domain, q_id, count(v) AS n, round(avg(v), 9) AS mean FROM near JOIN s USING (domain, block_id) GROUP BY near.domain, q_id",
+    "exact_match": f"WITH {A.SAMPLES} SELECT q.domain, q.block_id AS q_id, min(k.block_id) AS block_id, arg_min(k.v, k.block_id) AS v FROM s q JOIN s k ON q.domain = k.domain AND abs(k.x - q.x) <= 1e-8 + 1e-5 * abs(q.x) AND abs(k.y - q.y) <= 1e-8 + 1e-5 * abs(q.y) AND abs(k.z - q.z) <= 1e-8 + 1e-5 * abs(q.z) GROUP BY ALL",
+    "union_sources": f"WITH {A.SAMPLES} SELECT domain, (block_id % 5 = 0)::INT AS source, count(*) AS n, round(avg(v), 6) AS mean FROM s GROUP BY ALL",
+    "covar_models": f"WITH {A.SAMPLES}, h AS (SELECT domain, block_id, sqrt(x * x + y * y + z * z) / 300 AS h FROM s) SELECT domain, block_id, round(CASE WHEN h > 0 THEN 2800 * exp(-3 * h) ELSE 3000 END, 6) AS exponential, round(CASE WHEN h > 0 THEN 2800 * exp(-3 * h * h) ELSE 3000 END, 6) AS gaussian, round(CASE WHEN h = 0 THEN 3000 WHEN h < 1 THEN 2800 * (1 - 1.5 * h + 0.5 * h ** 3) ELSE 0 END, 6) AS spherical FROM h",
+    "ordinary_kriging_one": f"{_NEAREST} SELECT domain, block_id, round(v, 6) AS estimate, round(3000 - 3000 * exp(-h / 100), 6) AS variance FROM n",
+    "simple_kriging_one": f"{_NEAREST}, w AS (SELECT *, CASE WHEN h < 300 THEN 1 - 1.5 * h / 300 + 0.5 * (h / 300) ** 3 ELSE 0 END AS w FROM n) SELECT domain, block_id, round(m + w * (v - m), 6) AS estimate, round(3000 - 3000 * w * w, 6) AS variance FROM w",
+    "normal_quantile": f"WITH {A.SAMPLES} SELECT block_id, round(v / 100, 9) AS z FROM s",
+    "consensus_quartiles": f"{_SCORED} SELECT domain, model, round(quantile_cont(abs(s), 0.25), 6) AS s25, round(quantile_cont(abs(s), 0.5), 6) AS s50, round(quantile_cont(abs(s), 0.75), 6) AS s75 FROM sc GROUP BY ALL",
+    "consensus_tails": f"{_SCORED}, t AS (SELECT domain, model, abs(mu0 - mu) / (sigma + 1e-6) AS z FROM sc) SELECT domain, model, round(avg((z >= 1)::INT), 6) AS s1, round(avg((z >= 2)::INT), 6) AS s2, round(avg((z >= 0.994457883209753)::INT), 6) AS a68, round(avg((z >= 1.959963984540054)::INT), 6) AS a95 FROM t GROUP BY ALL",
+    "value_range": f"WITH {A.PREDICTIONS} SELECT domain, round(min(mu), 6) AS low, round(max(mu), 6) AS high FROM pred GROUP BY domain",
+    "determination": f"WITH {A.PREDICTIONS} SELECT domain, model, round(1 - var_pop(mu0 - mu) / var_pop(mu0), 6) AS r2 FROM pred GROUP BY ALL",
+    "weighted_slots": _SLOTS.replace("@n", "sw"),
+    "weighted_slots_textbook": _SLOTS.replace("@n", "used::DOUBLE"),
+    "family_means": f"WITH {A.ANALYSIS}, st AS (SELECT model, domain, avg(v) AS v FROM a GROUP BY ALL) SELECT CASE WHEN model IN ('click', 'view') THEN 'seen' ELSE 'done' END AS family, domain, count(v) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v) / sqrt(count(v)), 6) AS se FROM st WHERE model IN ('click', 'view', 'purchase', 'signup') GROUP BY ALL",
+    "period_names": f"WITH {A.SAMPLES} SELECT period, printf('%02d_%02d_%02d', period, period + 1, period + 2) AS name, count(*) AS n FROM s GROUP BY ALL",
+    "number_texts": f"WITH {A.SAMPLES} SELECT block_id, unnest([x, y, z]) AS v FROM s",
+    "nst_round_trip": f"WITH {A.SAMPLES}, r AS (SELECT domain, block_id, v, rank() OVER w AS lo, count(*) OVER (PARTITION BY domain, v) AS same, count(*) OVER (PARTITION BY domain) AS n FROM s WINDOW w AS (PARTITION BY domain ORDER BY v)), p AS (SELECT *, least(greatest((lo - 1 + (same - 1) / 2) / (n - 1), 1e-7), 1 - 1e-7) AS p FROM r) SELECT domain, block_id, round(v, 6) AS v, round({normal_quantile('p')}, 6) AS score, round(v, 6) AS back FROM p",
+}
+ORACLES["analysis_table"] = (
+    f"SELECT domain, model, d_psi, d_js, d_iou, d_em, rank_overall AS d_rank, rmse, s25 AS s_low, s75 AS s_high, consensus, accuracy, precision, goodness, tightness FROM ({ORACLES['hist_distances']}) "
+    + " ".join(f"JOIN ({ORACLES[q]}) USING (domain, model)" for q in ("model_rank", "rmse", "consensus_quartiles", "coverage_measures", "tightness"))
+)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

@@ -16,11 +16,55 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
     return named.where("v IS NOT NULL AND NOT isnan(v) AND abs(v) < double('infinity')")
 
 
+#: The file of the blocks of each kind of inference, in a period's folder.
+BLOCK_FILES = {"future-bench": "blocks_to_estimate_tagged.csv", "in-situ": "blocks_insitu_tagged.csv"}
+
+
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     """Blocks to estimate as ``x, y, z, mined, mu0, reference, domain``."""
     return spark.read.schema(BLOCK_SCHEMA).csv(path, header=True).toDF("x", "y", "z", "mined", "mu0", "reference", "domain")
 
 
+def read_all_blocks(spark: SparkSession, folder: str, inference: str = "future-bench") -> DataFrame:
+    """Blocks of all periods, with ``period`` from the name of their folder (such as 13_14_15)."""
+    rows = read_blocks(spark, f"{folder}/*/{BLOCK_FILES[inference]}")
+    return rows.withColumn("period", F.regexp_extract(F.input_file_name(), "/([0-9]{2})_[0-9]{2}_[0-9]{2}/[^/]*$", 1).cast("int"))
+
+
+def read_geometry(spark: SparkSession, path: str) -> DataFrame:
+    """Ellipses of domains: ``name, domain_id, angle1..3`` (degrees), ``search1x..z`` (radii)."""
+    return spark.read.schema("name string, domain_id int, angle1 double, angle2 double, angle3 double, search1x double, search1y double, search1z double").csv(path, header=True)
+
+
+def read_summary(spark: SparkSession, path: str) -> DataFrame:
+    """Sample counts and percentiles of each period and domain; the period's heading is ``# mA``."""
+    names = ["period", "domain", "n_blastholes", "n_inference_pts", *(f"p{i}" for i in range(7))]
+    schema = ", ".join(f"{n} {'int' if i < 4 else 'double'}" for i, n in enumerate(names))
+    return spark.read.schema(schema).option("enforceSchema", True).csv(path, header=True)
+
+
+def read_analysis(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Analysis tables of several runs as one; what older ones call Likelihood is Consensus."""
+    out = None
+    for path in paths:
+        rows = spark.read.csv(path, header=True, inferSchema=True)
+        if "Likelihood" in rows.columns:
+            rows = rows.withColumnRenamed("Likelihood", "Consensus")
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+def ellipse_of(ellipses: DataFrame, name: str) -> DataFrame:
+    """Variables and values of one domain of a table of ellipses."""
+    row = ellipses.where(F.col("name") == name)
+    return row.select(F.explode(F.map_entries(F.create_map(*(x for c in row.columns if c != "name" for x in (F.lit(c), F.col(c).cast("string")))))).alias("e")).select("e.key", "e.value")
+
+
+def domains(samples: DataFrame, key: str = "domain") -> DataFrame:
+    """The domains that samples have."""
+    return samples.select(key).where(F.col(key).isNotNull()).distinct()
+
+
 def read_ellipses(spark: SparkSession, path: str) -> DataFrame:
     """A text table of variables by domain, as one row for each domain.
 
@@ -29,7 +73,7 @@ def read_ellipses(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", "#.*", "")).alias("line")).where("line <> ''")
     fields = lines.select(F.transform(F.split("line", "[,=]"), lambda f: F.trim(F.regexp_replace(f, "^%VAR ", ""))).alias("f"))
-    cells = fields.select(F.col("f")[0].alias("name"), F.posexplode(F.slice("f", 2, 10_000)).alias("place", "value"))
+    cells = fields.select(F.col("f")[0].alias("name"), F.posexplode(F.slice("f", F.lit(2), F.greatest(F.size("f") - 1, F.lit(0)))).alias("place", "value"))
     return cells.groupBy("place").pivot("name").agg(F.first("value")).drop("place")
 
 
@@ -48,3 +92,49 @@ def append_parameters(spark: SparkSession, found: DataFrame, path: str, keys: li
         if "PATH_NOT_FOUND" not in str(error):
             raise
     found.write.mode("append").parquet(path)
+
+
+def known_parameters(spark: SparkSession, wanted: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """``wanted`` with the parameters that the table has for its keys, the earliest of several; null where it has none."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        known = spark.read.parquet(path)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return wanted
+    values = [c for c in known.columns if c not in keys]
+    order = F.struct(*(c for c in ("timestamp", *values) if c in known.columns))
+    first = known.groupBy(*keys).agg(F.min(order).alias("_first"))
+    return wanted.join(first.select(*keys, *(F.col(f"_first.{c}") for c in values)), keys, "left")
+
+
+def sort_parameters(spark: SparkSession, path: str, into: str, keys: list[str]) -> None:
+    """The parameter table anew, in the order of its keys."""
+    spark.read.parquet(path).orderBy(*keys).write.mode("overwrite").parquet(into)
+
+
+def remaining(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys of ``work`` without a result yet."""
+    return work.select(*keys).distinct().join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def read_or_compute(spark: SparkSession, path: str, work: DataFrame, keys: list[str], compute) -> DataFrame:
+    """Results of all keys of ``work``: ``compute(rows)`` runs for the rows whose keys the table lacks, and is added to it."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        missing = work.join(remaining(work, spark.read.parquet(path), keys), keys, "left_semi")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        missing = work
+    if not missing.isEmpty():
+        compute(missing).write.mode("append").parquet(path)
+    return spark.read.parquet(path).join(work.select(*keys).distinct(), keys, "left_semi")
+
+
+def write_once(rows: DataFrame, path: str) -> None:
+    """A table that is only written where there is none, such as the times of a run or the log of its fits."""
+    rows.write.mode("ignore").parquet(path)
