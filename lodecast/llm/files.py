@@ -12,10 +12,12 @@ from pyspark.sql import SparkSession
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's place (not yet made) under ``spark.checkpoint.dir``, which the cluster names.
 
-    Only where that setting is absent, as in tests, a local folder is taken.
+    Without that setting a session on one machine takes a folder there; on a cluster it is an error.
     """
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         top = f"file://{tempfile.mkdtemp(prefix='shared-')}"
@@ -24,13 +26,6 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def set_checkpoint_dir(spark: SparkSession) -> None:
-    """Lets ``checkpoint()`` write to the cluster's shared folder, if no folder is set yet."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(spark, "checkpoints"))
-
-
 def _system(place: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(place)
 

@@ -25,10 +25,6 @@ from lodecast.llm.token_counts import balanced, release
 
 #: Words that are passed to the tokenizer as one text.
 JOINED = 2000
-#: Leading bytes of a word that its bucket depends on.
-_HASHED = 16
-
-
 #: Text bytes of a block of packed rows, about. A task holds one block at a time, so this bounds its memory.
 BLOCK_BYTES = 3 << 20
 
@@ -68,16 +64,9 @@ def widened(ids: pa.Array) -> pa.Array:
 
 
 def word_buckets(words: pa.Array, n: int) -> np.ndarray:
-    """A bucket for each word from its length and first bytes."""
-    offsets = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, words.offset * 8)
-    raw = np.frombuffer(words.buffers()[2], np.uint8)
-    lengths = np.diff(offsets)
-    mixed = lengths.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-    for i in range(_HASHED):
-        has = np.flatnonzero(lengths > i)
-        mixed[has] = (mixed[has] ^ raw[offsets[has] + i]) * np.uint64(0x100000001B3)
-    mixed ^= mixed >> np.uint64(32)
-    return (mixed % np.uint64(n)).astype(np.int32)
+    """A bucket for each word from a hash of all its bytes, so that words of one length or beginning spread too."""
+    digest = xxhash.xxh3_64_intdigest
+    return (np.fromiter((digest(w) for w in words.to_pylist()), np.uint64, len(words)) % np.uint64(n)).astype(np.int32)
 
 
 @lru_cache(maxsize=2)
