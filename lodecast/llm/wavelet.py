@@ -22,8 +22,8 @@ from lodecast.llm.files import read_file, shared_folder, write_file
 from lodecast.llm.word_table import assemble_blocks, buckets_for
 
 MAGIC = b"WVLT0001"
-#: Text bytes of a shard, about; there are at least as many shards as shuffle partitions.
-SHARD_BYTES = 12 << 20
+#: Documents of a shard, about; there are at least as many shards as shuffle partitions.
+SHARD_DOCS = 6000
 #: Bits that share one stored count of ones.
 RANK_BITS = 512
 
@@ -180,12 +180,12 @@ def write_shards(
     written to the shared folder, so the files are made exactly once. Null texts
     count as empty (only the end id); null ids come first; equal ids are ordered
     by text, and equal rows are all kept; an empty table writes no file.
-    ``2 ** bits`` must exceed every id. A shard holds about ``SHARD_BYTES`` of text, rows of
+    ``2 ** bits`` must exceed every id. A shard holds about ``SHARD_DOCS`` documents, rows of
     one id together, and must fit in a worker's memory.
     """
     spark = docs.sparkSession
-    total = 0 if n_shards else docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n = n_shards or max(buckets_for(spark), -(-int(total) // SHARD_BYTES))
+    # The number of rows stands in the files' footers, so no text is read for it.
+    n = n_shards or max(buckets_for(spark), -(-docs.count() // SHARD_DOCS))
     folder = folder or shared_folder(spark, "token-shards")
     base = _ordered_blocks(docs, id_col, text_col, n)
 

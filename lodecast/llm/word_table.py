@@ -64,9 +64,21 @@ def widened(ids: pa.Array) -> pa.Array:
 
 
 def word_buckets(words: pa.Array, n: int) -> np.ndarray:
-    """A bucket for each word from a hash of all its bytes, so that words of one length or beginning spread too."""
-    digest = xxhash.xxh3_64_intdigest
-    return (np.fromiter((digest(w) for w in words.to_pylist()), np.uint64, len(words)) % np.uint64(n)).astype(np.int32)
+    """A bucket for each word from a polynomial of all its bytes, so that words of one length or beginning spread too."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, words.offset * 8)
+    lengths = np.diff(offsets)
+    mixed = np.zeros(len(words), np.uint64)
+    some = np.flatnonzero(lengths)
+    if len(some):
+        raw = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        starts = offsets[some] - offsets[0]
+        powers = np.cumprod(np.full(int(lengths.max()), 0x9E3779B97F4A7C15, np.uint64))
+        place = np.arange(len(raw)) - np.repeat(starts, lengths[some])
+        mixed[some] = np.add.reduceat((raw + np.uint64(1)) * powers[place], starts)
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(0xD6E8FEB86659FD93)
+    mixed ^= mixed >> np.uint64(32)
+    return (mixed % np.uint64(n)).astype(np.int32)
 
 
 @lru_cache(maxsize=2)
