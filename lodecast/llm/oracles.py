@@ -68,4 +68,56 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
 FROM p JOIN f USING (payload_digest)
 """
 
-ORACLES = {"op3_warc_members": WARC_MEMBERS, "op6_lsh_forest_join": JACCARD_JOIN, "op8_winnowing": WINNOWING}
+#: The cutoffs follow from the definition: exact binomial sums by the gamma function, every cutoff counted anew.
+RISK_CONTROLLED_RULES = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_no, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l
+  FROM documents
+), windows AS (
+  SELECT row_no, x.k AS k, x.win AS win FROM (
+    SELECT row_no, unnest(list_transform(generate_series(1, len(w) - 4), lambda k: {'k': k, 'win': array_to_string(w[k : k + 4], ' ')})) AS x FROM d WHERE len(w) >= 5)
+), repeated AS (
+  SELECT row_no, count(DISTINCT p) AS n FROM (
+    SELECT row_no, unnest(generate_series(k, k + 4)) AS p FROM windows JOIN (SELECT row_no, win FROM windows GROUP BY ALL HAVING count(*) > 1) USING (row_no, win)
+  ) GROUP BY row_no
+), counted AS (
+  SELECT doc_id, stratum, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(l) AS n_lines,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    length(t) - length(regexp_replace(t, '\p{Lu}', '', 'g')) AS n_capitals,
+    length(t) - length(regexp_replace(t, '[!?=~^_@]', '', 'g')) AS n_marks,
+    len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM d LEFT JOIN repeated USING (row_no)
+), judged AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, list_transform(
+    [{'rule': 'symbols', 'a': n_symbols, 'b': word_chars}, {'rule': 'capitals', 'a': n_capitals, 'b': word_chars}, {'rule': 'marks', 'a': n_marks, 'b': word_chars},
+     {'rule': 'repeats', 'a': n_repeat_words, 'b': n_words}, {'rule': 'lines', 'a': n_dup_lines, 'b': n_lines}],
+    lambda s: {'rule': s.rule, 'place': CASE WHEN s.b > 0 THEN ceil(least(s.a / s.b, 1.0::DOUBLE) * 50) - 1 ELSE -1 END}) AS places
+  FROM counted
+), known AS (
+  SELECT stratum, label, unnest(places, recursive := true)
+  FROM judged JOIN (SELECT doc_id, min(quality) AS label FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id) USING (doc_id) WHERE NOT base_failed
+), tallies AS (
+  SELECT stratum, rule, j, count(*) FILTER (label = 1) AS n, count(*) FILTER (label = 1 AND place >= j) AS k,
+    count(*) FILTER (label <> 1) AS nb, count(*) FILTER (label <> 1 AND place >= j) AS kb
+  FROM known, range(50) AS cutoffs(j) GROUP BY ALL
+), tests AS (
+  SELECT *, k <= n * 0.006::DOUBLE AND list_sum(list_transform(generate_series(0, k),
+      lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.006) + (n - i) * ln(1 - 0.006)))) <= 0.05::DOUBLE / (5 * (SELECT count(DISTINCT stratum) FROM known)) AS passes
+  FROM tallies
+), certified AS (
+  SELECT *, bool_and(passes) OVER (PARTITION BY stratum, rule ORDER BY j DESC) AS certain FROM tests
+), chosen AS (
+  SELECT stratum, rule, j FROM certified WHERE certain AND kb > 0
+  QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY kb / nb - k / n DESC, j DESC) = 1
+), limits AS (
+  SELECT stratum, list({'rule': rule, 'j': j}) AS cuts FROM chosen GROUP BY stratum
+)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+  n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT base_failed AND len(list_filter(coalesce(cuts, []), lambda c: len(list_filter(places, lambda p: p.rule = c.rule AND p.place >= c.j)) > 0)) = 0 AS kept
+FROM judged LEFT JOIN limits USING (stratum)
+"""
+
+ORACLES = {"op2_risk_controlled_rules": RISK_CONTROLLED_RULES, "op3_warc_members": WARC_MEMBERS, "op6_lsh_forest_join": JACCARD_JOIN, "op8_winnowing": WINNOWING}

@@ -4,11 +4,11 @@ Each rule has a score from counts of the whole text and a grid of cutoffs. On
 labelled documents, for every stratum (language) and rule, cutoffs are tested
 from the most lenient to the strictest: the hypothesis "more than ``alpha`` /
 rules of the good documents score above the cutoff" is rejected if the exact
-binomial tail P(X <= rejected good) is at most ``delta`` / (strata x rules), that
+binomial tail P(X <= rejected good) is at most ``delta`` / (tested strata x rules), that
 is, if the exact (Clopper-Pearson) upper bound of the false rejection rate lies
 under the limit. Testing stops at the first cutoff that fails (a fixed sequence
 needs no further correction); the division by strata x rules corrects for the
-other tests. So with probability 1 - delta, at most ``alpha`` of the good documents
+other tests, where a stratum is tested if it has a label. So with probability 1 - delta, at most ``alpha`` of the good documents
 of each stratum are rejected. Among certified cutoffs, the one that separates
 the labelled bad from the good best is taken.
 """
@@ -22,9 +22,6 @@ from lodecast.llm.files import written
 
 #: Cutoffs of a rule are j / GRID for j from 0; a score of x fails those below x.
 GRID = 50
-#: Languages with cutoffs of their own; all others share one. This bounds the number of tests and cutoffs.
-STRATA = ("en", "fr", "de", "es")
-OTHER = "other"
 #: Share of good documents of a stratum that all rules together may reject, and the chance of exceeding it.
 ALPHA, DELTA = 0.03, 0.05
 #: Base rule: fewer words than this, or more than this share (percent) of words in repeated windows.
@@ -38,9 +35,10 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stra
     """Counts of the whole text of each row, and each rule's grid place.
 
     Columns ``id_col, _stratum, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words`` and ``_symbols`` .. ``_lines``. A null text has no words.
+    n_repeat_words`` and ``_symbols`` .. ``_lines``. A null text has no words; a null
+    stratum is the empty one.
     """
-    stratum = F.when(F.col(stratum_col).isin(*STRATA), F.col(stratum_col)).otherwise(F.lit(OTHER))
+    stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).alias("_id"), stratum.alias("_stratum"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     split = base.select(
         "*",
@@ -127,11 +125,13 @@ def certified_cutoffs(found: DataFrame, labels: DataFrame, id_col: str = "doc_id
     tally = rows.groupBy("_stratum", F.col("x.r").alias("_rule"), F.col("x.at").alias("_at")).agg(
         F.sum((F.col("_label") == 1).cast("long")).alias("_good"), F.sum((F.col("_label") != 1).cast("long")).alias("_bad")
     )
+    tally = written(tally, "rule-tallies")
+    n_strata = tally.select("_stratum").distinct().count()
     grid = tally.select("_stratum", "_rule").distinct().select("*", F.explode(F.sequence(F.lit(-1), F.lit(GRID - 1))).alias("_at"))
     full = grid.join(tally, ["_stratum", "_rule", "_at"], "left").fillna(0, ["_good", "_bad"])
     each = Window.partitionBy("_stratum", "_rule")
     down = each.orderBy(F.col("_at").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    limit, level = alpha / len(RULES), delta / ((len(STRATA) + 1) * len(RULES))
+    limit, level = alpha / len(RULES), delta / (max(1, n_strata) * len(RULES))
     summed = full.select(
         "_stratum", "_rule", "_at", F.sum("_good").over(each).alias("n"), F.sum("_good").over(down).alias("k"), F.sum("_bad").over(each).alias("nb"), F.sum("_bad").over(down).alias("kb")
     ).where("_at >= 0")
@@ -144,17 +144,19 @@ def certified_cutoffs(found: DataFrame, labels: DataFrame, id_col: str = "doc_id
 def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """Counts, ``base_failed`` and ``kept`` of every row of ``docs``.
 
-    Null texts have no words and fail; rows with a null id or stratum are judged
-    (stratum "other"); repeated rows are kept as they come; other columns are
-    ignored, whatever their names; an empty table gives an empty result. Without
-    labels enough for a certificate, a rule rejects nothing.
+    Null texts have no words and fail; rows with a null id are judged, and a null
+    stratum counts as the empty one; repeated rows are kept as they come; other
+    columns are ignored, whatever their names; an empty table gives an empty
+    result. Without labels enough for a certificate in a row's stratum, a rule
+    rejects nothing there.
     """
     found = written(counts(docs, id_col, text_col, stratum_col), "rule-counts")
-    # At most len(STRATA) + 1 strata times len(RULES) rules: a few small integers.
-    cutoffs = certified_cutoffs(found, labels, id_col, "quality", alpha, delta).collect()
+    certain = certified_cutoffs(found, labels, id_col, "quality", alpha, delta)
+    # One row for each stratum with a cutoff, written, so that Spark knows its size and broadcasts it only below its threshold.
+    cutoffs = written(certain.groupBy("_stratum").agg(*(F.max(F.when(F.col("_rule") == r, F.col("cutoff"))).alias(f"_cut_{r}") for r in RULES)), "rule-cutoffs")
     rejected = F.lit(False)
-    for row in sorted(cutoffs):
-        rejected = rejected | ((F.col("_stratum") == row["_stratum"]) & (F.col(f"_{row['_rule']}") >= row["cutoff"]))
-    return found.select(
+    for r in RULES:
+        rejected = rejected | F.coalesce(F.col(f"_{r}") >= F.col(f"_cut_{r}"), F.lit(False))
+    return found.join(cutoffs, "_stratum", "left").select(
         id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & ~rejected).alias("kept")
     )
