@@ -54,6 +54,34 @@ def test_binomial_bound_and_cutoffs(spark):
     assert certified_cutoffs(made, labels.where("doc_id % 50 = 0")).collect() == []
 
 
+def test_cutoffs_of_each_stratum_against_sql(spark):
+    """Two strata certify cutoffs, one has too few labels, one none; a null stratum counts as the empty one."""
+    import duckdb
+
+    from lodecast.llm.oracles import ORACLES
+    from lodecast.llm.quality_rules import apply_rules
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(3600):
+        bad = i % 9 == 0
+        lang = None if i < 1700 else "yo" if i < 3400 else "km" if i < 3500 else "qu"
+        words = [f"w{rng.randrange(10**6)}" + "#" * (rng.randint(2, 6) if bad else rng.random() < 0.1) for _ in range(rng.randint(5, 30))]
+        rows.append((i, "\n".join(words) if i % 2 else " ".join(words), lang))
+    rows += [(None, "# " * 12, "yo"), (3600, None, None), (3600, "a b c d e " * 6, "yo")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 9 > 0)) for i in range(3500)] + [(5, None), (None, 0)], "doc_id long, quality int")
+    found = apply_rules(docs, labels)
+    with duckdb.connect() as db:
+        for name, frame in (("documents", docs), ("labels", labels)):
+            db.register(name, frame.toArrow())
+        expected = db.execute(f"SELECT {', '.join(found.columns)} FROM ({ORACLES['op2_risk_controlled_rules']})").fetchall()
+    assert bag(found.collect()) == bag(expected)
+    langs = {i: lang for i, _, lang in rows}
+    rejected = {langs[r["doc_id"]] for r in found.where("NOT kept AND NOT base_failed").collect()}
+    assert rejected == {None, "yo"}
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -238,6 +266,31 @@ def test_quality_model(spark, docs, empty):
     assert score(docs, labels.limit(0)).where("score = 0.5").count() == docs.count()
 
 
+def test_risk_is_least_over_all_rows(spark):
+    """The model's prior and risk are those of all unlabelled rows, whatever sample it starts from."""
+    import numpy as np
+
+    from lodecast.llm import quality_model as q
+
+    rng = np.random.default_rng(5)
+    good, bad = rng.uniform(0, 0.3, (400, 10)), rng.uniform(0, 0.45, (600, 10))
+    everything = np.concatenate([good, rng.uniform(0, 0.3, (500, 10)), bad])
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(everything)], "_id long, _x array<double>").repartition(4)
+    margins = q._with_one(everything) @ np.ones(51)
+    assert np.allclose(q._totals(rows, lambda x: np.array([len(x), (q._with_one(x) @ np.ones(51)).sum()]), 2), [len(everything), margins.sum()])
+    start = q.fit(good, everything[::7], 0.4)
+    found = q.minimise_over_all(start, good, rows, len(everything))
+    a, b = q._with_one(good), q._with_one(everything)
+
+    def risk(t):
+        rest = np.logaddexp(0, b @ t).mean() - 0.4 * np.logaddexp(0, a @ t).mean()
+        return 0.4 * np.logaddexp(0, -(a @ t)).mean() + max(0.0, rest) + q._penalty(a) / 2 * t @ t
+
+    own = np.append(found.weights, found.bias)
+    assert risk(own) <= risk(np.append(start.weights, start.bias))
+    assert all(risk(own) <= risk(own + rng.normal(0, size, 51)) + 1e-9 for size in (1e-3, 1e-2, 0.1, 1) for _ in range(20))
+
+
 def test_one_row_of_each_class_stays(spark):
     from lodecast.llm.lsh_forest import one_of_each
 
