@@ -50,7 +50,7 @@ def op4_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     manifest = write_shards(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return read_shards(manifest).select(
-        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), "n_ends"
     )
 
 

@@ -55,7 +55,7 @@ def test_token_counts(docs, empty, batch_bytes):
 
 def test_token_files(docs, empty):
     from lodecast.llm.files import read_file
-    from lodecast.llm.wavelet import from_bytes, read_shards, write_shards
+    from lodecast.llm.wavelet import find_token, from_bytes, read_shards, write_shards
 
     path = tokenizers.path("byte_bpe_50k.json")
     model = library("byte_bpe_50k.json")
@@ -77,8 +77,41 @@ def test_token_files(docs, empty):
     for value in {own[0], own[len(own) // 2], own[-1], 49999}:
         places = [k for k, v in enumerate(own) if v == value]
         assert matrix.count(value) == len(places)
-        assert matrix.occurrences(value)[:20] == places[:20]
-        assert matrix.rank(value, len(own) // 3) == sum(v == value for v in own[: len(own) // 3])
-        assert matrix.select(value, len(places)) == -1
-    assert [matrix.access(k) for k in range(0, matrix.n, max(1, matrix.n // 50))] == own[:: max(1, matrix.n // 50)]
+        assert matrix.occurrences(value).tolist() == places
+        assert matrix.rank(value, [0, len(own) // 3]).tolist() == [0, sum(v == value for v in own[: len(own) // 3])]
+        assert matrix.select(value, [-1, len(places)]).tolist() == [-1, -1]
+        # From all files, with the documents' ids.
+        holders = [(i, [k for k, v in enumerate([*model.encode(t, add_special_tokens=False).ids, 0]) if v == value]) for i, t in rows]
+        assert bag((r[0], r[1], tuple(r[2])) for r in find_token(manifest, value).collect()) == bag((i, len(p), tuple(p)) for i, p in holders if p)
+    assert matrix.access(np.arange(matrix.n)).tolist() == own
     assert read_shards(write_shards(empty, path)).collect() == []
+
+
+@pytest.mark.parametrize("make", [
+    lambda r: np.zeros(0, np.uint32),
+    lambda r: np.full(1500, 7, np.uint32),
+    lambda r: np.array([3, 9], np.uint32),
+    lambda r: r.integers(0, 300, 512).astype(np.uint32),
+    lambda r: np.minimum(r.zipf(1.3, 40_000), 70_000).astype(np.uint32),
+    lambda r: np.repeat(np.arange(20, dtype=np.uint32), 2 ** np.arange(20) // 16 + 1),
+])
+def test_wavelet_matrix(make):
+    from lodecast.llm.wavelet import RANK_BITS, WaveletMatrix, from_bytes, to_bytes
+
+    r = np.random.default_rng(5)
+    values = make(r)
+    r.shuffle(values)
+    none = np.zeros(0, np.int64)
+    matrix = from_bytes(to_bytes(WaveletMatrix.build(values), none, none.astype(bool), np.zeros(1, np.int64)))[0]
+    assert np.array_equal(matrix.decode(), values)
+    at = r.integers(0, max(1, len(values)), 300)[: len(values)]
+    assert np.array_equal(matrix.access(at), values[at])
+    for value in [*values[:3].tolist(), 80_000]:
+        places = np.flatnonzero(values == value)
+        assert np.array_equal(matrix.occurrences(value), places)
+        assert np.array_equal(matrix.rank(value, at), np.searchsorted(places, at))
+    # The planes hold the Huffman codes: at most a bit a value over the entropy, and padding.
+    counts = np.unique(values, return_counts=True)[1]
+    entropy = float(-(counts * np.log2(counts / max(1, len(values)))).sum())
+    assert sum(matrix.sizes) <= entropy + len(values)
+    assert sum(64 * len(p) for p in matrix.planes) <= sum(matrix.sizes) + RANK_BITS * len(matrix.planes)
