@@ -120,4 +120,41 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM judged LEFT JOIN limits USING (stratum)
 """
 
-ORACLES = {"op2_risk_controlled_rules": RISK_CONTROLLED_RULES, "op3_warc_members": WARC_MEMBERS, "op6_lsh_forest_join": JACCARD_JOIN, "op8_winnowing": WINNOWING}
+#: CRC-32 byte by byte over a table of 256, once for each distinct run of words.
+IMPORTANCE_RESAMPLING = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS r FROM documents
+), i AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), runs AS (
+  SELECT r, unnest([array_to_string(w[k : k + n - 1], ' ') FOR k IN generate_series(1, len(w) - n + 1)]) AS f FROM d, (SELECT unnest([1, 2, 3]) AS n)
+), aims AS (
+  SELECT unnest([array_to_string(w[k : k + n - 1], ' ') FOR k IN generate_series(1, len(w) - n + 1)]) AS f FROM i, (SELECT unnest([1, 2, 3]) AS n)
+), tab AS (
+  SELECT list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), hexed AS (
+  SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM runs UNION SELECT f FROM aims)
+), bytes AS (
+  SELECT f, list_prepend(4294967295, [('0x' || h[2 * k - 1 : 2 * k])::BIGINT FOR k IN generate_series(1, len(h) // 2)]) AS b FROM hexed
+), buckets AS MATERIALIZED (
+  SELECT f, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) % 10000 AS b FROM bytes, tab
+), s AS (
+  SELECT b, count(*) AS s FROM runs JOIN buckets USING (f) GROUP BY b
+), t AS (
+  SELECT b, count(*) AS t FROM aims JOIN buckets USING (f) GROUP BY b
+), g AS (
+  SELECT b, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (sum(coalesce(s, 0)) OVER () + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * (sum(coalesce(t, 0)) OVER () + 10000)::DOUBLE)))::BIGINT AS g
+  FROM (SELECT unnest(range(10000)) AS b) LEFT JOIN s USING (b) LEFT JOIN t USING (b)
+), weights AS (
+  SELECT r, count(*) AS n, sum(g)::BIGINT AS w FROM runs JOIN buckets USING (f) JOIN g USING (b) GROUP BY r
+), scores AS (
+  SELECT doc_id, len(d.w) AS words, coalesce(n, 0) AS n_features, coalesce(weights.w, 0) AS weight,
+    coalesce(weights.w, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM d LEFT JOIN weights USING (r)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS p, count(*) FILTER (words >= 20) OVER () AS n FROM scores
+)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN words >= 20 AND p <= 5 * n // 100 THEN p END AS rank FROM ranked
+"""
+
+ORACLES = {"op2_risk_controlled_rules": RISK_CONTROLLED_RULES, "op3_warc_members": WARC_MEMBERS, "op6_lsh_forest_join": JACCARD_JOIN, "op8_winnowing": WINNOWING, "op11_importance_resampling": IMPORTANCE_RESAMPLING}
