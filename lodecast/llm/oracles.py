@@ -157,4 +157,24 @@ WITH d AS (
 SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN words >= 20 AND p <= 5 * n // 100 THEN p END AS rank FROM ranked
 """
 
-ORACLES = {"op2_risk_controlled_rules": RISK_CONTROLLED_RULES, "op3_warc_members": WARC_MEMBERS, "op6_lsh_forest_join": JACCARD_JOIN, "op8_winnowing": WINNOWING, "op11_importance_resampling": IMPORTANCE_RESAMPLING}
+HARD_NEGATIVES = """
+WITH rows_ AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v, row_number() OVER () AS r
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT a.r, a.id AS anchor_id, b.id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM rows_ a JOIN rows_ b ON a.id <> b.id WHERE a.id % 100 = 0
+), positives AS (
+  SELECT r, anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY r ORDER BY score DESC, id) AS p
+  FROM scores WHERE same QUALIFY p <= 5
+), windows AS (
+  SELECT p.anchor_id, positive_id, id AS negative_id, positive_score, score AS negative_score,
+    row_number() OVER (PARTITION BY p.r, p.p ORDER BY score DESC, id) AS rank
+  FROM positives p JOIN scores s ON s.r = p.r AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM windows WHERE rank <= 10
+"""
+
+ORACLES = {"op2_risk_controlled_rules": RISK_CONTROLLED_RULES, "op3_warc_members": WARC_MEMBERS, "op6_lsh_forest_join": JACCARD_JOIN, "op8_winnowing": WINNOWING, "op11_importance_resampling": IMPORTANCE_RESAMPLING, "op12_hard_negatives": HARD_NEGATIVES}

@@ -111,6 +111,14 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodecast.llm.hard_negatives import integer_vectors, mine
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = integer_vectors(_read(spark, sf_dir, "embeddings"), label=label)
+    return mine(vectors, vectors.where("_id % 100 = 0"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -131,6 +139,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_block_rules": op9_block_rules,
         "op10_token_counts": op10_token_counts,
         "op11_importance_resampling": op11_importance_resampling,
+        "op12_hard_negatives": op12_hard_negatives,
     }
 
 
