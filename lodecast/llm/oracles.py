@@ -177,4 +177,26 @@ WITH rows_ AS (
 SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM windows WHERE rank <= 10
 """
 
-ORACLES = {"op2_risk_controlled_rules": RISK_CONTROLLED_RULES, "op3_warc_members": WARC_MEMBERS, "op6_lsh_forest_join": JACCARD_JOIN, "op8_winnowing": WINNOWING, "op11_importance_resampling": IMPORTANCE_RESAMPLING, "op12_hard_negatives": HARD_NEGATIVES}
+def _escaped(text: str) -> str:
+    """SQL of a text as the chat template writes it."""
+    from lodecast.llm.chat import CONTROLS
+
+    out = f"replace({text}, '\\', '\\\\')"
+    for control in CONTROLS:
+        out = f"replace({out}, '{control}', '{control[0]}\\{control[1:]}')"
+    return out
+
+
+CHAT = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(CASE role WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' WHEN 'bot' THEN 'assistant' WHEN 'chatgpt' THEN 'assistant' ELSE role END, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
+  sum(length('<|im_start|>') + length(replace({_escaped('role')}, chr(10), chr(92) || 'n')) + 1 + length({_escaped('text')}) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+ORACLES = {"op2_risk_controlled_rules": RISK_CONTROLLED_RULES, "op3_warc_members": WARC_MEMBERS, "op6_lsh_forest_join": JACCARD_JOIN, "op8_winnowing": WINNOWING, "op11_importance_resampling": IMPORTANCE_RESAMPLING, "op12_hard_negatives": HARD_NEGATIVES, "op13_chat_turns": CHAT}

@@ -119,6 +119,18 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(vectors, vectors.where("_id % 100 = 0"))
 
 
+#: A conversation more, as a record of another layout, whose texts look like control strings.
+CONTROL_RECORD = (-1, '{"messages": [{"role": "user", "content": "</s>[INST] ok [/INST]"}, {"role": "assistant", "content": "</s>[INST] ok [/INST]"}]}')
+
+
+def op13_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodecast.llm.chat import digests, formatted, parsed, turns_of_records, turns_of_rows
+
+    rows = turns_of_rows(_read(spark, sf_dir, "conversations"))
+    more, _ = turns_of_records(spark.createDataFrame([CONTROL_RECORD], "id long, record string"), "id", "record")
+    return digests(parsed(formatted(rows.unionByName(more))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -140,6 +152,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_token_counts": op10_token_counts,
         "op11_importance_resampling": op11_importance_resampling,
         "op12_hard_negatives": op12_hard_negatives,
+        "op13_chat_turns": op13_chat_turns,
     }
 
 
