@@ -3,26 +3,34 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Groups up to whose number a table of one row a group is held by the driver and sent to all tasks.
 HELD_GROUPS = 10_000
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """The frame, computed once and kept in the folder of ``spark.checkpoint.dir``, so that what follows does not compute it again.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's place (not yet made) under ``spark.checkpoint.dir``, which the cluster names.
 
-    Without that setting, a local session takes a folder of its own, and a cluster is an error.
+    Without that setting a session on one machine takes a folder there; on a cluster it is an error.
     """
-    context = frame.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='checkpoints-')}")
-    return frame.checkpoint()
+        top = tempfile.mkdtemp(prefix="shared-")
+    top = f"file://{top}" if top.startswith("/") else top
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cut(frame: DataFrame, name: str = "cut") -> DataFrame:
+    """The frame, written once to the shared folder and read back: what follows does not compute it again and knows its size."""
+    place = shared_folder(frame.sparkSession, name)
+    frame.write.parquet(place)
+    return frame.sparkSession.read.schema(frame.schema).parquet(place)
 
 
 def held(side: DataFrame) -> DataFrame:

@@ -93,9 +93,12 @@ def with_neighbours(queries: DataFrame, known: DataFrame, keys: list[str], k: in
 
     With ``angles``, neighbours are those of the turned ellipsoid of these radii; otherwise they are octant-balanced.
     """
-    found = neighbours(queries, known, keys, radius, k) if angles is None else ellipsoid_neighbours(queries, known, keys, radius, angles, most=k)
-    near = found.select(*keys, F.col("q_id"), "block_id")
-    held = near.join(known.select(*keys, "block_id", *AXES, "v"), [*keys, "block_id"]).groupBy(*keys, "q_id").agg(F.sort_array(F.collect_list(F.struct("block_id", *AXES, "v"))).alias("near"))
+    # Places go along, as an ellipsoid's search turns the coordinates.
+    places = [f"_at{a}" for a in AXES]
+    told = known.withColumns({p: F.col(a) for p, a in zip(places, AXES, strict=True)})
+    found = neighbours(queries, told, keys, radius, k, carried=tuple(places)) if angles is None else ellipsoid_neighbours(queries, told, keys, radius, angles, most=k, carried=tuple(places))
+    own = F.struct("block_id", *(F.col(p).alias(a) for p, a in zip(places, AXES, strict=True)), "v")
+    held = found.groupBy(*keys, "q_id").agg(F.sort_array(F.collect_list(own)).alias("near"))
     means = known.groupBy(*keys).agg(F.avg("v").alias("group_mean"))
     return queries.select(*keys, F.col("block_id").alias("q_id"), *AXES).join(held, [*keys, "q_id"]).join(means, keys)
 

@@ -8,7 +8,9 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-AXES = ("x", "y", "z")
+from lodecast.operators.nearest import AXES, neighbours, octant
+
+__all__ = ["AXES", "neighbours", "octant"]
 
 
 def domain_key(domain: str = "domain_id") -> Column:
@@ -17,11 +19,6 @@ def domain_key(domain: str = "domain_id") -> Column:
     return F.format_string("LZ%d_%d_%d_%d", F.floor(d / 1000), F.floor(d / 100) % 10, F.floor(d / 10) % 10, d % 10)
 
 
-def octant(x: Column, y: Column, z: Column) -> Column:
-    """0 to 7: one for a negative x, two for y, four for z; zero is not negative."""
-    return (x < 0).cast("int") + 2 * (y < 0).cast("int") + 4 * (z < 0).cast("int")
-
-
 #: A rotation as a product of three matrices in the order written; x, y, z counter-clockwise, capitals their transposes.
 PLUNGE_ABOUT_X, DIP_ABOUT_X = "yXz", "xyZ"
 
@@ -97,36 +94,6 @@ def clipped(samples: DataFrame, blocks: DataFrame, keys: list[str], margin: floa
     return samples.join(bounds, keys).where(inside).select(*samples.columns)
 
 
-def neighbours(queries: DataFrame, known: DataFrame, keys: list[str], radius: float, k: int, least: int = 2, octants: bool = True) -> DataFrame:
-    """``keys, q_id, block_id, v, dist, octant, rank``: octant-balanced neighbours within a radius.
-
-    Of the known points nearer than ``radius`` (or the ``least`` nearest where fewer
-    are), each octant gives up to max(k // 8, 1) nearest, and the nearest others
-    fill up to k. Points meet through cells of the radius' size, so each query is
-    compared with 27 cells only; queries with fewer than ``least`` points there are
-    few, and are compared with their whole group. Without ``octants``, the k nearest
-    count, and a point at the radius itself is within it.
-    """
-    cells = [F.floor(F.col(a) / radius).cast("long").alias(f"_c{a}") for a in AXES]
-    near = F.explode(F.array(*(F.struct(*(F.lit(d).alias(f"d{a}") for a, d in zip(AXES, s, strict=True))) for s in product((-1, 0, 1), repeat=3)))).alias("_s")
-    q = queries.select(*keys, F.col("block_id").alias("q_id"), *(F.col(a).alias(f"q{a}") for a in AXES), *cells)
-    spread = q.select("*", near).select(*keys, "q_id", *(f"q{a}" for a in AXES), *((F.col(f"_c{a}") + F.col(f"_s.d{a}")).alias(f"_c{a}") for a in AXES))
-    points = known.select(*keys, "block_id", *AXES, "v")
-    delta = [F.col(a) - F.col(f"q{a}") for a in AXES]
-    dist = F.sqrt(sum(d * d for d in delta))
-    measured = [dist.alias("dist"), octant(*delta).alias("octant")]
-    met = spread.join(points.select("*", *cells), [*keys, *(f"_c{a}" for a in AXES)]).select(*keys, "q_id", "block_id", "v", *measured).where(F.col("dist") < radius if octants else F.col("dist") <= radius)
-    counts = met.groupBy(*keys, "q_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
-    enough = met.join(counts, [*keys, "q_id"], "left_semi")
-    far = q.join(counts, [*keys, "q_id"], "left_anti").join(points, keys).select(*keys, "q_id", "block_id", "v", *measured)
-    query = Window.partitionBy(*keys, "q_id")
-    nearest = far.withColumn("_r", F.row_number().over(query.orderBy("dist", "block_id"))).where(F.col("_r") <= least).drop("_r")
-    ranked = enough.unionByName(nearest).withColumn("_o", F.row_number().over(Window.partitionBy(*keys, "q_id", "octant").orderBy("dist", "block_id")))
-    first = F.when(F.col("_o") <= (max(k // 8, 1) if octants else k), 0).otherwise(1)
-    chosen = ranked.withColumn("_r", F.row_number().over(query.orderBy(first, "dist", "block_id"))).where(F.col("_r") <= k)
-    return chosen.withColumn("rank", F.row_number().over(query.orderBy("dist", "block_id"))).drop("_o", "_r")
-
-
 def turned(x, y, z, angles: tuple[float, float, float]) -> tuple:
     """Coordinates, as columns or arrays, turned by azimuth, plunge and dip (degrees) as in ``rotated``."""
     azimuth, plunge, dip = map(math.radians, angles)
@@ -139,9 +106,9 @@ def in_ellipsoid(rows: DataFrame, radii: tuple[float, float, float], angles: tup
     return rows.withColumns({a: c / r for a, c, r in zip(AXES, places, radii, strict=True)})
 
 
-def ellipsoid_neighbours(queries: DataFrame, known: DataFrame, keys: list[str], radii: tuple[float, float, float], angles: tuple[float, float, float] = (0.0, 0.0, 0.0), least: int = 2, most: int = 9) -> DataFrame:
+def ellipsoid_neighbours(queries: DataFrame, known: DataFrame, keys: list[str], radii: tuple[float, float, float], angles: tuple[float, float, float] = (0.0, 0.0, 0.0), least: int = 2, most: int = 9, carried: tuple[str, ...] = ()) -> DataFrame:
     """Columns of ``neighbours``; ``dist`` is in radii. The ``least`` + 1 nearest known points, wherever they are, and others in the ellipsoid up to ``most``."""
-    return neighbours(in_ellipsoid(queries, radii, angles), in_ellipsoid(known, radii, angles), keys, 1.0, most, min(least + 1, most), octants=False)
+    return neighbours(in_ellipsoid(queries, radii, angles), in_ellipsoid(known, radii, angles), keys, 1.0, most, min(least + 1, most), octants=False, carried=carried)
 
 
 def octant_neighbours_of(found: DataFrame, keys: list[str], k: int) -> DataFrame:
