@@ -45,3 +45,18 @@ def in_blocks(rows: DataFrame, side: DataFrame, keys: list[str], size: int) -> t
     cut = rows.join(blocks, keys).withColumn("_b", F.pmod(F.xxhash64("block_id"), "_blocks")).drop("_blocks")
     told = side.join(blocks, keys).withColumn("_b", F.explode(F.expr("sequence(0L, _blocks - 1)"))).drop("_blocks")
     return cut.toDF(*cut.columns), told.toDF(*told.columns)  # columns of their own, though both may come from one frame
+
+
+def numbered(side: DataFrame, name: str) -> DataFrame:
+    """A table of one row for each group with ``name``, its number from 0 on, as ``held`` gives it: no two groups have one number."""
+    rows = side.limit(HELD_GROUPS + 1).collect()
+    if len(rows) <= HELD_GROUPS:
+        schema = side.schema.add(name, "long")
+        return F.broadcast(side.sparkSession.createDataFrame([(*row, i) for i, row in enumerate(rows)], schema))
+    at = F.monotonically_increasing_id()
+    parted = cut(side.withColumns({"_part": F.shiftright(at, 33), "_row": at.bitwiseAND(2**33 - 1)}))
+    before, total = {}, 0
+    for row in sorted(parted.groupBy("_part").agg(F.count("*").alias("n")).collect()):  # a row for each partition
+        before[row["_part"]], total = total, total + row["n"]
+    starts = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))
+    return parted.withColumn(name, F.element_at(starts, F.col("_part")) + F.col("_row")).drop("_part", "_row")

@@ -2,30 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodecast.operators.blocks import held
+from lodecast.operators.blocks import numbered
 
 BINS = 40
 DISTANCES = ("d_psi", "d_js", "d_iou", "d_em")
 
 
-def bin_codes(rows: DataFrame, keys: list[str], truth: str = "mu0", value: str = "mu", bins: int = BINS) -> DataFrame:
-    """``rows`` with ``_truth_bin`` and ``_bin`` in 0..bins+1; the edges span the group's truth.
+def place(x: Column, at: Column, bins: int) -> Column:
+    """The bin in 0..bins+1 of a value ``x`` that lies ``at`` bins above the least edge.
 
-    Bins are closed at the left, and the greatest truth lies in the last open bin.
-    A constant truth has bins of width 1. Null and NaN values have no bin.
+    Bins are closed at the left; 0 and bins + 1 are open, and infinite values lie in them. Null and NaN have none.
     """
-    spans = rows.groupBy(*keys).agg(F.min(truth).alias("_low"), F.max(truth).alias("_high"))
-    joined = rows.join(F.broadcast(spans) if not keys else spans, keys) if keys else rows.crossJoin(spans)
-    width = F.when(F.col("_high") > F.col("_low"), (F.col("_high") - F.col("_low")) / bins).otherwise(F.lit(1.0))
+    return F.when(x.isNotNull() & ~F.isnan(x), F.floor(F.least(F.greatest(at, F.lit(-1.0)), F.lit(float(bins)))) + 1).cast("int")
+
+
+def edges(rows: DataFrame, keys: list[str], truth: str, bins: int) -> DataFrame:
+    """``keys, _low, _width`` of the bins that span each group's finite truth; a constant truth has bins of width 1."""
+    finite = F.when(F.abs(truth) < float("inf"), F.col(truth))
+    spans = rows.groupBy(*keys).agg(F.min(finite).alias("_low"), F.max(finite).alias("_high"))
+    return spans.select(*keys, "_low", F.when(F.col("_high") > F.col("_low"), (F.col("_high") - F.col("_low")) / bins).otherwise(F.lit(1.0)).alias("_width"))
+
 
-    def code(name: str):
-        at = F.floor((F.col(name) - F.col("_low")) / width) + 1
-        return F.when(F.col(name).isNotNull() & ~F.isnan(name), F.least(F.greatest(at, F.lit(0)), F.lit(bins + 1))).cast("int")
+def bin_codes(rows: DataFrame, keys: list[str], truth: str = "mu0", value: str = "mu", bins: int = BINS) -> DataFrame:
+    """``rows`` with ``_truth_bin`` and ``_bin`` in 0..bins+1; the edges span the group's finite truth.
 
-    return joined.withColumns({"_truth_bin": code(truth), "_bin": code(value), "_width": width})
+    Bins are closed at the left, and the greatest truth lies in the last open bin, as infinite values do in the open ones.
+    A constant truth has bins of width 1. Null and NaN values have no bin.
+    """
+    spans = edges(rows, keys, truth, bins)
+    joined = rows.join(spans, keys) if keys else rows.crossJoin(spans)  # without keys, spans have one row
+    return joined.withColumns({n: place(F.col(c), (F.col(c) - F.col("_low")) / F.col("_width"), bins) for n, c in (("_truth_bin", truth), ("_bin", value))})
 
 
 def pmfs(rows: DataFrame, keys: list[str], bins: int = BINS, **columns: str) -> DataFrame:
@@ -34,7 +43,7 @@ def pmfs(rows: DataFrame, keys: list[str], bins: int = BINS, **columns: str) ->
     sides = coded.select(*keys, F.explode(F.array(F.struct(F.lit(1).alias("t"), F.col("_truth_bin").alias("bin")), F.struct(F.lit(0).alias("t"), F.col("_bin").alias("bin")))).alias("s"))
     counts = sides.where("s.bin IS NOT NULL").groupBy(*keys, F.col("s.bin").alias("bin")).agg(F.sum("s.t").alias("nq"), F.sum(1 - F.col("s.t")).alias("np"))
     every = Window.partitionBy(*keys)
-    return counts.select(*keys, "bin", (F.col("nq") / F.sum("nq").over(every)).alias("q"), (F.col("np") / F.sum("np").over(every)).alias("p"))
+    return counts.select(*keys, "bin", *(F.coalesce(F.try_divide(F.col(c), F.sum(c).over(every)), F.lit(0.0)).alias(n) for c, n in (("nq", "q"), ("np", "p"))))
 
 
 #: Parts of a bin within which values are put in order.
@@ -44,49 +53,53 @@ PARTS = 16
 def distances(rows: DataFrame, keys: list[str], truth: str = "mu0", value: str = "mu", bins: int = BINS) -> DataFrame:
     """``keys`` with symmetric chi-square, Jensen-Shannon (base 2), Ruzicka and Wasserstein-1 distances.
 
-    The last is the area between both distribution functions: for equal counts the
-    mean absolute difference of order statistics of equal rank. Null, NaN and
-    infinite values of either side are left out, so counts may differ. Equal values are counted
+    The first three are of the shares that ``pmfs`` has, infinite values included, and need counts of bins alone. The last is the area
+    between both distribution functions of finite values: for equal counts the
+    mean absolute difference of order statistics of equal rank. Null and NaN
+    values of either side are left out, so counts may differ. Equal values are counted
     together first; running sums go over the parts of a group and then within each
     part, so no task holds a group.
     """
-    finite = [F.when(F.abs(c) < float("inf"), F.col(c)) for c in (truth, value)]
-    clean = rows.select(*keys, finite[0].alias("_t"), finite[1].alias("_v"))
-    spans = held(clean.groupBy(*keys).agg(F.min("_t").alias("_low"), F.max("_t").alias("_high")).withColumn("_g", F.xxhash64(*keys) if keys else F.lit(0)))
-    near = clean.join(spans, keys) if keys else clean.withColumn("_g", F.lit(0)).join(spans, "_g")
-    sides = near.select("_g", "_low", "_high", F.explode(F.array(*(F.struct(F.col(c).alias("x"), F.lit(t).alias("t")) for c, t in (("_t", 1), ("_v", 0))))).alias("_s"))
-    width = F.when(F.col("_high") > F.col("_low"), (F.col("_high") - F.col("_low")) / bins).otherwise(F.lit(1.0))
-    part = F.least(F.greatest(F.floor((F.col("_s.x") - F.col("_low")) / width * PARTS), F.lit(-1)), F.lit(bins * PARTS)).cast("int")
-    # Groups and parts go by one number, which sorts much faster than their names; the part itself goes along.
-    valued = sides.where("_s.x IS NOT NULL").select("_g", part.alias("_part"), F.col("_s.x").alias("_x"), F.col("_s.t").alias("_t")).withColumn("_k", F.xxhash64("_g", "_part"))
-    counted = valued.groupBy("_k", "_x").agg(F.sum("_t").alias("_nq"), F.sum(1 - F.col("_t")).alias("_np"), F.first("_g").alias("_g"), F.first("_part").alias("_part"))
-
-    parts = counted.groupBy("_k").agg(F.first("_g").alias("_g"), F.first("_part").alias("_part"), F.sum("_nq").alias("_nq"), F.sum("_np").alias("_np"), F.min("_x").alias("_first"))
-    every = Window.partitionBy("_g")
-    order = every.orderBy("_part")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    placed = parts.select(
-        "*", F.lead("_first").over(order).alias("_next"), *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("_nq", "_np")), *(F.sum(c).over(every).alias(f"{c}_all") for c in ("_nq", "_np"))
-    )
-    p, q = F.col("_p"), F.col("_q")
+    p, q = F.col("p"), F.col("q")
 
     def share(x):
         return F.when(x > 0, x * F.log2(x / ((p + q) / 2))).otherwise(0.0)
 
-    bin_ = F.when(F.col("_part") < 0, 0).otherwise(F.expr(f"_part div {PARTS}") + 1)
-    binned = placed.groupBy("_g", bin_.alias("_bin")).agg(*((F.sum(c) / F.first(f"{c}_all")).alias(n) for c, n in (("_nq", "_q"), ("_np", "_p")))).groupBy("_g").agg(
+    binned = pmfs(rows, keys, bins, truth=truth, value=value).groupBy(*keys).agg(
         F.sum(F.when(p + q > 0, (p - q) * (p - q) / (0.5 * (p + q)))).alias("d_psi"),
         F.sum(0.5 * share(p) + 0.5 * share(q)).alias("d_js"),
         (1 - F.sum(F.least(p, q)) / F.sum(F.greatest(p, q))).alias("d_iou"),
     )
+    moved = wasserstein(rows, keys, truth, value, bins)
+    both = binned.join(moved, keys, "left") if keys else binned.crossJoin(moved)  # without keys, both have one row
+    return both.select(*keys, *DISTANCES)
+
+
+def wasserstein(rows: DataFrame, keys: list[str], truth: str = "mu0", value: str = "mu", bins: int = BINS) -> DataFrame:
+    """``keys, d_em``: the area between the distribution functions of both columns' finite values; no row where one has none."""
+    finite = [F.when(F.abs(c) < float("inf"), F.col(c)) for c in (truth, value)]
+    clean = rows.select(*keys, finite[0].alias("_t"), finite[1].alias("_v"))
+    spans = numbered(edges(clean, keys, "_t", bins), "_g")
+    near = clean.join(spans, keys) if keys else clean.crossJoin(spans)
+    sides = near.select("_g", "_low", "_width", F.explode(F.array(*(F.struct(F.col(c).alias("x"), F.lit(t).alias("t")) for c, t in (("_t", 1), ("_v", 0))))).alias("_s"))
+    # A number for each part of each group: one key sorts much faster than the groups' names.
+    parts = bins * PARTS + 2
+    part = place(F.col("_s.x"), (F.col("_s.x") - F.col("_low")) / F.col("_width") * PARTS, bins * PARTS).cast("long")
+    counted = sides.where("_s.x IS NOT NULL").select((F.col("_g") * parts + part).alias("_k"), F.col("_s.x").alias("_x"), F.col("_s.t").alias("_t")).groupBy("_k", "_x").agg(F.sum("_t").alias("_nq"), F.sum(1 - F.col("_t")).alias("_np"))
+    firsts = counted.groupBy("_k").agg(F.sum("_nq").alias("_nq"), F.sum("_np").alias("_np"), F.min("_x").alias("_first")).withColumn("_g", F.expr(f"_k div {parts}"))
+    every = Window.partitionBy("_g")
+    order = every.orderBy("_k")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    around = firsts.select(
+        "_k", "_g", F.lead("_first").over(order).alias("_next"), *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("_nq", "_np")), *(F.sum(c).over(every).alias(f"{c}_all") for c in ("_nq", "_np"))
+    )
     within = Window.partitionBy("_k").orderBy("_x")
     upto = within.rowsBetween(Window.unboundedPreceding, 0)
     steps = counted.select("_k", "_x", F.sum("_nq").over(upto).alias("_cq"), F.sum("_np").over(upto).alias("_cp"), F.lead("_x").over(within).alias("_after"))
-    gap = (F.col("_nq_before") + F.col("_cq")) / F.col("_nq_all") - (F.col("_np_before") + F.col("_cp")) / F.col("_np_all")
+    gap = F.try_divide(F.col("_nq_before") + F.col("_cq"), F.col("_nq_all")) - F.try_divide(F.col("_np_before") + F.col("_cp"), F.col("_np_all"))
     area = F.abs(gap) * (F.coalesce("_after", "_next") - F.col("_x"))
-    around = placed.select("_k", "_g", "_next", *(f"{c}_{n}" for c in ("_nq", "_np") for n in ("before", "all")))
-    moved = steps.join(around, "_k").select("_g", area.alias("_area")).groupBy("_g").agg(F.coalesce(F.sum("_area"), F.lit(0.0)).alias("d_em"))
-    return binned.join(moved, "_g").join(spans.select("_g", *keys), "_g").select(*keys, *DISTANCES)
+    moved = steps.join(around, "_k").select("_g", area.alias("_area"), "_nq_all", "_np_all").groupBy("_g").agg(F.coalesce(F.sum("_area"), F.lit(0.0)).alias("d_em"), F.min(F.least("_nq_all", "_np_all")).alias("_fewest")).where("_fewest > 0")
+    return moved.join(spans, "_g").select(*keys, "d_em")
 
 
 def rank_models(found: DataFrame, keys: list[str], model: str = "model") -> DataFrame:
@@ -101,7 +114,7 @@ def rank_models(found: DataFrame, keys: list[str], model: str = "model") -> Data
 def fixed_histogram(rows: DataFrame, keys: list[str], low: float, high: float, value: str = "v", bins: int = BINS) -> DataFrame:
     """``keys, bin, n, share`` over fixed edges; bins 0 and bins + 1 are open, and ``high`` itself is in the last closed bin."""
     x = F.col(value)
-    at = F.when(x == high, bins).otherwise(F.least(F.greatest(F.floor((x - low) * bins / (high - low)) + 1, F.lit(0)), F.lit(bins + 1)))
+    at = F.when(x == high, bins).otherwise(place(x, (x - low) * bins / (high - low), bins))
     counts = rows.where(x.isNotNull() & ~F.isnan(x)).groupBy(*keys, at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
     return counts.withColumn("share", F.col("n") / (F.sum("n").over(Window.partitionBy(*keys)) + 1e-9))
 

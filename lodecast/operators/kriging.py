@@ -88,7 +88,7 @@ def octant_search(delta: np.ndarray, k: int, radius: float, least: int = 2) -> n
     return order[np.sort(picked)]
 
 
-def with_neighbours(queries: DataFrame, known: DataFrame, keys: list[str], k: int, radius: float | tuple[float, float, float], angles: tuple[float, float, float] | None = None) -> DataFrame:
+def with_neighbours(queries: DataFrame, known: DataFrame, keys: list[str], k: int, radius: float | tuple[float, float, float], angles: tuple[float, float, float] | None = None, least: int = 2) -> DataFrame:
     """``keys, q_id, x, y, z, near, group_mean``: each query with its few neighbours as one array.
 
     With ``angles``, neighbours are those of the turned ellipsoid of these radii; otherwise they are octant-balanced.
@@ -96,7 +96,7 @@ def with_neighbours(queries: DataFrame, known: DataFrame, keys: list[str], k: in
     # Places go along, as an ellipsoid's search turns the coordinates.
     places = [f"_at{a}" for a in AXES]
     told = known.withColumns({p: F.col(a) for p, a in zip(places, AXES, strict=True)})
-    found = neighbours(queries, told, keys, radius, k, carried=tuple(places)) if angles is None else ellipsoid_neighbours(queries, told, keys, radius, angles, most=k, carried=tuple(places))
+    found = neighbours(queries, told, keys, radius, k, least, carried=tuple(places)) if angles is None else ellipsoid_neighbours(queries, told, keys, radius, angles, least, k, tuple(places))
     own = F.struct("block_id", *(F.col(p).alias(a) for p, a in zip(places, AXES, strict=True)), "v")
     held = found.groupBy(*keys, "q_id").agg(F.sort_array(F.collect_list(own)).alias("near"))
     means = known.groupBy(*keys).agg(F.avg("v").alias("group_mean"))

@@ -7,18 +7,20 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lodecast.operators.shapes import rise
 
 SHAPES = ("exponential", "gaussian", "spherical", "matern")
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, kind: str, smoothness: float, nugget: bool, max_range: float) -> tuple[float, float, float, float]:
+def fit_curve(x: np.ndarray, y: np.ndarray, kind: str, smoothness: float, nugget: bool, max_range: float, variance: float | None = None) -> tuple[float, float, float, float]:
     """Range, sill (nugget included), nugget and root mean squared error, by damped least squares inside the bounds.
 
+    The structured part is at most ``variance`` and the nugget half of it; without one, the greatest of ``y`` stands for it.
     Given the range, sill and nugget enter linearly; starts at several ranges keep it from local optima.
     """
-    top = float(y.max())
+    top = float(y.max()) if variance is None else float(variance)
     high = np.array([max_range, top, 0.5 * top if nugget else 0.0])
     low = np.array([1e-6 * max_range, 0.0, 0.0])
 
@@ -50,9 +52,11 @@ def fit_curve(x: np.ndarray, y: np.ndarray, kind: str, smoothness: float, nugget
     return reach, part + nug, nug, math.sqrt(best[0] / len(x))
 
 
-def fit(curves: DataFrame, keys: list[str], width: float, kind: str = "matern", smoothness: float = 1.5, nugget: bool = True, max_range: float = 1000.0) -> DataFrame:
+def fit(curves: DataFrame, keys: list[str], width: float, kind: str = "matern", smoothness: float = 1.5, nugget: bool = True, max_range: float = 1000.0, variances: DataFrame | None = None) -> DataFrame:
     """``keys, range, sill, nugget, rmse`` from ``keys, lag, gamma``; a lag stands at its bin's upper edge, (lag + 1) * width.
 
+    ``variances`` (``keys, variance``, see ``value_variances``) bound the sill and the nugget; a group without one has nulls.
+
     A curve has one row for each lag bin, so a group is small whatever its points.
     Groups with fewer than three lags, or a curve of zeros, have nulls.
     """
@@ -62,10 +66,20 @@ def fit(curves: DataFrame, keys: list[str], width: float, kind: str = "matern",
     for name in names:
         schema = schema.add(name, "double")
 
+    bounded = variances is not None
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("lag")
         x, y = (frame.lag.to_numpy(float) + 1) * width, frame.gamma.to_numpy(float)
-        found = fit_curve(x, y, kind, smoothness, nugget, max_range) if len(x) >= 3 and y.max() > 0 else (math.nan,) * 4
+        top = float(frame.variance.iloc[0])
+        found = fit_curve(x, y, kind, smoothness, nugget, max_range, top if bounded else None) if len(x) >= 3 and y.max() > 0 and (top > 0 or not bounded) else (math.nan,) * 4
         return frame[keys].head(1).assign(**dict(zip(names, found, strict=True)))
 
-    return curves.where("gamma IS NOT NULL").select(*keys, "lag", "gamma").groupBy(*keys).applyInPandas(run, schema)
+    told = curves.where("gamma IS NOT NULL").select(*keys, "lag", "gamma")
+    told = told.withColumn("variance", F.lit(float("nan"))) if variances is None else told.join(variances.select(*keys, "variance"), keys, "left")
+    return told.groupBy(*keys).applyInPandas(run, schema)
+
+
+def value_variances(rows: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
+    """``keys, variance``: the population variance of each group's finite values."""
+    return rows.where(F.abs(value) < float("inf")).groupBy(*keys).agg(F.var_pop(value).alias("variance"))

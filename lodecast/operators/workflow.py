@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodecast.operators import downsample, kriging, normal_score, spatial, variogram_fit
+from lodecast.operators import analysis, downsample, gaussian_process, kriging, normal_score, spatial, variogram_fit
 from lodecast.operators.blocks import cut
 from lodecast.operators.spatial import AXES
 from lodecast.settings import Settings
@@ -30,40 +30,83 @@ def prepared(samples: DataFrame, blocks: DataFrame, geometry: DataFrame | None,
     return turned(near), turned(blocks)
 
 
+def scored(near: DataFrame, keys: list[str], least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Samples with normal scores for values, the quantiles, and the slopes; groups of fewer than ``least`` samples keep their values and have neither."""
+    near = cut(near.select(*keys, "block_id", *AXES, "v"))
+    enough = near.where("v IS NOT NULL AND NOT isnan(v)").groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(*keys)
+    many = near.join(enough, keys, "left_semi")
+    fitted = cut(normal_score.quantiles(many, keys))
+    scores = cut(normal_score.transform(many, fitted, keys))
+    gradient = cut(normal_score.gradient(scores, keys))
+    few = near.join(enough, keys, "left_anti")
+    return scores.drop("v").withColumnRenamed("score", "v").unionByName(few), fitted, gradient
+
+
+def unscored(found: DataFrame, fitted: DataFrame, gradient: DataFrame, keys: list[str]) -> DataFrame:
+    """``found`` with estimates and deviations in the values' own units; rows of groups that were not scored stay as they are."""
+    back = normal_score.inverse(found, fitted, keys, "estimate", "_back").join(gradient, keys, "left")
+    own = back.select(*keys, "block_id", F.col("_back").alias("estimate"), F.try_divide("deviation", "gradient").alias("deviation"))
+    return own.unionByName(found.join(fitted.select(*keys), keys, "left_anti").select(own.columns))
+
+
 def krige_all(samples: DataFrame, blocks: DataFrame, keys: list[str], settings: Settings = Settings(), geometry: DataFrame | None = None, ordinary: bool = True, parameters: DataFrame | None = None) -> DataFrame:
     """``keys, block_id, estimate, deviation`` for the blocks of every group: clip, turn, score, limit, fit, krige and back.
 
     ``parameters`` (keys, range, sill, nugget) of groups fitted before are used in
     place of a fit. Groups share one model in each call of the kriging kernel: the
-    fitted parameters go with the queries, so a group is no task of its own. With
-    ``scored``, values are replaced by normal scores, and deviations divided by
-    the median slope of scores over values. Groups whose variogram cannot be fitted have nulls.
+    fitted parameters go with the queries, so a group is no task of its own. Neighbours are searched within half the
+    range, or half of ``max_lag`` where that is less. With
+    ``scored``, values of groups of ``least_scored`` samples or more are replaced by normal scores, and deviations divided by
+    the median slope of scores over values. Every block has its row: those of groups without samples, or whose variogram cannot be fitted, have nulls.
     """
     near, asked = prepared(samples, blocks, geometry, keys, settings)
     fitted = gradient = None
     if settings.scored:
-        near = cut(near)
-        fitted = cut(normal_score.quantiles(near, keys))
-        scores = cut(normal_score.transform(near.select(*keys, "block_id", *AXES, "v"), fitted, keys))
-        gradient = cut(normal_score.gradient(scores, keys))
-        near = scores.drop("v").withColumnRenamed("score", "v")
+        near, fitted, gradient = scored(near, keys, settings.least_scored)
     told, _ = limited(near.select(*keys, "block_id", *AXES, "v"), keys, settings.training_points)
     told = cut(told)
     width = settings.max_lag / settings.lags
     if parameters is None:
         curves = spatial.variogram(told, keys, settings.max_lag, settings.lags)
-        parameters = variogram_fit.fit(curves, keys, width, settings.covariance, settings.smoothness, settings.nugget, settings.max_lag)
-    parameters = cut(parameters)
-    # Coordinates over the group's range have one radius for all groups, half the range.
-    scaled = parameters.select(*keys, "range", "sill", "nugget").where("range > 0")
-    both = [rows.join(scaled, keys).select(*keys, "block_id", *((F.col(c) / F.col("range")).alias(c) for c in AXES), *own) for rows, own in ((asked, []), (told, ["v"]))]
-    near_rows = kriging.with_neighbours(both[0], both[1], keys, settings.neighbours, 0.5).join(scaled.select(*keys, "sill", "nugget"), keys)
+        parameters = variogram_fit.fit(curves, keys, width, settings.covariance, settings.smoothness, settings.nugget, settings.max_lag, variogram_fit.value_variances(told, keys))
+    # Coordinates over twice the search radius have one radius for all groups; the kernel takes lags over the range.
+    reach = F.least("range", F.lit(settings.max_lag))
+    scaled = cut(parameters.select(*keys, "range", "sill", "nugget").where("range > 0").withColumn("_reach", reach))
+    both = [rows.join(scaled, keys).select(*keys, "block_id", *((F.col(c) / F.col("_reach")).alias(c) for c in AXES), *own) for rows, own in ((asked, []), (told, ["v"]))]
+    near_rows = kriging.with_neighbours(both[0], both[1], keys, settings.neighbours, 0.5, least=settings.least_neighbours)
+    share = F.col("_reach") / F.col("range")
+    near_rows = near_rows.join(scaled, keys).withColumns({c: F.col(c) * share for c in AXES})
+    near_rows = near_rows.withColumn("near", F.transform("near", lambda p: F.struct(p["block_id"].alias("block_id"), *((p[c] * share).alias(c) for c in AXES), p["v"].alias("v")))).drop("range", "_reach")
     found = kriging.predict_scaled(near_rows, keys, settings.covariance, settings.smoothness, ordinary)
-    out = blocks.select(*keys, "block_id").join(found, [*keys, "block_id"], "left").withColumn("deviation", F.sqrt("variance")).drop("variance")
-    if not settings.scored:
-        return out
-    back = normal_score.inverse(out, fitted, keys, "estimate", "_back")
-    return back.join(gradient, keys, "left").select(*keys, "block_id", F.col("_back").alias("estimate"), F.try_divide("deviation", "gradient").alias("deviation"))
+    out = found.withColumn("deviation", F.sqrt("variance")).drop("variance")
+    if settings.scored:
+        out = unscored(cut(out), fitted, gradient, keys)
+    return blocks.select(*keys, "block_id").join(out, [*keys, "block_id"], "left")
+
+
+def simulate_all(samples: DataFrame, blocks: DataFrame, keys: list[str], model: kriging.Variogram, settings: Settings = Settings(), geometry: DataFrame | None = None, ordinary: bool = True) -> DataFrame:
+    """``keys, sim, block_id, value``: ``settings.simulations`` sequential realisations of normal scores, in the values' own units.
+
+    ``model`` is that of scores. Groups of fewer than ``least_scored`` samples are simulated as they are.
+    """
+    near, asked = prepared(samples, blocks, geometry, keys, settings)
+    told, fitted, _ = scored(near, keys, settings.least_scored)
+    told, _ = limited(told, keys, settings.training_points)
+    drawn = cut(kriging.simulate(asked, told, keys, model, settings.simulations, settings.neighbours, ordinary=ordinary, radius=0.5 * min(settings.max_lag, model.range)))
+    back = normal_score.inverse(drawn, fitted, keys, "value", "_back").select(*keys, "sim", "block_id", F.col("_back").alias("value"))
+    return back.unionByName(drawn.join(fitted.select(*keys), keys, "left_anti").select(back.columns))
+
+
+def train_all(samples: DataFrame, blocks: DataFrame, keys: list[str], settings: Settings = Settings(), geometry: DataFrame | None = None, kind: str = "matern32") -> DataFrame:
+    """Columns of ``gaussian_process.train`` for the samples near each group's blocks, with ``settings.restarts`` starts more than one."""
+    near, _ = prepared(samples, blocks, geometry, keys, settings)
+    told, _ = limited(near.select(*keys, "block_id", *AXES, "v"), keys, settings.training_points)
+    return gaussian_process.train(told, keys, kind, settings.restarts)
+
+
+def evaluate(predictions: DataFrame, keys: list[str], settings: Settings = Settings()) -> DataFrame:
+    """The table of all statistics with the settings' variograms: up to twice ``analysis_max_lag``, in ``analysis_lags`` lags."""
+    return analysis.analysis_table(predictions, keys, "model", 2 * settings.analysis_max_lag, settings.analysis_lags, settings.required_samples, settings.slack)
 
 
 def adjusted(samples: DataFrame, keys: list[str], radius: float, k: int = 9) -> DataFrame:

@@ -125,7 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "t_welch": lambda s, d: rounded(significance.t_test(A.predictions(s, d), GROUP, "mu0", "mu", "welch").select(*GROUP, "t", "df"), 4),
     "ratio_matrix": lambda s, d: rounded(summary.attribute_ratios(_attributes(s, d, True), _attributes(s, d, False), ["domain", "model"], low=0.5, high=1.5)),
     "attribute_matrix": lambda s, d: rounded(summary.matrix(_attributes(s, d, True).where("model IN ('click', 'view')"), "model", ["domain"], [str(i) for i in range(11)]), 4),
-    "variogram_fit": lambda s, d: rounded(variogram_fit.fit(spatial.variogram(A.samples(s, d), ["domain"], 250.0, 10), ["domain"], 25.0, max_range=250.0), 3),
+    "variogram_fit": lambda s, d: rounded(variogram_fit.fit(spatial.variogram(A.samples(s, d), ["domain"], 250.0, 10), ["domain"], 25.0, max_range=250.0, variances=variogram_fit.value_variances(A.samples(s, d), ["domain"])), 3),
     "downsample": lambda s, d: downsample.downsample(A.samples(s, d), ["domain"], TRAINING_POINTS).select("domain", "block_id"),
     "gp_train": lambda s, d: rounded(gaussian_process.train(downsample.downsample(A.samples(s, d), ["domain"], TRAINING_POINTS), ["domain"]), 3),
     "gp_local": lambda s, d: rounded(gaussian_process.infer_local(*_split(s, d), ["domain"], KERNEL)),

@@ -43,11 +43,14 @@ def read_summary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("enforceSchema", True).csv(path, header=True)
 
 
-def read_analysis(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Analysis tables of several runs as one; what older ones call Likelihood is Consensus."""
+def read_analysis(spark: SparkSession, paths: list[str], schema: str | None = None) -> DataFrame:
+    """Analysis tables of several runs as one; what older ones call Likelihood is Consensus.
+
+    Without ``schema``, the types and columns of each file are inferred by themselves; with it, all files have its columns and are one read.
+    """
+    parts = [spark.read.csv(path, header=True, inferSchema=True) for path in paths] if schema is None else [spark.read.schema(schema).csv(paths, header=True)]
     out = None
-    for path in paths:
-        rows = spark.read.csv(path, header=True, inferSchema=True)
+    for rows in parts:
         if "Likelihood" in rows.columns:
             rows = rows.withColumnRenamed("Likelihood", "Consensus")
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
@@ -94,8 +97,11 @@ def append_parameters(spark: SparkSession, found: DataFrame, path: str, keys: li
     found.write.mode("append").parquet(path)
 
 
-def known_parameters(spark: SparkSession, wanted: DataFrame, path: str, keys: list[str]) -> DataFrame:
-    """``wanted`` with the parameters that the table has for its keys, the earliest of several; null where it has none."""
+def known_parameters(spark: SparkSession, wanted: DataFrame, path: str, keys: list[str], values: str = "range double, sill double, nugget double") -> DataFrame:
+    """``wanted`` with the parameters that the table has for its keys, the earliest of several; null where it has none.
+
+    ``values`` are the columns that there are, all null, while no table has been written.
+    """
     from pyspark.errors import AnalysisException
 
     try:
@@ -103,11 +109,11 @@ def known_parameters(spark: SparkSession, wanted: DataFrame, path: str, keys: li
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        return wanted
-    values = [c for c in known.columns if c not in keys]
-    order = F.struct(*(c for c in ("timestamp", *values) if c in known.columns))
+        known = spark.createDataFrame([], wanted.select(*keys).schema).selectExpr("*", *(f"CAST(NULL AS {t.strip().rsplit(' ', 1)[1]}) AS {t.strip().rsplit(' ', 1)[0]}" for t in values.split(",")))
+    columns = [c for c in known.columns if c not in keys]
+    order = F.struct(*(c for c in ("timestamp", *columns) if c in known.columns))
     first = known.groupBy(*keys).agg(F.min(order).alias("_first"))
-    return wanted.join(first.select(*keys, *(F.col(f"_first.{c}") for c in values)), keys, "left")
+    return wanted.join(first.select(*keys, *(F.col(f"_first.{c}") for c in columns)), keys, "left")
 
 
 def sort_parameters(spark: SparkSession, path: str, into: str, keys: list[str]) -> None:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodecast.functions import text
-from lodecast.operators import analysis, gaussian_process, histogram, kriging, quantiles, spatial, summary, uncertainty, workflow
+from lodecast.operators import analysis, blocks, gaussian_process, histogram, kriging, quantiles, spatial, summary, uncertainty, variogram_fit, workflow
 from lodecast.settings import Settings, changed
 from lodecast.sources import tables
 
@@ -142,3 +142,76 @@ def test_workflow_predicts_the_field(spark):
         assert len(rows) == 80 and math.sqrt(np.mean([(r["estimate"] - r["v"]) ** 2 for r in rows])) < 0.5 * value.std() and all(r["deviation"] >= 0 for r in rows)
     near = workflow.adjusted(known, ["domain"], 60.0)
     assert near.count() == known.count() and near.where("local_mean IS NULL").count() == 0
+
+
+def test_infinite_values_lie_in_the_open_bins(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = spark.createDataFrame([("a", float(i), float(i)) for i in range(10)] + [("a", 3.0, inf), ("a", 4.0, -inf), ("a", inf, 1e300), ("a", nan, -1e300), ("b", 1.0, None)], "model string, mu0 double, mu double")
+    found = {(r["model"], r["bin"]): (r["q"], r["p"]) for r in histogram.pmfs(rows, ["model"]).collect()}
+    assert found["a", 0][1] == pytest.approx(2 / 14) and found["a", 41] == pytest.approx((2 / 13, 3 / 14))  # 9 itself, inf and 1e300 above
+    counts = {r["bin"]: r["n"] for r in histogram.fixed_histogram(rows, [], 0.0, 9.0, "mu").collect()}
+    assert counts[0] == 2 and counts[41] == 2 and counts[40] == 1
+    assert sum(r["n"] for r in histogram.fixed_histogram(rows, ["model"], 0.0, 9.0, "mu0").collect()) == 14
+    told = {r["model"]: r for r in histogram.distances(rows, ["model"]).collect()}
+    assert told["a"]["d_psi"] > 0 and told["b"]["d_em"] is None
+    # Shares and distances are of the same bins.
+    by_hand = sum((p - q) ** 2 / (0.5 * (p + q)) for (m, _), (q, p) in found.items() if m == "a")
+    assert told["a"]["d_psi"] == pytest.approx(by_hand)
+
+
+def test_groups_are_numbered_apart(spark, monkeypatch):
+    side = spark.range(500).select(F.col("id").alias("k")).repartition(7)
+    monkeypatch.setattr(blocks, "HELD_GROUPS", 100)
+    assert sorted(r["n"] for r in blocks.numbered(side, "n").collect()) == list(range(500))
+    monkeypatch.setattr(blocks, "HELD_GROUPS", 1000)
+    assert sorted(r["n"] for r in blocks.numbered(side, "n").collect()) == list(range(500))
+
+
+def test_workflow_keeps_every_block(spark):
+    rng = np.random.default_rng(4)
+    points = "domain int, block_id long, x double, y double, z double, v double"
+
+    def some(domain, n, start, values=True):
+        return [(domain, start + i, *map(float, rng.uniform(0, 100, 3)), float(rng.normal(50, 5)) if values else None) for i in range(n)]
+
+    samples = spark.createDataFrame(some(1, 60, 0) + some(2, 12, 0), points)
+    asked = spark.createDataFrame([r[:5] for d, n in ((1, 5), (2, 4), (3, 3)) for r in some(d, n, 1000)], points.rsplit(",", 1)[0])
+    for scored in (False, True):
+        settings = Settings(max_lag=80.0, lags=8, scored=scored)
+        found = workflow.krige_all(samples, asked, ["domain"], settings).collect()
+        assert sorted((r["domain"], r["block_id"]) for r in found) == sorted((r["domain"], r["block_id"]) for r in asked.collect())
+        told = {d: [r["estimate"] for r in found if r["domain"] == d] for d in (1, 2, 3)}
+        assert told[3] == [None] * 3 and all(30 < v < 70 for d in (1, 2) for v in told[d])
+    # Twelve samples are too few for scores: the group is as without.
+    plain = {r["block_id"]: r["estimate"] for r in workflow.krige_all(samples, asked, ["domain"], Settings(max_lag=80.0, lags=8)).collect() if r["domain"] == 2}
+    assert {r["block_id"]: r["estimate"] for r in found if r["domain"] == 2} == pytest.approx(plain)
+    all_scored = {r["block_id"]: r["estimate"] for r in workflow.krige_all(samples, asked, ["domain"], Settings(max_lag=80.0, lags=8, scored=True, least_scored=5)).collect() if r["domain"] == 2}
+    assert all_scored != pytest.approx(plain)
+    sims = workflow.simulate_all(samples, asked.where("domain < 3"), ["domain"], kriging.Variogram(50.0, 1.0), Settings(max_lag=80.0, simulations=4)).collect()
+    assert len(sims) == 4 * 9 and all(r["value"] is not None for r in sims)
+
+
+def test_parameters_from_a_table_search_within_the_lag(spark):
+    points = "domain int, block_id long, x double, y double, z double, v double"
+    samples = spark.createDataFrame([(1, i, float(10 * i), 0.0, 0.0, float(i)) for i in range(30)], points)
+    asked = spark.createDataFrame([(1, 99, 95.0, 0.0, 0.0, 0.0)], points).drop("v")
+    given = spark.createDataFrame([(1, 400.0, 2.0, 0.0)], "domain int, range double, sill double, nugget double")
+    # Half of max_lag holds two samples, half of the range twenty: the two neighbours alone decide.
+    got = workflow.krige_all(samples, asked, ["domain"], Settings(max_lag=20.0, covariance="exponential"), parameters=given).first()
+    model = kriging.Variogram(400.0, 2.0)
+    want = kriging.krige_point(np.array([[90.0, 0, 0], [100.0, 0, 0]]), np.array([9.0, 10.0]), np.array([95.0, 0, 0]), model, None)
+    assert (got["estimate"], got["deviation"]) == pytest.approx((want[0], math.sqrt(want[1])))
+
+
+def test_bounds_of_fits_are_the_variance(spark):
+    x = np.arange(1, 21) * 10.0
+    curves = spark.createDataFrame([(1, i, float(3.0 * (1 - math.exp(-3 * h / 50)))) for i, h in enumerate(x)] + [(2, i, 1.0) for i in range(20)], "k int, lag int, gamma double")
+    bound = spark.createDataFrame([(1, 2.0), (2, 0.0)], "k int, variance double")
+    got = {r["k"]: r for r in variogram_fit.fit(curves, ["k"], 10.0, "exponential", nugget=False, variances=bound).collect()}
+    assert got[1]["sill"] == pytest.approx(2.0) and got[2]["sill"] is None
+    assert variogram_fit.value_variances(spark.createDataFrame([(1, 1.0), (1, 3.0), (1, float("inf"))], "k int, v double"), ["k"]).first()["variance"] == 1.0
+
+
+def test_known_parameters_without_a_table(spark, tmp_path):
+    got = tables.known_parameters(spark, spark.createDataFrame([(1,)], "k int"), str(tmp_path / "none"), ["k"]).first()
+    assert got.asDict() == {"k": 1, "range": None, "sill": None, "nugget": None}
