@@ -4,6 +4,8 @@ The page is cut into blocks at block-level tags. First pass, on every page alike
 length, share of stop words, share of linked characters and the tags around a
 block each give it points; many make it good, few bad, the rest are ambiguous.
 Second pass: ambiguous blocks take the label of the nearest decided neighbours.
+A page on which nothing is good by itself is one of short blocks: its runs of
+ambiguous blocks are then judged as one text each.
 
 Tags are one of the marks: an article speaks for a block, a footer or a class
 name such as "sidebar" against it. A name that is only a part of another counts
@@ -315,6 +317,8 @@ def _two_passes(blocks: list[Block], words: list[list[str]], stops: list[float])
     good = min(GOOD, max(1, max((b.points for b in blocks), default=0)))
     for b in blocks:
         b.label = "good" if b.points >= good else "bad" if b.points <= BAD else ""
+    if not any(b.label == "good" for b in blocks):
+        _short_texts(blocks, words, known)
     decided = [b.label for b in blocks]
     before = list(_nearest(blocks, decided, range(len(blocks))))
     after = list(_nearest(blocks, decided, range(len(blocks) - 1, -1, -1)))[::-1]
@@ -323,6 +327,29 @@ def _two_passes(blocks: list[Block], words: list[list[str]], stops: list[float])
             b.label = _inherited(b, *left, *right)
 
 
+def _short_texts(blocks: list[Block], words: list[list[str]], known: bool) -> None:
+    """Where no block is good by itself, as in verse, dialogues and short notices, runs of ambiguous blocks are judged as one text each.
+
+    A run ends at links and at what is bad or outside. Good are those whose stop words, taken together, are at least
+    doubtful; in a language without a list, those at least a quarter as long as the longest; and without either, the longest.
+    """
+    runs: list[list[int]] = [[]]
+    for i, b in enumerate(blocks):
+        if b.label or b.outside or b.linked > 0:
+            runs.append([])
+        else:
+            runs[-1].append(i)
+    runs = [run for run in runs if run]
+    sizes = [sum(len(blocks[i].text) for i in run) for run in runs]
+    longest = max(sizes, default=0)
+    shares = [_stop_share([w for i in run for w in words[i]]) for run in runs]
+    fit = [share >= DOUBTFUL_STOPS if known else 4 * size >= longest for share, size in zip(shares, sizes, strict=True)]
+    for run, size, good in zip(runs, sizes, fit, strict=True):
+        if good or not any(fit) and size == longest:
+            for i in run:
+                blocks[i].label = "good"
+
+
 def _nearest(blocks: list[Block], decided: list[str], way: range) -> Iterator[tuple[str, int]]:
     """For each block, the label of the last decided block before it on this way, and how far off it is.
 

@@ -26,8 +26,9 @@ from lodecast.llm.files import read_file, shared_folder, write_file
 from lodecast.llm.word_table import assemble_blocks, buckets_for
 
 MAGIC = b"WVLT0002"
-#: Documents of a shard, about; there are at least as many shards as shuffle partitions.
-SHARD_DOCS = 6000
+#: A shard holds about so many units, a document being one and one more for every so many bytes: 8000 short documents or 32 MB of long
+#: ones. There are at least as many shards as shuffle partitions.
+SHARD_UNITS, UNIT_BYTES = 8000, 4096
 #: Bits that share one stored count of ones, and their 64-bit words.
 RANK_BITS, RANK_WORDS = 512, 8
 #: Ids are below this; vocabularies are far smaller.
@@ -264,19 +265,33 @@ def from_bytes(data: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray, np.n
     return WaveletMatrix(h["n"], values, lengths, h["sizes"], h["zeros"], planes, counts), ids, known.astype(bool), starts
 
 
-def _ordered_blocks(docs: DataFrame, id_col: str, text_col: str, n_blocks: int) -> DataFrame:
-    """``_block, _id, _text`` with blocks of about as many rows each, ascending by id; null ids come first."""
+def _ordered_blocks(docs: DataFrame, id_col: str, text_col: str, least: int, n_shards: int | None) -> DataFrame:
+    """``_block, _id, _text`` with blocks of about as many bytes each, ascending by id; null ids come first.
+
+    A row counts for one unit and one more for every UNIT_BYTES of its text, and blocks are cut at quantiles of units: about SHARD_UNITS
+    in each, whatever the lengths. Null ids, which any number of rows can share, are dealt over as many blocks by their texts' hashes.
+    """
     slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    at = [i / n_blocks for i in range(1, n_blocks)]
-    bounds = np.array(slim.approxQuantile("_id", at, 0.2 / n_blocks) if at else [], float)
+    units = (1 + F.octet_length("_text") / UNIT_BYTES).cast("int")
+    sized = slim.select("_id", units.alias("_units"))
+    total = sized.agg(F.sum("_units").alias("all"), F.sum(F.when(F.col("_id").isNull(), F.col("_units"))).alias("none")).first()
+    n = n_shards or max(least, -(-(total["all"] or 0) // SHARD_UNITS))
+    # Ids alone, as often as they have units.
+    weighted = sized.where("_id IS NOT NULL").select(F.explode(F.array_repeat("_id", F.col("_units"))).alias("_id"))
+    at = [i / n for i in range(1, n)]
+    bounds = np.array(weighted.approxQuantile("_id", at, 0.2 / n) if at else [], float)
+    nulls = max(1, round(n * (total["none"] or 0) / max(1, total["all"] or 1)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.asarray(batch.column("_id").cast(pa.float64(), safe=False).fill_null(-np.inf))
-            block = pa.array(np.searchsorted(bounds, ids, "right").astype(np.int64))
-            yield pa.RecordBatch.from_arrays([block, *batch.columns], names=["_block", "_id", "_text"])
+            ids = np.asarray(batch.column("_id").cast(pa.float64(), safe=False).fill_null(0))
+            known = np.asarray(batch.column("_id").is_valid())
+            # The hash falls into ranges, and null ids lie before all others.
+            hashed = np.asarray(batch.column("_hash")).astype(float) / 2.0**64 + 0.5
+            block = np.where(known, nulls + np.searchsorted(bounds, ids, "right"), np.minimum((hashed * nulls).astype(np.int64), nulls - 1))
+            yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int64)), batch.column("_id"), batch.column("_text")], names=["_block", "_id", "_text"])
 
-    return slim.mapInArrow(place, "_block long, _id long, _text string").repartition(F.col("_block"))
+    return slim.withColumn("_hash", F.xxhash64("_text")).mapInArrow(place, "_block long, _id long, _text string").repartition(F.col("_block"))
 
 
 def write_shards(
@@ -287,15 +302,13 @@ def write_shards(
     Returns the manifest ``(shard int, place string, n_docs long, n_tokens long)``,
     written to the shared folder, so the files are made exactly once. Null texts
     count as empty (only the end id); null ids come first; equal ids are ordered
-    by text, and equal rows are all kept; an empty table writes no file.
-    Ids must be below ``ID_LIMIT``. A shard holds about ``SHARD_DOCS`` documents, rows of
-    one id together, and must fit in a worker's memory.
+    by text (null ones by ranges of the texts' hashes, then by text), and equal rows are all kept; an empty table writes no file.
+    Ids must be below ``ID_LIMIT``, and document ids must be whole numbers that a long holds. A shard holds about ``SHARD_UNITS`` units of
+    text (see ``_ordered_blocks``), rows of one id together but for null ids, which are dealt over shards by their texts' hashes; it must fit in a worker's memory.
     """
     spark = docs.sparkSession
-    # The number of rows stands in the files' footers, so no text is read for it.
-    n = n_shards or max(buckets_for(spark), -(-docs.count() // SHARD_DOCS))
     folder = folder or shared_folder(spark, "token-shards")
-    base = _ordered_blocks(docs, id_col, text_col, n)
+    base = _ordered_blocks(docs, id_col, text_col, buckets_for(spark), n_shards)
 
     def shard(block: int, rows: pa.Table, ids: np.ndarray, offsets: np.ndarray) -> pa.Table:
         order = pa.compute.sort_indices(rows.select(["_id", "_text"]), sort_keys=[("_id", "ascending"), ("_text", "ascending")], null_placement="at_start").to_numpy()

@@ -284,3 +284,33 @@ def test_broken_pages_take_linear_time(part):
         return time.perf_counter() - start
 
     assert seconds(60_000) < 20 * seconds(6_000) + 0.5
+
+
+_LINE = "<p>The cat sat down by the old door at noon.</p>"
+_SAID = "The cat sat down by the old door at noon."
+_NAV = "<nav><a href=1>Home</a> <a href=2>News</a></nav>"
+_FOOT = "<footer>All rights are with us and the authors of the page</footer>"
+
+
+@pytest.mark.parametrize("around", [("", ""), (_NAV, _FOOT), ("<div class=menu><a href=1>Home</a></div>", "<div><a href=1>More of it</a></div>")])
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        (f"<div><h1>A title of it</h1>{_LINE * 8}</div>", "\n".join(["A title of it", *[_SAID] * 8])),
+        (_LINE, _SAID),
+        ("<div>— Who is it?</div><div>— It is me.</div><div>— Come in, then.</div>", "— Who is it?\n— It is me.\n— Come in, then."),
+        ("<p>Over the hill<br>and far away</p><p>the old man sang</p>", "Over the hill and far away\nthe old man sang"),
+        (f"{_LINE}<aside>An advert of the day</aside>{_LINE}", f"{_SAID}\n{_SAID}"),
+        ("<p>Zxq wv mnop</p>", "Zxq wv mnop"),
+    ],
+)
+def test_pages_of_short_blocks_keep_their_text(around, body, text):
+    from lodecast.llm.html_blocks import main_text
+
+    assert main_text(f"<html><body>{around[0]}{body}{around[1]}</body></html>") == text
+
+
+def test_pages_of_links_alone_have_no_text():
+    from lodecast.llm.html_blocks import main_text
+
+    assert main_text(f"<body>{_NAV}<ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul>{_FOOT}</body>") == ""
