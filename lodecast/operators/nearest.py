@@ -69,43 +69,42 @@ def _bound(octants: bool) -> Column:
     """The distance up to which both boxes matter, by the bounds known so far; the distance itself is named once, as filters repeat what they name."""
     fewest = F.element_at("_limits", -1)
     if not octants:
-        return F.greatest(F.element_at("_limits", 1), fewest)
+        return fewest
     reached = F.element_at(F.lit(_REACHED), _sides() + 1)
     return F.greatest(fewest, F.array_max(F.transform(reached, lambda o: F.element_at("_limits", o + 1))))
 
 
-def _limits(cells: DataFrame, keys: list[str], radius: float, k: int, least: int, octants: bool) -> DataFrame:
-    """``keys, _ASKED, _limits``: for each query cell how far the k nearest within the radius (of each octant, or of all) and, last, the ``least``
-    nearest are at the most, by the counts of the cells it has met."""
-    cell = [*keys, *_ASKED]
+def _limits(cells: DataFrame, cell: list[str], radius: float, k: int, least: int, octants: bool) -> DataFrame:
+    """``cell, _limits``: how far, by the counts of the cells it has met, a query cell's (or query's) neighbours are at the most: with
+    ``octants`` the first ones of each octant, and last the k nearest within the radius and the ``least`` nearest."""
 
     def upto(*more: str) -> Column:
         return F.sum("_n").over(Window.partitionBy(*cell, *more).orderBy("_far").rowsBetween(Window.unboundedPreceding, 0))
 
     told = cells.select(*cell, "_n", "_far", "_own").withColumn("_all", upto())
+    bounds = []
     if octants:
         told = told.withColumn("_part", upto("_own"))
-        bounds = [F.min(F.when((F.col("_own") == o) & (F.col("_part") >= k), F.col("_far"))) for o in range(8)]
-    else:
-        bounds = [F.min(F.when(F.col("_all") >= k, F.col("_far")))]
-    fewest = F.min(F.when(F.col("_all") >= least, F.col("_far")))
-    found = told.groupBy(*cell).agg(F.array(*(F.least(b * _SLACK, F.lit(radius)) for b in bounds), F.coalesce(fewest * _SLACK, F.lit(float("inf")))).alias("_limits"))
-    return cut(found, "limits")
+        bounds = [F.min(F.when((F.col("_own") == o) & (F.col("_part") >= max(k // 8, 1)), F.col("_far"))) for o in range(8)]
+    nearest, fewest = (F.min(F.when(F.col("_all") >= n, F.col("_far"))) for n in (k, least))
+    last = F.greatest(F.least(nearest * _SLACK, F.lit(radius)), F.coalesce(fewest * _SLACK, F.lit(float("inf"))))
+    return cut(told.groupBy(*cell).agg(F.array(*(F.least(b * _SLACK, F.lit(radius)) for b in bounds), last).alias("_limits")), "limits")
 
 
-def _pruned(cells: DataFrame, limits: DataFrame, keys: list[str], octants: bool) -> DataFrame:
+def _pruned(cells: DataFrame, cell: list[str], radius: float, k: int, least: int, octants: bool) -> DataFrame:
     """The cells that can hold one of the nearest, with the bounds."""
+    cells = cut(cells, "front")
     kept = F.col("_near") <= F.element_at("_limits", -1)
-    for o in range(8 if octants else 1):
-        met = F.col("_near") <= F.element_at("_limits", o + 1)
-        kept = kept | (met & (F.col("_mask").bitwiseAND(2**o) != 0) if octants else met)
-    return cells.join(limits, [*keys, *_ASKED]).where(kept)
+    for o in range(8 if octants else 0):
+        kept = kept | ((F.col("_near") <= F.element_at("_limits", o + 1)) & (F.col("_mask").bitwiseAND(2**o) != 0))
+    return cells.join(_limits(cells, cell, radius, k, least, octants), cell).where(kept)
 
 
 def candidates(queries: DataFrame, known: DataFrame, keys: list[str], radius: float, k: int, least: int, octants: bool, carried: tuple[str, ...] = ()) -> DataFrame:
     """``keys, q_id, block_id, v, carried.., dist, octant``: all known points that can be among each query's neighbours, and few others.
 
-    Among them are the ``k`` nearest within the radius (of each octant, with ``octants``) and the ``least`` nearest anywhere. Points without
+    Among them are the ``k`` nearest within the radius and the ``least`` nearest anywhere; with ``octants`` also the max(k // 8, 1) nearest of
+    each octant within the radius. A balanced choice of k takes no others: what it takes beyond the octants' first is among the k nearest. Points without
     finite coordinates are nobody's neighbours and have none.
     """
     known = finite(known).select(*keys, "block_id", *AXES, "v", *carried)
@@ -138,24 +137,22 @@ def _descended(queries: DataFrame, known: DataFrame, keys: list[str], radius: fl
     front = boxes.select(*keys, *(F.col(c).alias(f"_q{c}") for c in (*_PLACE, *BOX)))
     front = measured(front.join(tree.nodes.where(F.col("_l") == tree.depths[0]), keys)).select(*about, *_MET)
 
-    def pruned(cells: DataFrame) -> DataFrame:
-        cells = cut(cells, "front")
-        return _pruned(cells, _limits(cells, keys, radius, k, least, octants), keys, octants)
-
-    front = pruned(front)
+    cell = [*keys, *_ASKED]
+    front = _pruned(front, cell, radius, k, least, octants)
     for level in tree.depths[1:]:
         up = [f"_up{c}" for c in CELL]
         below = tree.nodes.where(F.col("_l") == level).withColumns({u: F.shiftright(c, STEP) for c, u in zip(CELL, up, strict=True)})
         open_ = front.where("NOT _leaf").select(*about, "_limits", *(F.col(c).alias(u) for c, u in zip(CELL, up, strict=True)))
         met = measured(open_.join(below, [*keys, *up]).where(nearest_of_boxes() <= _bound(octants))).select(*about, *_MET)
-        front = pruned(met.unionByName(front.where("_leaf").select(*about, *_MET)))
+        front = _pruned(met.unionByName(front.where("_leaf").select(*about, *_MET)), cell, radius, k, least, octants)
     places = asked.select(*keys, "q_id", *(F.col(c).alias(f"_q{c}") for c in (*AXES, *_PLACE)))
-    # From here on each query is a box of its own.
-    alone = front.select(*keys, *_ASKED, *_PLACE, *BOX, "_limits").join(places, [*keys, *_ASKED]).withColumns({f"_q_{n}{a}": F.col(f"_q{a}") for a in AXES for n in ("low", "high")})
-    cells = alone.where(nearest_of_boxes() <= _bound(octants)).select(*keys, "q_id", *(f"_q{a}" for a in AXES), *_PLACE, "_limits")
+    # From here on each query is a box of its own, with bounds of its own.
+    alone = front.select(*keys, *_ASKED, *_PLACE, "_n", *BOX, "_limits").join(places, [*keys, *_ASKED]).withColumns({f"_q_{n}{a}": F.col(f"_q{a}") for a in AXES for n in ("low", "high")})
+    alone = measured(alone.where(nearest_of_boxes() <= _bound(octants))).select(*keys, "q_id", *(f"_q{a}" for a in AXES), *_PLACE, "_n", "_near", "_far", "_own", "_mask")
+    cells = _pruned(alone, [*keys, "q_id"], radius, k, least, octants).select(*keys, "q_id", *(f"_q{a}" for a in AXES), *_PLACE, "_limits")
     found = _paired(cells.join(tree.placed(max(k, least)), [*keys, *_PLACE]), carried, keys, "_limits")
-    limit = F.element_at("_limits", F.col("octant") + 1) if octants else F.element_at("_limits", 1)
-    return found.where((F.col("dist") <= limit) | (F.col("dist") <= F.element_at("_limits", -1))).drop("_limits")
+    near = F.col("dist") <= F.element_at("_limits", -1)
+    return found.where(near | (F.col("dist") <= F.element_at("_limits", F.col("octant") + 1)) if octants else near).drop("_limits")
 
 
 def neighbours(queries: DataFrame, known: DataFrame, keys: list[str], radius: float, k: int, least: int = 2, octants: bool = True, carried: tuple[str, ...] = ()) -> DataFrame:
