@@ -57,12 +57,13 @@ def test_same_neighbours_as_every_pair(spark, monkeypatch, radius, k, least, oct
 def test_points_met_do_not_grow_with_density(spark):
     rng = random.Random(5)
     met = {}
-    for n in (1000, 8000):
+    for n in (500, 2000, 8000):
         rows = [(1, i, rng.random(), rng.random(), rng.random(), 0.0) for i in range(n)]
         queries = spark.createDataFrame(rows[:200], POINTS)
         # A radius that holds every point: cells of its size would make a pair of all.
         met[n] = nearest.candidates(queries, spark.createDataFrame(rows, POINTS), ["domain"], 10.0, 9, 3, False).count() / 200
-    assert met[8000] < 1.5 * met[1000] and met[8000] < 200
+    # Cells hold 1 to 8 points by how n falls on the powers of 64, so counts swing, but within a multiple of k.
+    assert max(met.values()) < 5 * 9, met
 
 
 def test_empty_sides(spark):
