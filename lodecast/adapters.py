@@ -71,3 +71,17 @@ def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ANALYSIS = "a AS (SELECT weekofyear(ts)::INT AS period, user_id % 11 AS domain, event_type AS model, value AS v, 1 + user_id % 7 AS w FROM events)"
+
+
+#: Models of a sample's value v at its place, by block id b: mean and deviation.
+PLACED_MODELS = {"blend": ("v * 4 / 5 + 5 * (b % 7 - 3)", "15 + b % 5"), "shifted": ("v + 10 + 0 * b", "20 + 0 * b")}
+
+
+def placed_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``domain, model, block_id, x, y, z, mu0, mu, sigma`` of two models of each sample's value."""
+    stacked = ", ".join(f"struct('{k}' AS model, CAST({m} AS DOUBLE) AS mu, CAST({d} AS DOUBLE) AS sigma)" for k, (m, d) in PLACED_MODELS.items())
+    rows = samples(spark, sf_dir).withColumn("b", F.col("block_id"))
+    return rows.selectExpr("domain", "block_id", "x", "y", "z", "v AS mu0", f"explode(array({stacked})) AS m").select("domain", "m.model", "block_id", "x", "y", "z", "mu0", "m.mu", "m.sigma")
+
+
+PLACED_PREDICTIONS = f"{SAMPLES}, pred AS (" + " UNION ALL ".join(f"SELECT domain, '{k}' AS model, block_id, x, y, z, v AS mu0, CAST({m} AS DOUBLE) AS mu, CAST({d} AS DOUBLE) AS sigma FROM (SELECT *, block_id AS b FROM s)" for k, (m, d) in PLACED_MODELS.items()) + ")"

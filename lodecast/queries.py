@@ -154,6 +154,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "weighted_slots_textbook": lambda s, d: rounded(summary.slot_error(_slots(s, d), ["model"], textbook=True)),
     "family_means": lambda s, d: rounded(_families(s, d)),
     "analysis_table": lambda s, d: rounded(analysis.analysis_table(A.predictions(s, d), ["domain"])),
+    "analysis_table_placed": lambda s, d: rounded(analysis.analysis_table(A.placed_predictions(s, d), ["domain"], max_lag=100.0, lags=5)),
     "period_names": lambda s, d: A.samples(s, d).groupBy("period", period_name(F.col("period")).alias("name")).agg(F.count("*").alias("n")),
     "number_texts": lambda s, d: rounded(A.samples(s, d).select("block_id", numbers_text(F.array("x", "y", "z")).alias("t")).select("block_id", F.explode(numbers(F.col("t"))).alias("v"))),
     "kriging_workflow": lambda s, d: rounded(workflow.krige_all(_split(s, d)[1], _split(s, d)[0], ["domain"], Settings(max_lag=300.0, lags=15))),
@@ -285,6 +286,16 @@ ORACLES["analysis_table"] = (
     + " ".join(f"JOIN ({ORACLES[q]}) USING (domain, model)" for q in ("model_rank", "rmse", "consensus_quartiles", "coverage_measures", "tightness"))
 )
 
+#: The same table over predictions that have places, with the two columns of variograms.
+_PLACED_CURVES = f"""WITH {A.PLACED_PREDICTIONS}, enough AS (SELECT domain, model FROM pred GROUP BY ALL HAVING count(*) >= 30),
+r AS (SELECT domain, model, block_id, x, y, z, mu AS v FROM pred JOIN enough USING (domain, model) UNION ALL SELECT DISTINCT domain, '', block_id, x, y, z, mu0 FROM pred JOIN enough USING (domain, model)),
+pr AS (SELECT a.domain, a.model, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d, (a.v - b.v) * (a.v - b.v) / 2 AS g FROM r a JOIN r b ON a.domain = b.domain AND a.model = b.model AND a.block_id < b.block_id),
+c AS (SELECT domain, model, floor(d * 5 / 100)::BIGINT AS lag, avg(g) AS gamma FROM pr WHERE d < 100 GROUP BY ALL),
+f AS (SELECT domain, lag FROM c GROUP BY domain, lag HAVING count(*) = (SELECT count(DISTINCT model) FROM c k WHERE k.domain = c.domain)),
+q AS (SELECT c.domain, c.model, c.gamma / t.gamma AS g FROM c JOIN c t ON c.domain = t.domain AND c.lag = t.lag AND t.model = '' AND t.gamma > 0 JOIN f ON f.domain = c.domain AND f.lag = c.lag WHERE c.model <> '')
+SELECT domain, model, round(quantile_cont(g, 0.5), 6) AS variogram_ratio, round(sqrt(1 - abs(least(quantile_cont(g, 0.5), 2) - 1)), 6) AS fidelity FROM q GROUP BY ALL"""
+ORACLES["analysis_table_placed"] = f"SELECT * FROM ({ORACLES['analysis_table'].replace(A.PREDICTIONS, A.PLACED_PREDICTIONS)}) LEFT JOIN ({_PLACED_CURVES}) USING (domain, model)"
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
