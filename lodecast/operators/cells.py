@@ -11,9 +11,9 @@ from lodecast.operators.blocks import cut, held
 
 AXES = ("x", "y", "z")
 #: Points above which a cell is split, halvings of the box at most, the level to start at, and halvings from one level to the next.
-LEAF, LEVELS, START, STEP = 8, 20, 2, 1
+LEAF, LEVELS, START, STEP = 32, 20, 2, 2
 #: Levels that are counted in one pass over the points.
-PASS = 6
+PASS = 3
 CELL = [f"_c{a}" for a in AXES]
 BOX = [f"_{n}{a}" for a in AXES for n in ("low", "high")]
 
