@@ -51,31 +51,32 @@ class Tree:
     depths: list[int]
     crowded: bool
     leaf: int
+    step: int = STEP
 
     @classmethod
-    def of(cls, rows: DataFrame, keys: list[str], leaf: int = LEAF, sums: dict | None = None, cubes: DataFrame | None = None) -> Tree:
-        """The tree of finite points; ``sums`` are aggregates more for each cell, by their names, and ``cubes`` are of more points than these."""
+    def of(cls, rows: DataFrame, keys: list[str], leaf: int = LEAF, sums: dict | None = None, cubes: DataFrame | None = None, step: int = STEP) -> Tree:
+        """The tree of finite points; ``sums`` are aggregates more for each cell, by their names, ``cubes`` are of more points than these, ``step`` the halvings from level to level."""
         edges = [f(a).alias(f"_{n}{a}") for a in AXES for n, f in (("low", F.min), ("high", F.max))]
         cubes = cubes_of(rows, keys) if cubes is None else cubes
         points = with_cells(rows, cubes, keys)
         flat = " AND ".join(f"_low{a} = _high{a}" for a in AXES)
         found, level = None, START
         while True:
-            levels = [n for n in range(level, level + PASS * STEP, STEP) if n <= LEVELS]
+            levels = [n for n in range(level, level + PASS * step, step) if n <= LEVELS]
             told = points.withColumn("_l", F.explode(F.array(*map(F.lit, levels))))
             told = told.withColumns({c: F.expr(f"shiftright({c}, {LEVELS} - _l)") for c in CELL})
             more = told.groupBy(*keys, "_l", *CELL).agg(F.count("*").alias("_n"), *edges, *(f.alias(n) for n, f in (sums or {}).items()))
-            more = more.withColumn("_leaf", F.expr(f"_n <= {leaf} OR ({flat}) OR _l + {STEP} > {LEVELS}"))
+            more = more.withColumn("_leaf", F.expr(f"_n <= {leaf} OR ({flat}) OR _l + {step} > {LEVELS}"))
             found = cut(more if found is None else found.unionByName(more), "cells")
             # A cell is one if the cell above it is split; all above that are too, as they hold more.
-            up = found.where("NOT _leaf").select(*keys, (F.col("_l") + STEP).alias("_l"), *(F.col(c).alias(f"_up{c}") for c in CELL))
-            below = found.withColumns({f"_up{c}": F.shiftright(c, STEP) for c in CELL}).join(up, [*keys, "_l", *(f"_up{c}" for c in CELL)], "left_semi").drop(*(f"_up{c}" for c in CELL))
+            up = found.where("NOT _leaf").select(*keys, (F.col("_l") + step).alias("_l"), *(F.col(c).alias(f"_up{c}") for c in CELL))
+            below = found.withColumns({f"_up{c}": F.shiftright(c, step) for c in CELL}).join(up, [*keys, "_l", *(f"_up{c}" for c in CELL)], "left_semi").drop(*(f"_up{c}" for c in CELL))
             nodes = found.where(F.col("_l") == START).unionByName(below.select(found.columns))
             seen = nodes.groupBy("_l").agg(F.bool_and("_leaf").alias("done"), F.bool_or(F.expr(f"_leaf AND _n > {leaf}")).alias("crowded")).collect()  # a row for each level
             last = max((r["_l"] for r in seen), default=START)
             if all(r["done"] for r in seen if r["_l"] == last) or last < levels[-1]:
-                return cls(keys, cubes, points, nodes, list(range(START, last + 1, STEP)), any(r["crowded"] for r in seen), leaf)
-            level = levels[-1] + STEP
+                return cls(keys, cubes, points, nodes, list(range(START, last + 1, step)), any(r["crowded"] for r in seen), leaf, step)
+            level = levels[-1] + step
 
     def placed(self, first: int | None = None) -> DataFrame:
         """The points with ``_l`` and ``CELL`` of their leaf; with ``first``, so many by ``block_id`` of equal points that overfill one."""
@@ -98,8 +99,8 @@ class Tree:
         place = [*self.keys, "_l", *CELL]
         told = with_cells(others, self.cubes, self.keys).withColumn("_l", F.explode(F.array(*map(F.lit, self.depths)))).withColumns({c: F.expr(f"shiftright({c}, {LEVELS} - _l)") for c in CELL})
         split = self.nodes.where("NOT _leaf").select(*place)
-        up = split.select(*self.keys, (F.col("_l") + STEP).alias("_l"), *(F.col(c).alias(f"_up{c}") for c in CELL))
-        last = told.join(split, place, "left_anti").withColumns({f"_up{c}": F.shiftright(c, STEP) for c in CELL})
+        up = split.select(*self.keys, (F.col("_l") + self.step).alias("_l"), *(F.col(c).alias(f"_up{c}") for c in CELL))
+        last = told.join(split, place, "left_anti").withColumns({f"_up{c}": F.shiftright(c, self.step) for c in CELL})
         first = last.where(F.col("_l") == START)
         below = last.where(F.col("_l") > START).join(up, [*self.keys, "_l", *(f"_up{c}" for c in CELL)], "left_semi")
         return first.unionByName(below.select(first.columns)).drop(*(f"_up{c}" for c in CELL))

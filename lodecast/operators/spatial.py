@@ -8,6 +8,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodecast.operators import dual_cells
+from lodecast.operators.blocks import cut
 from lodecast.operators.nearest import AXES, neighbours, octant
 
 __all__ = ["AXES", "neighbours", "octant"]
@@ -163,13 +165,30 @@ def grid_means(rows: DataFrame, keys: list[str], size: float) -> DataFrame:
 _HALF = [s for s in product((-1, 0, 1), repeat=3) if s >= (0, 0, 0)]
 
 
-def variogram(rows: DataFrame, keys: list[str], max_lag: float, lags: int) -> DataFrame:
+#: Points up to which a group's pairs are made one by one.
+EVERY_PAIR = 4096
+
+
+def variogram(rows: DataFrame, keys: list[str], max_lag: float, lags: int, every_pair: int = EVERY_PAIR) -> DataFrame:
     """``keys, lag, n, gamma``: half the mean squared difference of pairs in each distance bin up to ``max_lag``.
 
-    Pairs meet through cells of the lag's size. Each pair of cells is looked at
-    once, and a pair within a cell by its ids. Missing, NaN and infinite values have no pairs.
+    Groups of up to ``every_pair`` points make their pairs; those of more sum them from pairs of cells and make only
+    pairs of points whose cells lie across a lag's edge. Both give the same rows. Missing, NaN and infinite values have no pairs.
     """
     rows = rows.where(F.abs("v") < float("inf"))
+    sizes = cut(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > every_pair), "large")
+    if sizes.isEmpty():
+        return _pairwise(rows, keys, max_lag, lags)
+    large = dual_cells.pair_moments(rows.join(sizes, keys, "left_semi"), keys, max_lag, lags)
+    return _pairwise(rows.join(sizes, keys, "left_anti"), keys, max_lag, lags).unionByName(large)
+
+
+def _pairwise(rows: DataFrame, keys: list[str], max_lag: float, lags: int) -> DataFrame:
+    """The variogram from every pair within the lag.
+
+    Pairs meet through cells of the lag's size. Each pair of cells is looked at
+    once, and a pair within a cell by its ids.
+    """
     cells = [F.floor(F.col(a) / max_lag).cast("long").alias(f"_c{a}") for a in AXES]
     near = F.explode(F.array(*(F.struct(*(F.lit(d).alias(f"d{a}") for a, d in zip(AXES, s, strict=True))) for s in _HALF))).alias("_s")
     left = rows.select(*keys, F.col("block_id").alias("_id"), *(F.col(a).alias(f"q{a}") for a in AXES), F.col("v").alias("_v"), *cells)
