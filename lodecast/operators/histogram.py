@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodecast.operators.blocks import numbered
+from lodecast.operators.ordered import in_order, running
 
 BINS = 40
 DISTANCES = ("d_psi", "d_js", "d_iou", "d_em")
@@ -46,10 +47,6 @@ def pmfs(rows: DataFrame, keys: list[str], bins: int = BINS, **columns: str) ->
     return counts.select(*keys, "bin", *(F.coalesce(F.try_divide(F.col(c), F.sum(c).over(every)), F.lit(0.0)).alias(n) for c, n in (("nq", "q"), ("np", "p"))))
 
 
-#: Parts of a bin within which values are put in order.
-PARTS = 16
-
-
 def distances(rows: DataFrame, keys: list[str], truth: str = "mu0", value: str = "mu", bins: int = BINS) -> DataFrame:
     """``keys`` with symmetric chi-square, Jensen-Shannon (base 2), Ruzicka and Wasserstein-1 distances.
 
@@ -57,8 +54,7 @@ def distances(rows: DataFrame, keys: list[str], truth: str = "mu0", value: str =
     between both distribution functions of finite values: for equal counts the
     mean absolute difference of order statistics of equal rank. Null and NaN
     values of either side are left out, so counts may differ. Equal values are counted
-    together first; running sums go over the parts of a group and then within each
-    part, so no task holds a group.
+    together first; running sums go over one order of all values, so no task holds a group.
     """
     p, q = F.col("p"), F.col("q")
 
@@ -70,36 +66,24 @@ def distances(rows: DataFrame, keys: list[str], truth: str = "mu0", value: str =
         F.sum(0.5 * share(p) + 0.5 * share(q)).alias("d_js"),
         (1 - F.sum(F.least(p, q)) / F.sum(F.greatest(p, q))).alias("d_iou"),
     )
-    moved = wasserstein(rows, keys, truth, value, bins)
+    moved = wasserstein(rows, keys, truth, value)
     both = binned.join(moved, keys, "left") if keys else binned.crossJoin(moved)  # without keys, both have one row
     return both.select(*keys, *DISTANCES)
 
 
-def wasserstein(rows: DataFrame, keys: list[str], truth: str = "mu0", value: str = "mu", bins: int = BINS) -> DataFrame:
+def wasserstein(rows: DataFrame, keys: list[str], truth: str = "mu0", value: str = "mu") -> DataFrame:
     """``keys, d_em``: the area between the distribution functions of both columns' finite values; no row where one has none."""
     finite = [F.when(F.abs(c) < float("inf"), F.col(c)) for c in (truth, value)]
     clean = rows.select(*keys, finite[0].alias("_t"), finite[1].alias("_v"))
-    spans = numbered(edges(clean, keys, "_t", bins), "_g")
-    near = clean.join(spans, keys) if keys else clean.crossJoin(spans)
-    sides = near.select("_g", "_low", "_width", F.explode(F.array(*(F.struct(F.col(c).alias("x"), F.lit(t).alias("t")) for c, t in (("_t", 1), ("_v", 0))))).alias("_s"))
-    # A number for each part of each group: one key sorts much faster than the groups' names.
-    parts = bins * PARTS + 2
-    part = place(F.col("_s.x"), (F.col("_s.x") - F.col("_low")) / F.col("_width") * PARTS, bins * PARTS).cast("long")
-    counted = sides.where("_s.x IS NOT NULL").select((F.col("_g") * parts + part).alias("_k"), F.col("_s.x").alias("_x"), F.col("_s.t").alias("_t")).groupBy("_k", "_x").agg(F.sum("_t").alias("_nq"), F.sum(1 - F.col("_t")).alias("_np"))
-    firsts = counted.groupBy("_k").agg(F.sum("_nq").alias("_nq"), F.sum("_np").alias("_np"), F.min("_x").alias("_first")).withColumn("_g", F.expr(f"_k div {parts}"))
-    every = Window.partitionBy("_g")
-    order = every.orderBy("_k")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    around = firsts.select(
-        "_k", "_g", F.lead("_first").over(order).alias("_next"), *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("_nq", "_np")), *(F.sum(c).over(every).alias(f"{c}_all") for c in ("_nq", "_np"))
-    )
-    within = Window.partitionBy("_k").orderBy("_x")
-    upto = within.rowsBetween(Window.unboundedPreceding, 0)
-    steps = counted.select("_k", "_x", F.sum("_nq").over(upto).alias("_cq"), F.sum("_np").over(upto).alias("_cp"), F.lead("_x").over(within).alias("_after"))
-    gap = F.try_divide(F.col("_nq_before") + F.col("_cq"), F.col("_nq_all")) - F.try_divide(F.col("_np_before") + F.col("_cp"), F.col("_np_all"))
-    area = F.abs(gap) * (F.coalesce("_after", "_next") - F.col("_x"))
-    moved = steps.join(around, "_k").select("_g", area.alias("_area"), "_nq_all", "_np_all").groupBy("_g").agg(F.coalesce(F.sum("_area"), F.lit(0.0)).alias("d_em"), F.min(F.least("_nq_all", "_np_all")).alias("_fewest")).where("_fewest > 0")
-    return moved.join(spans, "_g").select(*keys, "d_em")
+    groups = numbered(clean.groupBy(*keys).agg(F.count("*").alias("_size")), "_g")  # one number sorts much faster than the groups' names
+    near = clean.join(groups, keys) if keys else clean.crossJoin(groups)
+    sides = near.select("_g", F.explode(F.array(*(F.struct(F.col(c).alias("x"), F.lit(t).alias("t")) for c, t in (("_t", 1), ("_v", 0))))).alias("_s"))
+    counted = sides.where("_s.x IS NOT NULL").groupBy("_g", F.col("_s.x").alias("_x")).agg(F.sum("_s.t").alias("_nq"), F.sum(1 - F.col("_s.t")).alias("_np"))
+    told = running(in_order(counted, ["_g", "_x"]), ["_g"], ["_x"], sums=("_nq", "_np"), following=("_x",))
+    gap = F.try_divide(F.col("_nq_before") + F.col("_nq"), F.col("_nq_all")) - F.try_divide(F.col("_np_before") + F.col("_np"), F.col("_np_all"))
+    area = F.abs(gap) * (F.col("_x_following") - F.col("_x"))
+    moved = told.select("_g", area.alias("_area"), "_nq_all", "_np_all").groupBy("_g").agg(F.coalesce(F.sum("_area"), F.lit(0.0)).alias("d_em"), F.min(F.least("_nq_all", "_np_all")).alias("_fewest")).where("_fewest > 0")
+    return moved.join(groups, "_g").select(*keys, "d_em")
 
 
 def rank_models(found: DataFrame, keys: list[str], model: str = "model") -> DataFrame:

@@ -7,10 +7,12 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodecast.operators.blocks import in_blocks
+from lodecast.operators.ordered import in_order, running
+from lodecast.operators.quantiles import even_quantiles, exact_percentiles
 
 #: Quantiles of a group with more rows than that; smaller groups keep all their values.
 QUANTILES = 1000
@@ -21,14 +23,8 @@ EDGE = 1e-7
 
 
 def quantiles(rows: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
-    """``keys, quantiles``: evenly spaced quantiles of each group's finite values."""
-    finite = rows.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).alias("_v"))
-    n = finite.groupBy(*keys).agg(F.count("*").alias("_n"))
-    sized = finite.join(n, keys)
-    every = ", ".join(repr(i / (QUANTILES - 1)) for i in range(QUANTILES))
-    small = sized.where(F.col("_n") <= QUANTILES).groupBy(*keys).agg(F.sort_array(F.collect_list("_v")).alias("quantiles"))
-    large = sized.where(F.col("_n") > QUANTILES).groupBy(*keys).agg(F.expr(f"percentile(_v, array({every}))").alias("quantiles"))
-    return small.unionByName(large)
+    """``keys, quantiles``: evenly spaced quantiles of each group's values, null and NaN left out."""
+    return even_quantiles(rows, keys, QUANTILES, value)
 
 
 def _score(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -69,7 +65,11 @@ def inverse(rows: DataFrame, fitted: DataFrame, keys: list[str], value: str = "s
 
 
 def gradient(rows: DataFrame, keys: list[str], value: str = "v", score: str = "score") -> DataFrame:
-    """``keys, gradient``: the median positive slope of score over value, by which deviations of scores are divided."""
-    order = Window.partitionBy(*keys).orderBy(value, score)
-    slope = (F.col(score) - F.lag(score).over(order)) / (1e-9 + F.col(value) - F.lag(value).over(order))
-    return rows.where(F.col(value).isNotNull()).select(*keys, slope.alias("_g")).where("_g > 0").groupBy(*keys).agg(F.median("_g").alias("gradient"))
+    """``keys, gradient``: the median positive slope of score over value, by which deviations of scores are divided.
+
+    Equal rows have no slope between them and are taken once; null and NaN have none. Order and median go over all tasks.
+    """
+    known = rows.where(F.col(value).isNotNull() & ~F.isnan(value) & ~F.isnan(score)).select(*keys, F.col(value).alias("_v"), F.col(score).alias("_s")).distinct()
+    told = running(in_order(known, [*keys, "_v", "_s"]), keys, ["_v", "_s"], previous=("_v", "_s"))
+    slope = (F.col("_s") - F.col("_s_previous")) / (1e-9 + F.col("_v") - F.col("_v_previous"))
+    return exact_percentiles(told.select(*keys, slope.alias("_g")).where("_g > 0"), keys, (50.0,), "_g").select(*keys, F.col("p0").alias("gradient"))
