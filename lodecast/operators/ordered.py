@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from lodecast.operators.blocks import cut
 
+#: Parts for each task of a shuffle: parts are spread by their hash, so small ones even out.
+FINER = 4
+
 
 def in_order(rows: DataFrame, order: list[str]) -> DataFrame:
     """``rows``, written with ``_part``: parts rise with ``order`` and hold about equally many rows, whatever the values are.
 
     Spark draws the borders from a sample of the rows. Equal rows lie in one part, so they are to be counted together first.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = FINER * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return cut(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ordered")
 
 
@@ -24,11 +27,17 @@ def running(rows: DataFrame, keys: list[str], order: list[str], sums: tuple[str,
     rows of one part; between parts go only the sums and the end rows of each, one row for each part of a group. Null keys are a group.
     """
     at = F.struct(*order)
+
+    def end(c: str, last: bool):
+        if order == [c]:  # a plain least or greatest value needs no sort
+            return F.max(c) if last else F.min(c)
+        return F.max_by(c, at) if last else F.min_by(c, at)
+
     ends = rows.groupBy(*keys, "_part").agg(
         F.count("*").alias("_rows"),
         *(F.sum(c).alias(f"_s_{c}") for c in sums),
-        *(F.max_by(c, at).alias(f"_p_{c}") for c in previous),
-        *(F.min_by(c, at).alias(f"_f_{c}") for c in following),
+        *(end(c, True).alias(f"_p_{c}") for c in previous),
+        *(end(c, False).alias(f"_f_{c}") for c in following),
     )
     group = Window.partitionBy(*keys)
     parts = group.orderBy("_part")
@@ -36,6 +45,7 @@ def running(rows: DataFrame, keys: list[str], order: list[str], sums: tuple[str,
     told = ends.select(
         *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)),
         F.col("_part").alias("_of"),
+        "_rows",
         *(F.coalesce(F.sum(f"_s_{c}").over(parts.rowsBetween(*before)), F.lit(0)).alias(f"_s_{c}") for c in sums),
         *(F.sum(f"_s_{c}").over(group).alias(f"{c}_all") for c in sums),
         *(F.lag(f"_p_{c}").over(parts).alias(f"_p_{c}") for c in previous),
@@ -44,8 +54,7 @@ def running(rows: DataFrame, keys: list[str], order: list[str], sums: tuple[str,
     within = Window.partitionBy(*keys, "_part").orderBy(*order)
     own = rows.select(
         "*",
-        F.row_number().over(within).alias("_first"),
-        F.count("*").over(Window.partitionBy(*keys, "_part")).alias("_rows"),
+        *([F.row_number().over(within).alias("_first")] if previous or following else []),
         *(F.coalesce(F.sum(c).over(within.rowsBetween(*before)), F.lit(0)).alias(f"_i_{c}") for c in sums),
         *(F.lag(c).over(within).alias(f"_l_{c}") for c in previous),
         *(F.lead(c).over(within).alias(f"_n_{c}") for c in following),
