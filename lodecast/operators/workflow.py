@@ -49,6 +49,27 @@ def unscored(found: DataFrame, fitted: DataFrame, gradient: DataFrame, keys: lis
     return own.unionByName(found.join(fitted.select(*keys), keys, "left_anti").select(own.columns))
 
 
+def _training(samples: DataFrame, blocks: DataFrame, keys: list[str], settings: Settings, geometry: DataFrame | None) -> tuple:
+    """The samples that groups learn from, the blocks asked for, and the quantiles and slopes of scores where there are any."""
+    near, asked = prepared(samples, blocks, geometry, keys, settings)
+    fitted = gradient = None
+    if settings.scored:
+        near, fitted, gradient = scored(near, keys, settings.least_scored)
+    told, _ = limited(near.select(*keys, "block_id", *AXES, "v"), keys, settings.training_points)
+    return cut(told), asked, fitted, gradient
+
+
+def _fit(told: DataFrame, keys: list[str], settings: Settings) -> DataFrame:
+    curves = spatial.variogram(told, keys, settings.max_lag, settings.lags)
+    return variogram_fit.fit(curves, keys, settings.max_lag / settings.lags, settings.covariance, settings.smoothness, settings.nugget, settings.max_lag, variogram_fit.value_variances(told, keys))
+
+
+def fit_all(samples: DataFrame, blocks: DataFrame, keys: list[str], settings: Settings = Settings(), geometry: DataFrame | None = None) -> DataFrame:
+    """Columns of ``variogram_fit.fit`` and ``n``, the samples learnt from, for every group near whose blocks there are samples."""
+    told, *_ = _training(samples, blocks, keys, settings, geometry)
+    return told.groupBy(*keys).agg(F.count("*").alias("n")).join(_fit(told, keys, settings), keys, "left")
+
+
 def krige_all(samples: DataFrame, blocks: DataFrame, keys: list[str], settings: Settings = Settings(), geometry: DataFrame | None = None, ordinary: bool = True, parameters: DataFrame | None = None) -> DataFrame:
     """``keys, block_id, estimate, deviation`` for the blocks of every group: clip, turn, score, limit, fit, krige and back.
 
@@ -59,16 +80,9 @@ def krige_all(samples: DataFrame, blocks: DataFrame, keys: list[str], settings:
     ``scored``, values of groups of ``least_scored`` samples or more are replaced by normal scores, and deviations divided by
     the median slope of scores over values. Every block has its row: those of groups without samples, or whose variogram cannot be fitted, have nulls.
     """
-    near, asked = prepared(samples, blocks, geometry, keys, settings)
-    fitted = gradient = None
-    if settings.scored:
-        near, fitted, gradient = scored(near, keys, settings.least_scored)
-    told, _ = limited(near.select(*keys, "block_id", *AXES, "v"), keys, settings.training_points)
-    told = cut(told)
-    width = settings.max_lag / settings.lags
+    told, asked, fitted, gradient = _training(samples, blocks, keys, settings, geometry)
     if parameters is None:
-        curves = spatial.variogram(told, keys, settings.max_lag, settings.lags)
-        parameters = variogram_fit.fit(curves, keys, width, settings.covariance, settings.smoothness, settings.nugget, settings.max_lag, variogram_fit.value_variances(told, keys))
+        parameters = _fit(told, keys, settings)
     # Coordinates over twice the search radius have one radius for all groups; the kernel takes lags over the range.
     reach = F.least("range", F.lit(settings.max_lag))
     scaled = cut(parameters.select(*keys, "range", "sill", "nugget").where("range > 0").withColumn("_reach", reach))
