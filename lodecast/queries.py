@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from lodecast import adapters as A
 from lodecast.functions.normal import normal_cdf, normal_quantile, synchronicity
 from lodecast.functions.text import numbers, numbers_text, period_name
-from lodecast.operators import analysis, downsample, gaussian_process, histogram, kriging, normal_score, significance, spatial, summary, uncertainty, variogram_fit, workflow
+from lodecast.operators import analysis, downsample, gaussian_process, histogram, kriging, normal_score, significance, spatial, summary, sweep, uncertainty, variogram_fit, workflow
+from lodecast.operators.blocks import cut, shared_folder
 from lodecast.settings import Settings
 
 GROUP = ["domain", "model"]
@@ -51,6 +52,15 @@ def _nst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normal_score.inverse(scores, fitted, ["domain"], into="back")
 
 
+def _swept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timing table of two families without its times."""
+    known, asked = _split(spark, sf_dir)[1], _split(spark, sf_dir)[0].drop("v")
+    path, settings = shared_folder(spark, "sweep"), Settings(rotated=False, max_lag=250.0, lags=10)
+    told = cut(sweep.sweep(known, asked, ["domain"], path, settings))
+    table = sweep.times(told, sweep.fits(known, asked, ["domain"], path, settings), ["domain"])
+    return table.select("domain", "family", "n_training", "n_blocks")
+
+
 def _attributes(spark: SparkSession, sf_dir: str, heavy: bool) -> DataFrame:
     return A.analysis(spark, sf_dir).where("w > 3" if heavy else "w <= 3").groupBy("domain", "model").agg(F.avg("v").alias("v"))
 
@@ -96,6 +106,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_octant": lambda s, d: rounded(spatial.neighbours(*_split(s, d), ["domain"], 120.0, 9).select("domain", "q_id", "block_id", "dist", "octant", "rank")),
     "grid_mean": lambda s, d: rounded(spatial.grid_means(A.samples(s, d), ["domain"], 100.0), 9),
     "exp_variogram": lambda s, d: rounded(spatial.variogram(A.samples(s, d), ["domain"], 250.0, 10)),
+    "exp_variogram_cells": lambda s, d: rounded(spatial.variogram(A.samples(s, d), ["domain"], 250.0, 10, every_pair=0)),
+    "sweep_counts": _swept,
     "prefix_moments": lambda s, d: rounded(summary.prefix_moments(A.simulations(s, d), ["domain", "block_id"], [2, 4, 8])),
     "family_mean_se": lambda s, d: rounded(summary.mean_and_error(A.analysis(s, d), ["model"])),
     "weighted_sem": lambda s, d: rounded(summary.weighted_error(A.analysis(s, d), ["model"])),
@@ -230,6 +242,8 @@ ORACLES = {
     "knn_octant": _KNN,
     "grid_mean": f"WITH {A.SAMPLES}, lo AS (SELECT domain, min(x) AS lx, min(y) AS ly, min(z) AS lz FROM s GROUP BY domain) SELECT domain, round_even((x - lx) / 100, 0)::BIGINT AS ix, round_even((y - ly) / 100, 0)::BIGINT AS iy, round_even((z - lz) / 100, 0)::BIGINT AS iz, count(v) AS n, round(sum(v), 9) AS total, round(avg(v), 9) AS mean FROM s JOIN lo USING (domain) GROUP BY ALL",
     "exp_variogram": f"WITH {A.SAMPLES}, pr AS (SELECT a.domain, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d, (a.v - b.v) * (a.v - b.v) / 2 AS g FROM s a JOIN s b ON a.domain = b.domain AND a.block_id < b.block_id) SELECT domain, floor(d * 10 / 250)::BIGINT AS lag, count(*) AS n, round(avg(g), 6) AS gamma FROM pr WHERE d < 250 GROUP BY ALL",
+    "exp_variogram_cells": f"WITH {A.SAMPLES}, pr AS (SELECT a.domain, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d, (a.v - b.v) * (a.v - b.v) / 2 AS g FROM s a JOIN s b ON a.domain = b.domain AND a.block_id < b.block_id) SELECT domain, floor(d * 10 / 250)::BIGINT AS lag, count(*) AS n, round(avg(g), 6) AS gamma FROM pr WHERE d < 250 GROUP BY ALL",
+    "sweep_counts": f"WITH {A.SAMPLES} SELECT domain, f.family, count(*) FILTER (WHERE block_id % 5 <> 0) AS n_training, count(*) FILTER (WHERE block_id % 5 = 0) AS n_blocks FROM s, (VALUES ('OK'), ('SK')) f(family) GROUP BY ALL HAVING n_blocks > 0",
     "prefix_moments": f"WITH {A.SIMULATIONS} SELECT domain, block_id, m, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM sims, (SELECT unnest([2, 4, 8]) AS m) WHERE sim < m GROUP BY ALL",
     "family_mean_se": f"WITH {A.ANALYSIS} SELECT model, count(v) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v) / sqrt(count(v)), 6) AS se FROM a GROUP BY model",
     "weighted_sem": _WSEM,
