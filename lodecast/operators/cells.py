@@ -54,7 +54,7 @@ class Tree:
     step: int = STEP
 
     @classmethod
-    def of(cls, rows: DataFrame, keys: list[str], leaf: int = LEAF, sums: dict | None = None, cubes: DataFrame | None = None, step: int = STEP) -> Tree:
+    def of(cls, rows: DataFrame, keys: list[str], leaf: int = LEAF, sums: dict | None = None, cubes: DataFrame | None = None, *, step: int = STEP) -> Tree:
         """The tree of finite points; ``sums`` are aggregates more for each cell, by their names, ``cubes`` are of more points than these, ``step`` the halvings from level to level."""
         edges = [f(a).alias(f"_{n}{a}") for a in AXES for n, f in (("low", F.min), ("high", F.max))]
         cubes = cubes_of(rows, keys) if cubes is None else cubes
