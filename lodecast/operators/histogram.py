@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodecast.operators.blocks import numbered
+from lodecast.operators.blocks import held, numbered
 from lodecast.operators.ordered import in_order, running
 
 BINS = 40
@@ -33,7 +33,7 @@ def bin_codes(rows: DataFrame, keys: list[str], truth: str = "mu0", value: str =
     Bins are closed at the left, and the greatest truth lies in the last open bin, as infinite values do in the open ones.
     A constant truth has bins of width 1. Null and NaN values have no bin.
     """
-    spans = edges(rows, keys, truth, bins)
+    spans = held(edges(rows, keys, truth, bins))  # else rows are dealt by group, and a task reads a whole one
     joined = rows.join(spans, keys) if keys else rows.crossJoin(spans)  # without keys, spans have one row
     return joined.withColumns({n: place(F.col(c), (F.col(c) - F.col("_low")) / F.col("_width"), bins) for n, c in (("_truth_bin", truth), ("_bin", value))})
 
@@ -108,7 +108,7 @@ def divergence(sample: DataFrame, full: DataFrame, keys: list[str], value: str =
 
     Bins span all rows' values; a bin that only the sample fills makes it infinite.
     """
-    span = full.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    span = held(full.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high")))
     width = F.when(F.col("_high") > F.col("_low"), (F.col("_high") - F.col("_low")) / bins).otherwise(1.0)
     at = F.greatest(F.least(F.floor((F.col(value) - F.col("_low")) / width), F.lit(bins - 1)), F.lit(0))
     both = sample.select(*keys, value, F.lit(1).alias("_s")).unionByName(full.select(*keys, value, F.lit(0).alias("_s"))).where(F.col(value).isNotNull() & ~F.isnan(value))
