@@ -78,3 +78,22 @@ def test_a_tree_counts_every_point_once(spark):
     assert tree.placed().count() == 505
     leaves = tree.nodes.where("_leaf")
     assert leaves.agg(F.sum("_n")).first()[0] == 505 and leaves.agg(F.max("_n")).first()[0] <= 4
+
+
+def test_candidates_are_few_at_any_density(spark):
+    # Bounds of cells alone left hundreds of points for each query to be shuffled and ranked.
+    rng = random.Random(9)
+    rows = [(1, i, *(rng.gauss(0, 1) for _ in range(3)), None if i % 7 == 0 else 1.0) for i in range(3000)]
+    known, queries = spark.createDataFrame(rows, POINTS), spark.createDataFrame(rows[:300], POINTS)
+    found = nearest.candidates(queries, known, ["domain"], 1.0, 9, 2, True)
+    assert found.count() <= 300 * (9 + 8)
+    near = nearest.neighbours(queries, known, ["domain"], 1.0, 9)
+    assert {(r.domain, r.q_id, r.block_id, r.octant, r["rank"]) for r in near.collect()} == _chosen(rows[:300], rows, 1.0, 9, 2, True)
+    assert near.where("v IS NULL").count() == near.where("block_id % 7 = 0").count() > 0
+
+
+def test_ids_of_any_type(spark):
+    rows = [(1, f"b{i % 300:03}" if i else None, float(i % 20), 0.0, 0.0, 0.0) for i in range(300)]
+    known = spark.createDataFrame(rows, POINTS.replace("block_id long", "block_id string"))
+    found = nearest.neighbours(known.where("block_id IS NULL OR block_id = 'b005'"), known, ["domain"], 0.5, 3)
+    assert {(r.q_id, r["rank"]): r.block_id for r in found.collect()} == {(None, 1): None, (None, 2): "b020", (None, 3): "b040", ("b005", 1): "b005", ("b005", 2): "b025", ("b005", 3): "b045"}
